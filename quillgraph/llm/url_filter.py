@@ -54,7 +54,7 @@ class Level:
         found = F.lit(True)
         for p in self.positions(key):
             word = F.get(words, F.shiftright(p, 6).cast("int"))
-            found = found & (F.shiftright(word, F.pmod(p, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1)
+            found = found & (F.call_function("shiftright", word, F.pmod(p, F.lit(64)).cast("int")).bitwiseAND(F.lit(1)) == 1)
         return found
 
 
