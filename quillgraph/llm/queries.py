@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, lm_scoring, packing, quality_rules, sharding, token_counts, topk_search, url_filter
+from . import byte_bpe, jaccard_join, lm_scoring, packing, quality_rules, sharding, token_counts, topk_search, url_filter
 from .common import table
 
 
@@ -40,11 +40,15 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_components(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_topk_search, op3_packing, op4_url_filter, op6_lm_scoring, op7_sharding, op8_quality_rules, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_topk_search, op3_packing, op4_url_filter, op6_lm_scoring, op7_sharding, op8_quality_rules, op9_jaccard_join, op10_token_counts)}
 
 _LISTED = ", ".join(f"'{key}'" for key in url_filter.LISTED)
 
