@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of_texts, ship
+from .common import Recent, batches_of_texts, ship
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -79,7 +79,7 @@ select s.w, s.p, s.t, s.r from s join (select w, max(r) as r from s group by w)
 class Codec:
     """Encodes words and decodes ids of one rank file in an embedded DuckDB."""
 
-    def __init__(self, path: str, pattern: str, cached_words: int = 400_000, rows: int = 20_000_000):
+    def __init__(self, path: str, pattern: str, cached_words: int = 300_000, rows: int = 20_000_000):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.split = regex.compile(pattern).findall
@@ -90,8 +90,8 @@ class Codec:
         self.db.execute("create table merges as from m")
         self.db.register("v", pa.table({"t": pa.array(list(ranks.values()), pa.int32()), "hex": [w.hex() for w in ranks]}))
         self.db.execute("create table vocabulary as from v")
-        self.cache: dict[str, bytes] = {}
-        self.cached_words, self.rows = cached_words, rows
+        self.words = Recent(cached_words)
+        self.rows = rows
 
     def encode_words(self, words: list[str], long: int = 64) -> list[bytes]:
         """Each word's ids as little-endian unsigned 32-bit integers."""
@@ -128,13 +128,11 @@ class Codec:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         words = [self.split(x.decode("utf-8", "replace")) for x in texts]
-        if len(self.cache) > self.cached_words:
-            self.cache.clear()
-        missing = list(set().union(*words).difference(self.cache)) if words else []
+        missing = self.words.missing(set().union(*words))
         for at in range(0, len(missing), 100_000):
             part = missing[at : at + 100_000]
-            self.cache.update(zip(part, self.encode_words(part), strict=True))
-        get = self.cache.__getitem__
+            self.words.young.update(zip(part, self.encode_words(part), strict=True))
+        get = self.words.young.__getitem__
         return [b"".join(map(get, x)) for x in words]
 
     def decode(self, ids: list[bytes], most: int = 2_000_000) -> list[bytes]:

@@ -11,7 +11,6 @@ import zipfile
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,4 +88,24 @@ def batches_of_texts(batches, limit: int = 16 << 20):
             yield ids.slice(start, len(out)), out
 
 
-__all__ = ["StorageLevel", "WORD", "batches_of_texts", "cut", "shared_dir", "ship", "table", "text_or_empty"]
+class Recent:
+    """A bounded look-up table of what was asked for lately: two generations of at
+    most ``size`` entries and what one request adds. A key that is asked for again
+    moves to the younger one; the older one goes when that is full."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def missing(self, keys: set) -> list:
+        """The keys that must be put before ``young`` has all of them."""
+        if len(self.young) > self.size:
+            self.old, self.young = self.young, {}
+        absent = keys.difference(self.young)
+        again = absent.intersection(self.old)
+        self.young.update((k, self.old[k]) for k in again)
+        return list(absent - again)
+
+
+__all__ = ["WORD", "Recent", "batches_of_texts", "cut", "shared_dir", "ship", "table", "text_or_empty"]

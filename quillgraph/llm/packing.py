@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of_texts, ship
+from .common import Recent, batches_of_texts, ship
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -29,26 +29,23 @@ VOCABULARY = "word_bpe_49k.json"
 class WordTokenizer:
     """Ids of whole texts, as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, cached_words: int = 400_000):
+    def __init__(self, path: str, cached_words: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.cache: dict[bytes, bytes] = {}
-        self.cached_words = cached_words
+        self.words = Recent(cached_words)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         words = [x.split() for x in texts]
-        if len(self.cache) > self.cached_words:
-            self.cache.clear()
-        missing = list(set().union(*words).difference(self.cache)) if words else []
+        missing = self.words.missing(set().union(*words))
         for at in range(0, len(missing), 20_000):
             part = missing[at : at + 20_000]
             encoded = self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.cache.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, encoded, strict=True))
-        get = self.cache.__getitem__
+            self.words.young.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, encoded, strict=True))
+        get = self.words.young.__getitem__
         return [b"".join(map(get, x)) for x in words]
 
 

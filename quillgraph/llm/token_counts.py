@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of_texts, ship
+from .common import Recent, batches_of_texts, ship
 
 VOCABULARY = "word_bpe_49k.json"
 END = "</w>"
@@ -72,12 +72,13 @@ class PrefixCounter:
                 (self.outer if t.endswith(END) else self.inner).add_word(t.removesuffix(END), t)
         self.inner.make_automaton()
         self.outer.make_automaton()
-        self.longest = max(len(t.removesuffix(END)) for t in self.made)
+        self.ended = {t for t in spec["model"]["vocab"] if t.endswith(END)}
+        self.longest = max(len(t.removesuffix(END)) for t in self.ended)
         self.byte_of = {u: b for b, u in enumerate(byte_units())}
         self.unit_of = {b: u for u, b in self.byte_of.items()}
         self.fits: dict[tuple[str, str], bool] = {}
-        self.cache: dict[bytes, int] = {}
-        self.cached_words, self.cached_fits = cached_words, cached_fits
+        self.words = Recent(cached_words)
+        self.cached_fits = cached_fits
         self.normal_chars: dict[str, str] = {}
         self.split = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
 
@@ -132,7 +133,7 @@ class PrefixCounter:
         unit prefixes, the empty one first)."""
         last, count = [""], [0]
         before = ""
-        fits, fit = self.fits, self.fit
+        fits, fit, ended, longest = self.fits, self.fit, self.ended, self.longest
         for word in words:
             shared = len(os.path.commonprefix((before, word)))
             del last[shared + 1 :], count[shared + 1 :]
@@ -160,7 +161,17 @@ class PrefixCounter:
                         final[j] = count[i] + 1
                 yield word, final
             else:
-                i = next(i for i in range(max(0, n - self.longest), n) if (t := word[i:] + END) in self.made or i == n - 1 if not i or fit(last[i], t))
+                for i in range(max(0, n - longest), n):
+                    t = word[i:] + END
+                    if t in ended:
+                        u = last[i]
+                        if not u:
+                            break
+                        good = fits.get((u, t))
+                        if good is None:
+                            good = fits[u, t] = fit(u, t)
+                        if good:
+                            break
                 yield word, count[i] + 1
             before = word
         if len(fits) > self.cached_fits:
@@ -198,18 +209,29 @@ class PrefixCounter:
 
     def learn(self, raw: list[bytes]) -> None:
         """Puts the words' token counts into the cache."""
-        held = [(w, self.parts(w.decode("utf-8", "replace"))) for w in raw]
-        tokens = self.tokens_of({part for _, parts in held for part in parts})
-        known = dict(self.walk(sorted({t for found in tokens.values() if found for t in found})))
-        for w, parts in held:
+        known_words, held, odd = self.words.young, [], []
+        for w in raw:
+            if w.isascii() and b"<|" not in w:
+                word = w.decode().lower()
+                found = self.split(word)
+                held.append((w, found if word.isprintable() else [t.translate(self.unit_of) for t in found]))
+            else:
+                odd.append((w, self.parts(w.decode("utf-8", "replace"))))
+        tokens = self.tokens_of({part for _, parts in odd for part in parts})
+        every = {t for _, found in held for t in found}
+        every.update(t for found in tokens.values() if found for t in found)
+        known = dict(self.walk(sorted(every)))
+        for w, found in held:
+            known_words[w] = known[found[0]] if len(found) == 1 else sum([known[t] for t in found])
+        for w, parts in odd:
             total = 0
             for part in parts:
                 own = tokens[part]
                 if own is not None:
-                    total += sum(known[t] for t in own)
+                    total += sum([known[t] for t in own])
                 elif not part.isspace():
                     total += 1 if part in self.special else self.encoded_counts(part, [len(part)])[0]
-            self.cache[w] = total
+            known_words[w] = total
 
     def tokens_of(self, parts: set[str]) -> dict[str, list[str] | None]:
         """The pre-tokens of each part; None for special tokens, white space and
@@ -259,12 +281,10 @@ class PrefixCounter:
         """Of each text: its words between ASCII white space, and the number of
         tokens up to the end of each."""
         words = [x.split() for x in texts]
-        if len(self.cache) > self.cached_words:
-            self.cache.clear()
-        missing = list(set().union(*words).difference(self.cache)) if words else []
+        missing = self.words.missing(set().union(*words))
         for at in range(0, len(missing), 50_000):
             self.learn(missing[at : at + 50_000])
-        get = self.cache.__getitem__
+        get = self.words.young.__getitem__
         return [(ws, np.cumsum(np.fromiter(map(get, ws), np.int64, len(ws)))) for ws in words]
 
     def prefix_counts(self, text: bytes) -> np.ndarray:
