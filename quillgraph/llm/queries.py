@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, jaccard_join, lm_scoring, packing, quality_rules, sharding, token_counts, topk_search, url_filter
+from . import byte_bpe, jaccard_join, lm_scoring, packing, quality_rules, sharding, suffix_dedup, token_counts, topk_search, url_filter
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), listed).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"), texts=False)
+
+
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
 
@@ -48,7 +52,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_topk_search, op3_packing, op4_url_filter, op6_lm_scoring, op7_sharding, op8_quality_rules, op9_jaccard_join, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_topk_search, op3_packing, op4_url_filter, op5_suffix_dedup, op6_lm_scoring, op7_sharding, op8_quality_rules, op9_jaccard_join, op10_token_counts)}
 
 _LISTED = ", ".join(f"'{key}'" for key in url_filter.LISTED)
 
