@@ -14,10 +14,12 @@ text's ids are its words' ids one after another.
 from __future__ import annotations
 
 import os
+import unicodedata
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,14 +39,34 @@ class WordTokenizer:
         self.library.no_truncation()
         self.library.no_padding()
         self.words = Recent(cached_words)
+        self.ends = np.zeros(self.library.get_vocab_size(with_added_tokens=True), bool)
+        for token, i in self.library.get_vocab(with_added_tokens=False).items():
+            self.ends[i] = token.endswith("</w>")
+        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+
+    def together(self, words: list[bytes]) -> list[bytes]:
+        """The words' ids, from one call: the tokenizer's own words each end in a
+        token with the end mark, so that a word's share is found by counting them.
+        Where the count isn't plain (special tokens, texts that the normal form
+        changes beyond letter case for letter case) each word is a text of its own."""
+        texts = [w.decode("utf-8", "replace") for w in words]
+        whole = " ".join(texts)
+        if "<|" not in whole and "\u0130" not in whole and unicodedata.is_normalized("NFC", whole):
+            shares = [1 if t.isalpha() else len(self.split(t.lower())) for t in texts]
+            ids = np.array(self.library.encode_batch_fast([whole], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) == sum(shares):
+                stops = (4 * np.r_[0, ends][np.cumsum(shares)]).tolist()
+                packed = ids.tobytes()
+                return [packed[a:b] for a, b in zip([0, *stops], stops)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         words = [x.split() for x in texts]
         missing = self.words.missing(set().union(*words))
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            encoded = self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.words.young.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, encoded, strict=True))
+        for at in range(0, len(missing), 1000):
+            part = missing[at : at + 1000]
+            self.words.young.update(zip(part, self.together(part), strict=True))
         get = self.words.young.__getitem__
         return [b"".join(map(get, x)) for x in words]
 
