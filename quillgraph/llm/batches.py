@@ -19,9 +19,12 @@ from .common import batches_of_texts
 SCHEMA = "batch long, texts binary, lengths binary, ids array<long>"
 
 
-def write_packed(docs: DataFrame, path: str, id_col: str, text_col: str, batch_bytes: int) -> DataFrame:
-    """batch, texts (compressed, one after another), lengths, ids: null texts are empty."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.spark_partition_id().cast("long").alias("part"))
+def write_packed(docs: DataFrame, path: str, id_col: str, text_col: str, batch_bytes: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """batch, texts (compressed, one after another), lengths, ids: null texts are
+    empty. The columns ``carry`` follow as arrays c0, c1, ..."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.spark_partition_id().cast("long").alias("part"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
+    more = [f"c{i}" for i in range(len(carry))]
+    schema = SCHEMA + "".join(f", {m} array<{docs.schema[c].dataType.simpleString()}>" for m, c in zip(more, carry, strict=True))
 
     def pack(batches):
         seq = 0
@@ -29,14 +32,15 @@ def write_packed(docs: DataFrame, path: str, id_col: str, text_col: str, batch_b
             at = 0
             for ids, texts in batches_of_texts([batch], batch_bytes):
                 part = batch.column(2)[at].as_py()
+                carried = [pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), c.slice(at, len(texts))) for c in batch.columns[3:]]
                 at += len(texts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part << 24 | seq]), pa.array([zstandard.compress(b"".join(texts), 1)], pa.binary()), pa.array([np.fromiter(map(len, texts), np.int64, len(texts)).tobytes()], pa.binary()), pa.array([ids.to_pylist()], pa.list_(pa.int64()))],
-                    names=["batch", "texts", "lengths", "ids"],
+                    [pa.array([part << 24 | seq]), pa.array([zstandard.compress(b"".join(texts), 1)], pa.binary()), pa.array([np.fromiter(map(len, texts), np.int64, len(texts)).tobytes()], pa.binary()), pa.array([ids.to_pylist()], pa.list_(pa.int64())), *carried],
+                    names=["batch", "texts", "lengths", "ids", *more],
                 )
                 seq += 1
 
-    rows.mapInArrow(pack, SCHEMA).write.option("compression", "none").parquet(path)
+    rows.mapInArrow(pack, schema).write.option("compression", "none").parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 

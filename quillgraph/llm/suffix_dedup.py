@@ -175,13 +175,14 @@ def least_owner(strings: list[bytes], owner: np.ndarray, width: int) -> list[np.
     return np.split(out, first[1:]) if len(strings) else []
 
 
-def repeated_spans(docs: DataFrame, finish, schema: str, width: int = 50, gram: int = 20, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 8 << 20, bits: int = 1 << 27) -> DataFrame:
-    """``finish(ids, texts, covers)`` for each batch of documents: covers are boolean
-    arrays of the bytes to remove; it returns the rows as a table of ``schema``."""
+def repeated_spans(docs: DataFrame, finish, schema: str, width: int = 50, gram: int = 20, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 8 << 20, bits: int = 1 << 27, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``finish(ids, texts, covers, carried)`` for each batch of documents: covers are
+    boolean arrays of the bytes to remove, carried are the values of the columns
+    ``carry``; it returns the rows as a table of ``schema``."""
     spark = docs.sparkSession
     ship(spark)
     folder = f"{shared_dir(spark)}/suffix-{uuid.uuid4().hex}"
-    packed = write_packed(docs, f"{folder}/packed", id_col, text_col, batch_bytes)
+    packed = write_packed(docs, f"{folder}/packed", id_col, text_col, batch_bytes, carry)
     slices = slices_for(packed.count())
     most = width - gram + 1
     top = np.uint64(64 - int(bits).bit_length() + 1)
@@ -308,7 +309,7 @@ def repeated_spans(docs: DataFrame, finish, schema: str, width: int = 50, gram:
                 out.append((batch, docs_.astype(np.int32).tobytes(), np.r_[start[whole], start[rest] + at[lower]].astype(np.int64).tobytes(), np.r_[windows[content[whole]], np.ones(len(rest), np.int64)].astype(np.uint8).tobytes()))
         return pa.table([pa.array(x, t) for x, t in zip(list(zip(*out, strict=True)) or [()] * 4, [pa.int64(), pa.binary(), pa.binary(), pa.binary()], strict=True)], names=["batch", "doc", "start", "n"])
 
-    answers = packed.mapInArrow(cut, ", ".join(f"{n} {t}" for n, t in zip(NAMES, ["int", "long"] + ["binary"] * 7, strict=True))).groupBy("slice").applyInArrow(compare, "batch long, doc binary, start binary, n binary")
+    answers = packed.select("batch", "texts", "lengths", "ids").mapInArrow(cut, ", ".join(f"{n} {t}" for n, t in zip(NAMES, ["int", "long"] + ["binary"] * 7, strict=True))).groupBy("slice").applyInArrow(compare, "batch long, doc binary, start binary, n binary")
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         tables = []
@@ -322,8 +323,8 @@ def repeated_spans(docs: DataFrame, finish, schema: str, width: int = 50, gram:
                 np.add.at(change, at, 1)
                 np.add.at(change, at + np.frombuffer(a["n"], np.uint8) + width - 1, -1)
             covered = np.cumsum(change) > 0
-            tables.append(finish(row["ids"], texts, [covered[b : b + n] for b, n in zip(base.tolist(), lengths.tolist(), strict=True)]))
-        return pa.concat_tables(tables) if tables else finish([], [], [])
+            tables.append(finish(row["ids"], texts, [covered[b : b + n] for b, n in zip(base.tolist(), lengths.tolist(), strict=True)], [row[f"c{i}"] for i in range(len(carry))]))
+        return pa.concat_tables(tables) if tables else finish([], [], [], [[] for _ in carry])
 
     return packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(remove, schema)
 
@@ -348,7 +349,7 @@ def suffix_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_
     """
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, spans array<struct<start: long, length: long>>" * texts
 
-    def finish(ids, bodies, covers):
+    def finish(ids, bodies, covers, _):
         kept = [np.frombuffer(t, np.uint8)[~c].tobytes() if c.any() else t for t, c in zip(bodies, covers, strict=True)]
         starts = [runs(c) for c in covers]
         columns = {
@@ -362,3 +363,33 @@ def suffix_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_
         return pa.table(columns)
 
     return repeated_spans(docs, finish, schema, width=width, id_col=id_col, text_col=text_col, **more)
+
+
+def without_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """``docs`` with what ``suffix_dedup`` removes taken out of the text, and its
+    length in ``chars_col`` renewed. Bytes of a character that was cut in two go
+    as well; a document of which nothing is left goes; one of which nothing was
+    removed is as it was, null included."""
+    carry = tuple(c for c in docs.columns if c not in (id_col, text_col, chars_col))
+    kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
+    names = [id_col, text_col, *([chars_col] if chars_col in docs.columns else []), *carry]
+    schema = ", ".join(f"`{c}` {'string' if c == text_col else 'long' if c in (id_col, chars_col) else kinds[c]}" for c in names) + ", empty boolean"
+    arrow = {c: t for c, t in zip(names, pa_types(docs, names), strict=True)}
+
+    def finish(ids, bodies, covers, carried):
+        texts = [np.frombuffer(t, np.uint8)[~c].tobytes().decode("utf-8", "ignore") if c.any() else t.decode("utf-8", "replace") for t, c in zip(bodies, covers, strict=True)]
+        columns = {id_col: pa.array(ids, pa.int64()), text_col: pa.array(texts, pa.string())}
+        if chars_col in names:
+            columns[chars_col] = pa.array(list(map(len, texts)), pa.int64())
+        columns |= {c: pa.array(v, arrow[c]) for c, v in zip(carry, carried, strict=True)}
+        columns["empty"] = pa.array([bool(c.any()) and not t for t, c in zip(texts, covers, strict=True)], pa.bool_())
+        return pa.table(columns)
+
+    found = repeated_spans(docs, finish, schema, width=width, id_col=id_col, text_col=text_col, carry=carry)
+    return found.where("not empty").select(*docs.columns)
+
+
+def pa_types(docs: DataFrame, names: list[str]) -> list[pa.DataType]:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return [to_arrow_type(docs.schema[c].dataType) for c in names]
