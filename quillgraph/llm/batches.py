@@ -53,7 +53,7 @@ def unpacked(texts: bytes, lengths: bytes) -> list[bytes]:
 
 
 def slices_for(batches: int) -> int:
-    return max(48, min(8192, batches // 2))
+    return max(48, min(8192, batches))
 
 
 def rows_of(batches):

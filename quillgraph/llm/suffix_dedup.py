@@ -28,6 +28,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,27 +78,43 @@ def segments(anchor: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return starts, n
 
 
-class Columns:
-    """The columns of the transform, each a file; a round writes new ones in order."""
+def dense(values: np.ndarray, dtype) -> bytes:
+    """Differences of neighbours, compressed: short for values that mostly grow a little."""
+    return zlib.compress(np.diff(values.astype(dtype), prepend=np.zeros(1, dtype)).tobytes(), 1)
+
+
+def undense(data: bytes, dtype) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(data), dtype), dtype=dtype)
+
+
+class Column:
+    """The transform as a file of records, one a suffix in order: its string, its
+    length, the common prefix with the one before, the symbol before it. A round
+    reads the file from front to back and writes the next one."""
 
     def __init__(self):
-        self.files: dict[str, tempfile._TemporaryFileWrapper] = {}
+        self.file = None
 
-    def write(self, name: str, values: np.ndarray) -> None:
-        file = tempfile.TemporaryFile()
-        values.tofile(file)
-        file.flush()
-        if name in self.files:
-            self.files[name].close()
-        self.files[name] = file
+    def write(self, records: np.ndarray) -> None:
+        if self.file is not None:
+            self.file.close()
+        self.file = tempfile.TemporaryFile()
+        records.tofile(self.file)
+        self.file.flush()
 
-    def read(self, name: str, dtype) -> np.ndarray:
-        self.files[name].seek(0)
-        return np.fromfile(self.files[name], dtype)
+    def read(self) -> np.ndarray:
+        self.file.seek(0)
+        return np.fromfile(self.file, np.uint64)
 
     def close(self) -> None:
-        for file in self.files.values():
-            file.close()
+        if self.file is not None:
+            self.file.close()
+
+
+def record(string, length, common, symbol) -> np.ndarray:
+    parts = (np.asarray(x).astype(np.uint64) for x in (string, length, common, symbol))
+    string, length, common, symbol = parts
+    return string << np.uint64(24) | length << np.uint64(16) | common << np.uint64(8) | symbol
 
 
 def least_between(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -107,7 +124,9 @@ def least_between(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np
         return np.zeros(0, values.dtype)
     at = np.empty(2 * len(first), np.int64)
     at[0::2], at[1::2] = first[::-1], last[::-1] + 1
-    return np.minimum.reduceat(np.r_[values, values.dtype.type(255)], at)[::2][::-1]
+    padded = np.empty(len(values) + 1, values.dtype)
+    padded[:-1], padded[-1] = values, 255
+    return np.minimum.reduceat(padded, at)[::2][::-1]
 
 
 def sorted_suffixes(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,44 +136,44 @@ def sorted_suffixes(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.nd
     lengths = np.fromiter(map(len, strings), np.int64, m)
     flat = np.frombuffer(b"".join(strings), np.uint8)
     ends = np.cumsum(lengths)
-    columns = Columns()
+    column = Column()
     try:
         # the empty suffixes, each preceded by its string's last symbol
-        columns.write("transform", np.where(lengths > 0, flat[np.maximum(ends - 1, 0)] if len(flat) else BEFORE, BEFORE).astype(np.uint8))
-        columns.write("common", np.zeros(m, np.uint8))
-        columns.write("string", np.arange(m, dtype=np.int32))
-        columns.write("length", np.zeros(m, np.uint8))
+        last = flat[np.maximum(ends - 1, 0)] if len(flat) else np.full(m, BEFORE, np.uint8)
+        column.write(record(np.arange(m), np.zeros(m), np.zeros(m), np.where(lengths > 0, last, BEFORE)))
         for taken in range(int(lengths.max(initial=0))):
-            before, common, string, length = columns.read("transform", np.uint8), columns.read("common", np.uint8), columns.read("string", np.int32), columns.read("length", np.uint8)
+            old = column.read()
+            fields = old.view(np.uint8).reshape(-1, 8)
+            before, common = np.ascontiguousarray(fields[:, 0]), np.ascontiguousarray(fields[:, 1])
             # each symbol's rows, in order, are where the suffixes that start with it come from
             order = np.argsort(before, kind="stable")
             order = order[: len(order) - int((before == BEFORE).sum())]
-            fresh = (length == taken)[order]
-            symbol = before[order]
-            new = {}
-            for name, old in (("transform", before), ("common", common), ("string", string), ("length", length)):
-                values = np.empty(m + len(order), old.dtype)
-                values[:m] = old[:m]
-                values[m:][~fresh] = old[m:]
-                new[name] = values
-            own = string[order[fresh]]
-            left = ends[own] - taken - 2  # the symbol before the one taken now
-            more = lengths[own] > taken + 1
-            new["transform"][m:][fresh] = np.where(more, flat[np.maximum(left, 0)], BEFORE)
-            new["string"][m:][fresh] = own
-            new["length"][m:][fresh] = taken + 1
+            fresh = (fields[:, 2] == taken)[order]
+            new = np.empty(m + len(order), np.uint64)
+            new[:m] = old[:m]
+            rest = new[m:]
+            rest[~fresh] = old[m:]
+            at = np.flatnonzero(fresh)
+            own = (old[order[at]] >> np.uint64(24)).astype(np.int64)
+            symbol = np.where(lengths[own] > taken + 1, flat[np.maximum(ends[own] - taken - 2, 0)], BEFORE)
+            rest[at] = record(own, np.full(len(own), taken + 1), np.zeros(len(own)), symbol)
             # common prefixes change where a suffix or the one before it is new
-            same = np.r_[False, symbol[1:] == symbol[:-1]] if len(symbol) else np.zeros(0, bool)
-            changed = fresh | np.r_[False, fresh[:-1]] if len(fresh) else fresh
-            at = np.flatnonzero(changed & same)
-            values = new["common"][m:]
-            values[changed & ~same] = 0
-            values[at] = np.minimum(least_between(common, order[at - 1] + 1, order[at]).astype(np.int64) + 1, 254)
-            for name, column in new.items():
-                columns.write(name, column)
-        return columns.read("string", np.int32), columns.read("length", np.uint8), columns.read("common", np.uint8)
+            fresh[1:] |= fresh[:-1].copy()
+            changed = np.flatnonzero(fresh)
+            inner = changed[changed > 0]
+            here, there = order[inner], order[inner - 1]
+            same = before[here] == before[there]
+            inner, here, there = inner[same], here[same], there[same]
+            values = np.zeros(len(changed), np.uint64)
+            skipped = len(changed) - len(same)  # the very first row has none before it
+            values[skipped:][same] = np.minimum(least_between(common, there + 1, here).astype(np.uint64) + np.uint64(1), np.uint64(254))
+            rest[changed] = rest[changed] & ~np.uint64(0xFF00) | values << np.uint64(8)
+            column.write(new)
+        found = column.read()
+        fields = found.view(np.uint8).reshape(-1, 8)
+        return (found >> np.uint64(24)).astype(np.int64), fields[:, 2].copy(), fields[:, 1].copy()
     finally:
-        columns.close()
+        column.close()
 
 
 def least_owner(strings: list[bytes], owner: np.ndarray, width: int) -> list[np.ndarray]:
@@ -202,19 +221,19 @@ def repeated_spans(docs: DataFrame, finish, schema: str, width: int = 50, gram:
             own = [np.unique(a & ~np.uint64(1)) for _, _, a in documents(row)]
             if own:
                 a, n = np.unique(np.concatenate(own), return_counts=True)
-                a |= (n > 1).astype(np.uint64)
                 parts = grouped(slice_of(a), slices)
-                yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([a[p].tobytes() for p in parts], pa.binary())], names=["slice", "a"])
+                a = (a >> np.uint64(KEPT)) & ~np.uint64(1) | (n > 1).astype(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([dense(a[p], np.uint64) for p in parts], pa.binary())], names=["slice", "a"])
 
     def shared(table: pa.Table) -> pa.Table:
         """Words of the bitmap of the anchors that two documents have."""
-        a = np.concatenate([np.frombuffer(x.as_py(), np.uint64) for x in table["a"]])
+        a = np.concatenate([undense(x.as_py(), np.uint64) for x in table["a"]])
         name = a & ~np.uint64(1)
         order = np.argsort(name)
         name, twice = name[order], (a[order] & np.uint64(1)).astype(bool)
         if len(name):
             twice[1:] |= name[1:] == name[:-1]
-        place = (name[twice] >> top).astype(np.int64)
+        place = (name[twice] >> (top - np.uint64(KEPT))).astype(np.int64)
         words, at = np.unique(place >> 5, return_inverse=True)
         values = np.zeros(len(words), np.uint32)
         np.bitwise_or.at(values, at, np.uint32(1) << (place & 31).astype(np.uint32))
@@ -231,7 +250,7 @@ def repeated_spans(docs: DataFrame, finish, schema: str, width: int = 50, gram:
         """Segments under shared anchors, equal ones once a batch, and where they stand."""
         held_bits = np.frombuffer(zlib.decompress(kept.value), np.uint32)
         for row in rows_of(batches):
-            ids = [NO_ID if i is None else i for i in row["ids"]]
+            ids = np.array([NO_ID if i is None else i for i in row["ids"]], np.int64)
             index: dict[bytes, int] = {}
             anchor_of: list[np.ndarray] = []
             where, doc, start = [], [], []
@@ -263,7 +282,8 @@ def repeated_spans(docs: DataFrame, finish, schema: str, width: int = 50, gram:
                 new_place[c] = np.arange(len(c))
                 blob = [contents[x] for x in c.tolist()]
                 owner = doc[p]
-                rows.append((s, row["batch"], zlib.compress(b"".join(blob), 1), np.fromiter(map(len, blob), np.uint8, len(blob)).tobytes(), name[c].tobytes(), new_place[where[p]].astype(np.int32).tobytes(), owner.tobytes(), np.array(ids, np.int64)[owner].tobytes(), start[p].tobytes()))
+                present = np.unique(owner)
+                rows.append((s, row["batch"], zstandard.compress(b"".join(blob), 3), np.fromiter(map(len, blob), np.uint8, len(blob)).tobytes(), (name[c] >> np.uint64(8)).astype(np.uint32).tobytes(), dense(new_place[where[p]], np.int32), dense(owner, np.int32), dense(ids[present], np.int64), dense(start[p], np.int64)))
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int32(), pa.int64()] + [pa.binary()] * 7, strict=True)], names=NAMES)
 
     def compare(table: pa.Table) -> pa.Table:
@@ -272,8 +292,8 @@ def repeated_spans(docs: DataFrame, finish, schema: str, width: int = 50, gram:
         name: list[int] = []
         occurrences = []
         for row in table.to_pylist():
-            flat, at, local = zlib.decompress(row["blob"]), 0, []
-            for n, a in zip(row["sizes"], np.frombuffer(row["names"], np.uint64).tolist(), strict=True):
+            flat, at, local = zstandard.decompress(row["blob"]), 0, []
+            for n, a in zip(row["sizes"], np.frombuffer(row["names"], np.uint32).tolist(), strict=True):
                 text = flat[at : at + n]
                 at += n
                 key = (a, text)
@@ -281,13 +301,15 @@ def repeated_spans(docs: DataFrame, finish, schema: str, width: int = 50, gram:
                     index[key] = len(index)
                     name.append(a)
                 local.append(index[key])
-            occurrences.append((row["batch"], np.array(local, np.int64)[np.frombuffer(row["at"], np.int32)], np.frombuffer(row["doc"], np.int32), np.frombuffer(row["id"], np.int64), np.frombuffer(row["start"], np.int64)))
+            doc = undense(row["doc"], np.int32)
+            _, known = np.unique(doc, return_inverse=True)
+            occurrences.append((row["batch"], np.array(local, np.int64)[undense(row["at"], np.int32)], doc, undense(row["id"], np.int64)[known], undense(row["start"], np.int64)))
         owner = np.full(len(index), NO_ID, np.int64)
         for _, content, _, id_, _ in occurrences:
             np.minimum.at(owner, content, id_)
         contents = [text for _, text in index]
         windows = np.fromiter((len(x) - width + 1 for x in contents), np.int64, len(contents))
-        _, group, members = np.unique(np.array(name, np.uint64), return_inverse=True, return_counts=True)
+        _, group, members = np.unique(np.array(name, np.uint32), return_inverse=True, return_counts=True)
         several = np.flatnonzero(members[group] > 1) if len(name) else np.zeros(0, np.int64)
         single = np.ones(len(contents), bool)
         single[several] = False
@@ -329,6 +351,9 @@ def repeated_spans(docs: DataFrame, finish, schema: str, width: int = 50, gram:
     return packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(remove, schema)
 
 
+#: Low bits of an anchor that the first pass leaves out; it may then let a few more pass.
+KEPT = 14
+
 NAMES = ["slice", "batch", "blob", "sizes", "names", "at", "doc", "id", "start"]
 
 
