@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .oracles import ORACLES
+from .queries import QUERIES
+
 FLAGSHIP = "hybrid_fusion"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
