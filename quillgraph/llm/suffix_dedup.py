@@ -62,7 +62,10 @@ def anchors(b: np.ndarray, width: int, gram: int) -> np.ndarray:
     while k * 2 <= w:
         x = np.minimum(x[:-k], x[k:])
         k *= 2
-    return np.minimum(x[: len(x) - (w - k)], x[w - k :]) if w > k else x
+    x = np.minimum(x[: len(x) - (w - k)], x[w - k :]) if w > k else x
+    # least values crowd near zero; spread them again, for slices of like size
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(29))
 
 
 def segments(anchor: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
