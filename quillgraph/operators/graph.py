@@ -93,7 +93,7 @@ def greedy_merge(pairs: DataFrame) -> DataFrame:
     return decided if decided is not None else pairs.sparkSession.createDataFrame([], "absorbed long, keeper long")
 
 
-def louvain(edges: DataFrame, levels: int = 4, rounds: int = 10, least_moves: int = 0) -> DataFrame:
+def louvain(edges: DataFrame, levels: int = 3, rounds: int = 5, least_moves: int = 0) -> DataFrame:
     """node, community: modularity communities (Blondel et al., 2008) of an undirected
     graph (x, y, w), in rounds of simultaneous moves.
 

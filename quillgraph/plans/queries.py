@@ -194,7 +194,7 @@ def detach_delete(spark, d):
 def louvain_communities(spark, d):
     edges = has_topic(spark, d).select(F.col("doc_id").alias("x"), (-F.col("topic") - 1).alias("y"), F.lit(1.0).alias("w"))
     near = pairs(spark, d).select((-F.col("a") - 1).alias("x"), (-F.col("b") - 1).alias("y"), F.lit(1.0).alias("w"))
-    return graph.louvain(edges.union(near))
+    return graph.louvain(edges.union(near), levels=2, rounds=4)
 
 
 def graph_stats(spark, d):
