@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from quillgraph.llm import byte_bpe, jaccard_join, lm_scoring, packing, quality_rules, sharding, suffix_dedup, token_counts, topk_search, url_filter
-from quillgraph.llm.components import components
+from quillgraph.operators.graph import components
 
 WORDS = ["the", "and", "éa", "on", "The", "xo", "日本", "don't", "x²", "<|endoftext|>", "__", "ﬁ"]
 
