@@ -88,6 +88,19 @@ def batches_of_texts(batches, limit: int = 16 << 20):
             yield ids.slice(start, len(out)), out
 
 
+_held: dict = {}
+
+
+def held(make, *args):
+    """``make(*args)``, once a worker process. Workers go from operator to operator:
+    what another one held (vocabularies, cached words) is let go."""
+    if any(other is not make for other, *_ in _held):
+        _held.clear()
+    if (make, *args) not in _held:
+        _held[make, *args] = make(*args)
+    return _held[make, *args]
+
+
 class Recent:
     """A bounded look-up table of what was asked for lately: two generations of at
     most ``size`` entries and what one request adds. A key that is asked for again
@@ -108,4 +121,4 @@ class Recent:
         return list(absent - again)
 
 
-__all__ = ["WORD", "Recent", "batches_of_texts", "cut", "shared_dir", "ship", "table", "text_or_empty"]
+__all__ = ["WORD", "Recent", "batches_of_texts", "cut", "held", "shared_dir", "ship", "table", "text_or_empty"]

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, batches_of_texts, ship
+from .common import Recent, batches_of_texts, held, ship
 
 VOCABULARY = "word_bpe_49k.json"
 
@@ -71,13 +71,8 @@ class WordTokenizer:
         return [b"".join(map(get, x)) for x in words]
 
 
-_tokenizers: dict[str, WordTokenizer] = {}
-
-
 def word_tokenizer(path: str) -> WordTokenizer:
-    if path not in _tokenizers:
-        _tokenizers[path] = WordTokenizer(path)
-    return _tokenizers[path]
+    return held(WordTokenizer, path)
 
 
 def piece_lengths(n: int, limit: int = 4096) -> list[int]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of_texts, ship
+from .common import batches_of_texts, held, ship
 
 VOCABULARY = "piece_bpe_32k.model"
 SYMBOLS = b"#*$%&|<>"
@@ -116,13 +116,8 @@ def repeated(index: np.ndarray, window: int = 3) -> int:
     return int(covered.sum())
 
 
-_models: dict[str, Fertility] = {}
-
-
 def fertility(path: str) -> Fertility:
-    if path not in _models:
-        _models[path] = Fertility(path)
-    return _models[path]
+    return held(Fertility, path)
 
 
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, n_tokens long, letters_per_token double, fallback_share double, token_entropy double, band string, kept boolean"

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, batches_of_texts, ship
+from .common import Recent, batches_of_texts, held, ship
 
 VOCABULARY = "word_bpe_49k.json"
 END = "</w>"
@@ -316,13 +316,8 @@ class PrefixCounter:
         return len(text[:at].decode("utf-8", "replace")) + int(good[-1])
 
 
-_counters: dict[str, PrefixCounter] = {}
-
-
 def counter(path: str) -> PrefixCounter:
-    if path not in _counters:
-        _counters[path] = PrefixCounter(path)
-    return _counters[path]
+    return held(PrefixCounter, path)
 
 
 def token_counts(docs: DataFrame, budget: int = 2048, path: str | None = None, prefixes: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
