@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .state import cut
+from .state import cut, written
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -93,49 +93,75 @@ def greedy_merge(pairs: DataFrame) -> DataFrame:
     return decided if decided is not None else pairs.sparkSession.createDataFrame([], "absorbed long, keeper long")
 
 
-def louvain(edges: DataFrame, levels: int = 3, rounds: int = 5, least_moves: int = 0) -> DataFrame:
+def louvain(edges: DataFrame, levels: int = 40, rounds: int = 100) -> DataFrame:
     """node, community: modularity communities (Blondel et al., 2008) of an undirected
-    graph (x, y, w), in rounds of simultaneous moves.
-
-    In a round a drawn half of the nodes each move to the neighbouring community of
-    the greatest gain, so that neighbours don't swap places for ever; then
-    communities become nodes, and so on until nothing moves. Ties go to the smaller
-    community; communities are named after their smallest node. Iterations are joins
-    and aggregations over edges, checkpointed; what reaches the driver are counts.
+    graph (x, y, w), in turns of simultaneous moves.
+
+    In a turn a drawn part of the nodes, a half at first, each move to the
+    neighbouring community of the greatest gain; the next turn is the other part's.
+    A turn that doesn't raise modularity (neighbours that swap places, say) is taken
+    back and drawn again in parts half as large, in the end one node, whose gain is
+    certain. So modularity only rises, and a level ends when no node of either part
+    has a move that gains; then communities become nodes, until none merge. Ties go
+    to the smaller community; communities are named after their smallest node.
+    Gains count to nine decimals of weight.
+
+    ``levels`` and ``rounds`` (of as many turns as there are parts, in a level) are
+    bounds for safety: a graph that isn't settled there is an error. Iterations are
+    joins and aggregations over edges, written each turn; what reaches the driver are
+    counts and sums.
     """
     both = edges.where("x <> y").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), F.col("w").cast("double").alias("w")).groupBy("x", "y").agg(F.sum("w").alias("w"))
-    graph = cut(both.union(both.select("y", "x", "w")))  # each link twice; a loop holds its weight twice
+    graph = written(both.union(both.select("y", "x", "w")))  # each link twice; a loop holds its weight twice
     total = graph.agg(F.coalesce(F.sum("w"), F.lit(0.0))).head()[0]
-    placed = cut(graph.select(F.col("x").alias("node")).distinct().withColumn("community", F.col("node")))
+    placed = written(graph.select(F.col("x").alias("node")).distinct().withColumn("community", F.col("node")))
     if not total:
         return placed
-    for level in range(levels):
-        weights = cut(graph.groupBy(F.col("x").alias("n")).agg(F.sum("w").alias("k")))
-        state = cut(weights.select("n", "k", F.col("n").alias("c")))
-        moved_here = 0
-        for step in range(rounds):
-            size = state.groupBy("c").agg(F.sum("k").alias("s"))
-            near = graph.where("x <> y").join(state.select(F.col("n").alias("y"), "c"), "y").groupBy(F.col("x").alias("n"), "c").agg(F.sum("w").alias("kc"))
-            own = state.select("n", "c", F.lit(0.0).alias("kc"))
-            options = near.unionByName(own).groupBy("n", "c").agg(F.sum("kc").alias("kc")).join(size, "c").join(state.select("n", "k", F.col("c").alias("at")), "n")
-            gain = F.col("kc") - F.col("k") * (F.col("s") - F.when(F.col("c") == F.col("at"), F.col("k")).otherwise(0.0)) / total
-            best = options.select("n", "k", "at", "c", F.round(gain, 9).alias("g")).groupBy("n", "k", "at").agg(F.max(F.struct("g", (F.col("c") == F.col("at")).alias("stay"), (-F.col("c")).alias("less"))).alias("b"))
-            drawn = F.pmod(F.xxhash64("n", F.lit(level * rounds + step)), F.lit(2)) == 0
-            state = cut(best.select("n", "k", F.when(drawn, -F.col("b.less")).otherwise(F.col("at")).alias("c"), (drawn & (-F.col("b.less") != F.col("at"))).alias("moved")))
-            moves = state.where("moved").count()
-            state = state.drop("moved")
-            moved_here += moves
-            if moves <= least_moves and step:
-                break
+    for level in range(levels + 1):
+        state, moved_here = settle(graph, total, level, rounds)
         if not moved_here:
             break
-        names = cut(state.groupBy("c").agg(F.min("n").alias("name")).join(state, "c").select("n", "name"))
-        placed = cut(placed.join(names, placed.community == names.n).select("node", F.col("name").alias("community")))
-        graph = cut(graph.join(names.select(F.col("n").alias("x"), F.col("name").alias("cx")), "x").join(names.select(F.col("n").alias("y"), F.col("name").alias("cy")), "y").groupBy(F.col("cx").alias("x"), F.col("cy").alias("y")).agg(F.sum("w").alias("w")))
+        if level == levels:
+            raise RuntimeError("louvain: communities still merge at the last level")
+        names = written(state.groupBy("c").agg(F.min("n").alias("name")).join(state, "c").select("n", "name"))
+        placed = written(placed.join(names, placed.community == names.n).select("node", F.col("name").alias("community")))
+        graph = written(graph.join(names.select(F.col("n").alias("x"), F.col("name").alias("cx")), "x").join(names.select(F.col("n").alias("y"), F.col("name").alias("cy")), "y").groupBy(F.col("cx").alias("x"), F.col("cy").alias("y")).agg(F.sum("w").alias("w")))
     names = placed.groupBy("community").agg(F.min("node").alias("name"))
     return placed.join(names, "community").select("node", F.col("name").alias("community"))
 
 
+def settle(graph: DataFrame, total: float, level: int, rounds: int) -> tuple[DataFrame, bool]:
+    """(n, c) once no node of ``graph`` gains by a move, and whether any moved."""
+    state = graph.groupBy(F.col("x").alias("n")).agg(F.sum("w").alias("k")).select("n", "k", F.col("n").alias("c"))
+    wants = F.col("to") != F.col("at")
+    held, height, parts, turn, spent, movers = None, 0.0, 2, 0, 0.0, 0
+    while True:
+        size = state.groupBy("c").agg(F.sum("k").alias("s"))
+        near = graph.where("x <> y").join(state.select(F.col("n").alias("y"), "c"), "y").groupBy(F.col("x").alias("n"), "c").agg(F.sum("w").alias("kc"))
+        own = state.select("n", "c", F.lit(0.0).alias("kc"))
+        options = near.unionByName(own).groupBy("n", "c").agg(F.sum("kc").alias("kc")).join(size, "c").join(state.select("n", "k", F.col("c").alias("at")), "n")
+        here = F.col("c") == F.col("at")
+        gain = F.col("kc") - F.col("k") * (F.col("s") - F.when(here, F.col("k")).otherwise(0.0)) / total
+        share = F.when(here, F.col("kc") - F.col("k") * F.col("s") / total)  # of modularity, less loops, which stay
+        best = options.select("n", "k", "at", "c", F.round(gain, 9).alias("g"), share.alias("q")).groupBy("n", "k", "at").agg(F.max(F.struct("g", (F.col("c") == F.col("at")).alias("stay"), (-F.col("c")).alias("less"))).alias("b"), F.max("q").alias("q"))
+        best = written(best.select("n", "k", "at", (-F.col("b.less")).alias("to"), "q"))
+        now, left = best.agg(F.sum("q"), F.count_if(wants)).head()
+        if held is None or movers == 1 or now > height:
+            moved = held is not None
+            held, height, parts = best, now, max(2, parts // 2)
+            if not left:
+                return held.select("n", F.col("at").alias("c")), moved
+        else:
+            parts *= 2
+        if spent >= rounds:
+            raise RuntimeError("louvain: nodes still move at the last round")
+        drawn = F.pmod(F.xxhash64("n", F.lit(level), F.lit(turn // parts)) - turn, F.lit(parts))
+        part, movers = held.where(wants).groupBy(drawn.alias("part")).count().orderBy("part").head()  # the next with a move
+        state = held.select("n", "k", F.when(wants & (drawn == part), F.col("to")).otherwise(F.col("at")).alias("c"))
+        turn += 1
+        spent += 1 / parts
+
+
 def modularity(edges: DataFrame, placed: DataFrame) -> float:
     both = edges.where("x <> y").select("x", "y", F.col("w").cast("double").alias("w"))
     both = both.union(both.select("y", "x", "w"))

@@ -3,15 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder of spark.checkpoint.dir, which all executors share;
-    in a temporary one where that is unset, as in tests."""
+def shared_dir(df: DataFrame) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share; a temporary one
+    where that is unset, as in tests."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillgraph-checkpoints-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder."""
+    shared_dir(df)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """A table in the shared folder. A checkpoint keeps the estimated size of its plan,
+    a number whose digits multiply with every join of a long iteration; a table has
+    the size of its files."""
+    path = f"{shared_dir(df)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -121,6 +121,19 @@ def test_louvain(spark):
     assert graph.modularity(edges, placed) > 0.3
 
 
+def test_louvain_settles(spark):
+    """Every leaf of a star is in its topic's community, and of a pair as well."""
+    edges = spark.range(2000).select(F.col("id").alias("x"), (-F.pmod("id", F.lit(20)) - 1).alias("y"), F.lit(1.0).alias("w"))
+    pairs = spark.range(3000, 3200, 2).select(F.col("id").alias("x"), (F.col("id") + 1).alias("y"), F.lit(1.0).alias("w"))
+    placed = {r.node: r.community for r in graph.louvain(edges.union(pairs)).collect()}
+    assert all(placed[i] == placed[-(i % 20) - 1] for i in range(2000))
+    assert all(placed[i] == placed[i + 1] for i in range(3000, 3200, 2))
+    assert len(set(placed.values())) == 120
+    with pytest.raises(RuntimeError):
+        graph.louvain(edges, rounds=0)
+
+
+
 def test_crawl(spark):
     found = spark.createDataFrame([("u1", "a", 1), ("u1", "b", 2), ("u2", "a", 3), ("u3", "a", 4)], "url string, category string, seq long")
     urls = lambda *u: spark.createDataFrame([(x,) for x in u], "url string")
