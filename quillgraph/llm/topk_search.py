@@ -15,6 +15,10 @@ that remain are then resolved by reading on for them alone.
 Scale: candidates and queries are dealt into blocks of bounded size and each
 pair of blocks is one task, so no task and no broadcast grows with the data.
 The work is |queries| x |rows| by the nature of an exact search.
+
+Components so large that a sum of products could leave the exact integers of a
+double are a block of their own: rounded scores with a bound on their error leave
+few candidates, whose scores are summed in integers of any size.
 """
 
 from __future__ import annotations
@@ -33,18 +37,16 @@ EXACT = float(2**53)
 
 
 def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """(vec_id, v array<long>, dims): floor(scale * x); rows that take no part are gone.
+    """(vec_id, v array<double>, dims): floor(scale * x); rows that take no part are gone.
 
     Null ids, null or empty vectors and vectors with null or non-finite
-    components take no part, nor do vectors so long or large that a score could
-    leave the exact integers of a double.
+    components take no part.
     """
     x = F.transform(F.col(vec_col), lambda e: e.cast("double"))
     good = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x")).where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0) & good)
-    top = F.array_max(F.transform("x", lambda e: F.abs(F.floor(e * scale).cast("double"))))
-    rows = rows.where(top * top * F.size("x") < EXACT)
-    return rows.select("vec_id", F.transform("x", lambda e: F.floor(e * scale).cast("long")).alias("v"), F.size("x").alias("dims"))
+    whole = lambda e: F.when(F.abs(e) < EXACT, F.floor(F.when(F.abs(e) < EXACT, e)).cast("double")).otherwise(e)  # noqa: E731  (larger doubles have no fraction)
+    return rows.select("vec_id", F.transform("x", lambda e: whole(e * scale)).alias("v"), F.size("x").alias("dims"))
 
 
 def nra_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -90,13 +92,44 @@ def nra_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k:
     return tuple(np.concatenate(x) for x in zip(*rows, strict=True))
 
 
+def wide_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``nra_block`` gives, for components of any size. A candidate is out if
+    its rounded score and the error that this can have are below the k-th best; a
+    best score that no long holds is an OverflowError."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        about = q @ c.T
+        error = np.abs(q) @ np.abs(c).T * (c.shape[1] * 2.0**-51)
+        low, high = about - error, about + error
+    own = qid[:, None] == cid[None, :]
+    low[own] = -np.inf
+    rows = []
+    for i in range(len(qid)):
+        kth = np.partition(low[i], len(cid) - k)[len(cid) - k] if len(cid) > k else -np.inf
+        left = np.flatnonzero(~(high[i] < kth) & ~own[i])  # what isn't a number stays
+        mine = [int(x) for x in q[i]]
+        scored = sorted((-sum(a * int(b) for a, b in zip(mine, c[j], strict=True)), int(cid[j])) for j in left)[:k]
+        rows += [(qid[i], j, -score) for score, j in scored]
+    return tuple(np.array([r[x] for r in rows], np.int64) for x in range(3))
+
+
+def block_best(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each query's k best among the candidates of usual size, and among the others."""
+    with np.errstate(over="ignore"):
+        q_wide, c_wide = (np.abs(x).max(1) ** 2 * x.shape[1] >= EXACT for x in (q, c))
+    found = []
+    for a, b, best in ((~q_wide, ~c_wide, nra_block), (~q_wide, c_wide, wide_block), (q_wide, c_wide | ~c_wide, wide_block)):
+        if a.any() and b.any():
+            found.append(best(qid[a], q[a], cid[b], c[b], k))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def topk_search(queries: DataFrame, candidates: DataFrame, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding", query_block: int = 1024, cand_block: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best candidates.
 
     Ties go to the smaller vec_id; a candidate with the query's own id is left
     out. Repeated query ids count once (the least vector stands for them);
     repeated candidate rows are rows of their own. Vectors of different lengths
-    are never compared. Empty inputs give no rows. Extra columns are ignored.
+    are never compared. A best score that no long holds is an error. Empty inputs give no rows. Extra columns are ignored.
     """
     spark = queries.sparkSession
     ship(spark)
@@ -111,7 +144,7 @@ def topk_search(queries: DataFrame, candidates: DataFrame, k: int = 10, scale: i
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        out = nra_block(left.vec_id.to_numpy(), np.array(left.v.tolist(), float), right.vec_id.to_numpy(), np.array(right.v.tolist(), float), k)
+        out = block_best(left.vec_id.to_numpy(), np.array(left.v.tolist(), float), right.vec_id.to_numpy(), np.array(right.v.tolist(), float), k)
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), out, strict=True)))
 
     keys = ("qb", "cb", "dims")

@@ -77,6 +77,18 @@ def test_topk_search(spark):
     assert topk_search.topk_search(table.where("false"), table).count() == 0
 
 
+def test_topk_search_of_large_components(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.normal(size=8) * (1 if i % 3 else 10.0 ** (i % 5 + 2))).tolist()) for i in range(200)]
+    rows += [(i, [2.0**20] * 7 + [(i % 7) / 1024]) for i in range(200, 230)]  # scores differ beyond a double's digits
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = collected(topk_search.topk_search(table.where("vec_id % 10 = 0"), table, k=5, cand_block=64, query_block=4))
+    whole = {i: [math.floor(1024 * x) for x in v] for i, v in rows}
+    for q in range(0, 230, 10):
+        best = sorted((-sum(a * b for a, b in zip(whole[q], w)), j) for j, w in whole.items() if j != q)[:5]
+        assert [(r["vec_id"], r["score"]) for r in sorted((r for r in found if r["query_id"] == q), key=lambda r: r["rank"])] == [(j, -s) for s, j in best]
+
+
 def test_packing(docs, empty):
     library = Tokenizer.from_file(P.path(packing.VOCABULARY))
     want = Counter((str(i), np.array([*library.encode(t.decode(), add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, t in bare(make()))
