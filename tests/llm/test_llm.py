@@ -204,6 +204,17 @@ def test_quality(docs, empty):
     assert quality_rules.quality(empty).count() == 0
 
 
+def test_quality_bands(spark):
+    """The bands follow their rule; on labels held out, they lose little and keep little junk."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    figures = quality_rules.quality(docs.join(labels.select("doc_id"), "doc_id", "left_semi").repartition(8)).persist()
+    for r in quality_rules.lower_bounds(figures, labels).collect():
+        assert quality_rules.BANDS[r.band].letters_per_token[0] == r.least
+    held_out = figures.where("not base_failed and doc_id % 2 = 1").join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept"))
+    kept = {r.quality: r.kept for r in held_out.collect()}
+    assert kept[1] > 0.99 and kept[0] < 0.1
+
+
 def plain_components(rows):
     sets = []
     for i, t in rows:
