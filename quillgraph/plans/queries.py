@@ -265,11 +265,18 @@ def event_envelopes(spark, d):
     return upsert.merge(None, nodes, ["id"]).select("id", "issuer", F.length("contentEn").cast("long").alias("n"))
 
 
+def known_vectors(spark, d):
+    """Topics upserted by name: a fresh vector (the old one turned by a place) counts,
+    none leaves the old one."""
+    old = embeddings(spark, d).select("vec_id", "embedding")
+    turned = F.concat(F.slice("embedding", 2, F.size("embedding") - 1), F.slice("embedding", 1, 1))
+    new = embeddings(spark, d).select("vec_id", F.when((F.col("label") < 5) & F.get("embedding", F.lit(1)).isNotNull(), turned).alias("embedding"))
+    return upsert.keep_known(new, old, "vec_id", "embedding")
+
+
 def keep_known_vectors(spark, d):
-    """Topics upserted by name: a fresh vector counts, none leaves the old one."""
-    old = embeddings(spark, d).select("vec_id", F.col("embedding")[0].alias("x"))
-    new = embeddings(spark, d).select("vec_id", F.when(F.col("label") < 5, F.col("embedding")[1]).alias("x"))
-    return upsert.keep_known(new, old, "vec_id", "x").select("vec_id", F.round(F.col("x").cast("double"), 6).alias("x"))
+    """Whole vectors upserted, told by their first component."""
+    return known_vectors(spark, d).select("vec_id", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("x"))
 
 
 def link_topics(spark, d):

@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from quillgraph.plans import queries
 from quillgraph.plans.registry import FLAGSHIP, ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -27,6 +28,12 @@ def test_query_matches_sql(spark, sql, name):
     assert rows(QUERIES[name](spark, DATA).toPandas()) == rows(sql.execute(ORACLES[name]).df())
 
 
+def test_known_vectors_are_whole(spark, sql):
+    want = sql.execute("SELECT vec_id, CASE WHEN label < 5 THEN embedding[2:] || embedding[1:1] ELSE embedding END AS v FROM embeddings").fetchall()
+    found = [(r.vec_id, r.embedding) for r in queries.known_vectors(spark, DATA).collect()]
+    assert sorted(found) == sorted(want) and all(len(v) == 64 for _, v in found)
+
+
 def test_flagship_is_registered():
     assert FLAGSHIP in QUERIES
 
