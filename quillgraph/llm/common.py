@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
+import inspect
 import io
 import os
+import re
 import sys
 import tempfile
 import zipfile
@@ -52,11 +56,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a
-    temporary one only where that is unset, as in tests."""
+    """The folder that all executors share, from spark.checkpoint.dir. Where that is
+    unset, a temporary one on a local master, as in tests; on a cluster, whose
+    executors couldn't see it, an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not found.isDefined() and not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = found.get() if found.isDefined() else tempfile.mkdtemp(prefix="quillgraph-checkpoints-")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(named)
@@ -88,6 +95,44 @@ def batches_of_texts(batches, limit: int = 16 << 20):
             yield ids.slice(start, len(out)), out
 
 
+def give_back() -> None:
+    """Returns what this worker has freed to the system. Idle workers stay alive
+    beside busy ones, with all that their allocators keep."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def tidy(run):
+    """``run`` over a task's batches, that gives memory back at the end."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def tidy_group(run):
+    """``run`` on the tables of a group, that gives memory back at its end."""
+
+    def one(table):
+        try:
+            return run(table)
+        finally:
+            give_back()
+
+    def two(left, right):
+        try:
+            return run(left, right)
+        finally:
+            give_back()
+
+    return two if len(inspect.signature(run).parameters) == 2 else one
+
+
 _held: dict = {}
 
 
@@ -121,4 +166,4 @@ class Recent:
         return list(absent - again)
 
 
-__all__ = ["WORD", "Recent", "batches_of_texts", "cut", "held", "shared_dir", "ship", "table", "text_or_empty"]
+__all__ = ["WORD", "Recent", "batches_of_texts", "cut", "give_back", "held", "shared_dir", "ship", "table", "text_or_empty", "tidy", "tidy_group"]

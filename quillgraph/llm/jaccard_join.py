@@ -10,14 +10,17 @@ a pair becomes a candidate only if it shares the smaller of the two k.
   the shingles that can stand in a prefix; frequent ones (at most ``frequent_most``
   of them, the longest lists, so the broadcast is bounded) come last, by length.
 * Texts with the same set are one class and meet as one.
-* Short posting lists give all their pairs. A long one, which only documents have
-  that are nearly all of frequent shingles, first gives stars around a few members;
-  when those links are verified and components known, a few more for lists that
-  still span several; at last the members outside the list's largest component are
-  compared with all others that they aren't yet joined to.
+* A posting carries its set's size and its place in the order: a match at place i of
+  a elements and j of b leaves at most min(a - i, b - j) in common, besides the
+  matches before it. So a pair needs a match that can be its first, matches that can't
+  be among its first k aren't counted, and a prefix is as short as both sizes allow.
+* Short posting lists count the matches of all their pairs. Long ones, which lie over
+  tasks by class, first give a star each: all members are compared with the hub, the
+  member in whose order the list comes first (of a group of near copies the one with
+  the fewest shingles of its own). Then members outside the hub's component meet the
+  others by size and place; those with k matches, in short and long lists, go on.
   Links that can't change a component are never made, so a group of any number of
-  near copies costs a few comparisons each; no other link is missed. The first two
-  steps take two long lists of each class only, as copies share most of theirs.
+  near copies costs a few comparisons each; no other link is missed.
 * Candidates are verified on their whole sets.
 """
 
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import batches_of_texts, cut, held, shared_dir, ship
+from .common import batches_of_texts, cut, held, shared_dir, ship, tidy, tidy_group
 
 NO_ID = np.iinfo(np.int64).max
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -55,7 +58,7 @@ BYTES = odd_numbers(256)
 BYTES[65:91] = BYTES[97:123]
 BYTES[[9, 10, 11, 12, 13, 32]] = 0
 BASE = 0xD6E8FEB86659FD93
-PIECE = 2 << 20
+PIECE = 1 << 20
 
 
 class Shingler:
@@ -179,41 +182,57 @@ class Order:
         at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
         return np.where(self.keys[at] == own, self.lengths[at], 0)
 
-    def prefix(self, s: np.ndarray, most: int = 8) -> tuple[np.ndarray, int]:
-        """(prefix, matches it needs)."""
+    def prefix(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+        """(prefix, its posting lengths, matches it needs)."""
         n = len(s)
         first = n - int(least_overlap(n, self.percent)) + 1
-        # without a frequent one among as many as the longest prefix, the order is by hash
-        known = self.known(s[: first + most - 1])
-        if known.any():
-            known = self.known(s)
-            order = np.lexsort((s, known))
-            s, known = s[order], known[order]
+        known = self.known(s[:first])
+        if not known.any():  # the order of what comes first is by hash
+            return s[:first], known, 1
+        known = self.known(s)
+        order = np.lexsort((s, known))
+        s, known = s[order], known[order]
         # each doubling of the expected candidates beyond a long list's buys one more match
-        cost = int(known[:first].sum())
-        k = min(1 + max(0, int(np.log2(1 + cost / self.long))), most, n - first + 1)
-        return s[: first + k - 1], k
+        k = min(1 + int(np.log2(1 + int(known[:first].sum()) / self.long)), n - first + 1)
+        return s[: first + k - 1], known[: first + k - 1], k
 
 
-def dealt(tokens: np.ndarray, others: list[np.ndarray], slices: int):
-    """Rows of a slice each: 32 bits of each token, and the other arrays beside."""
+#: A posting besides its shingle: class, size of its set, place in the common order
+#: (at most 65,535: an earlier place only rules out less) and matches its prefix needs.
+POSTING = (("cls", np.int64), ("size", np.uint32), ("place", np.uint16), ("k", np.uint8))
+
+
+def dealt(tokens: np.ndarray, others: list[np.ndarray], slices: int) -> list[list]:
+    """A row for each slice that has tokens: its number, 32 bits of each token, and
+    the other arrays beside."""
     keys = short_keys(tokens, slices)
     order = np.argsort(keys, kind="stable")
-    cuts = np.searchsorted(keys[order], np.arange(slices + 1, dtype=np.uint64) << np.uint64(32))
+    which = (keys[order] >> np.uint64(32)).astype(np.int64)
+    cuts = np.flatnonzero(np.r_[True, which[1:] != which[:-1], True]) if len(which) else [0]
     arrays = [keys.astype(np.uint32), *others]
-    return [[zlib.compress(x[order[a:b]].tobytes(), 1) if x.dtype == np.uint16 else x[order[a:b]].tobytes() for x in arrays] for a, b in zip(cuts, cuts[1:])]
+    return [[int(which[a]), *(x[order[a:b]].tobytes() for x in arrays)] for a, b in zip(cuts, cuts[1:])]
 
 
-def packed_rows(rows: list[list[bytes]]) -> pa.RecordBatch:
-    columns = [pa.array(range(len(rows)), pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(len(rows[0])))]
-    return pa.RecordBatch.from_arrays(columns, ["slice", *(f"x{i}" for i in range(len(rows[0])))])
+def packed_rows(rows: list[list]) -> pa.RecordBatch:
+    columns = [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, len(rows[0])))]
+    return pa.RecordBatch.from_arrays(columns, ["slice", *(f"x{i}" for i in range(len(rows[0]) - 1))])
 
 
 def joined(column, dtype) -> np.ndarray:
     return np.concatenate([np.frombuffer(x.as_py(), dtype) for x in column]) if len(column) else np.zeros(0, dtype)
 
 
-def similar_components(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text", long: int = 64, frequent: int = 16, frequent_most: int = 1_000_000, batch_bytes: int = 8 << 20, classes: bool = False) -> DataFrame:
+def may_reach(size, place, other, other_place, percent: int, before=0):
+    """Whether two postings of a shingle can be a match of sets similar enough that
+    has ``before`` matches ahead of it: with places i and j, sets of a and b have at
+    most before + min(a - i, b - j) in common. Arrays, or columns."""
+    arrays = isinstance(size, np.ndarray)
+    total = (size + other) * percent
+    need = -(-total // (100 + percent)) if arrays else F.ceil(total / (100 + percent))
+    return (np.minimum if arrays else F.least)(size - place, other - other_place) + before >= need
+
+
+def similar_components(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text", long: int = 16, frequent: int = 16, frequent_most: int = 1_000_000, batch_bytes: int = 8 << 20, slice_bytes: int = 32 << 20, rounds: int = 3, classes: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id that links reach) and,
     with ``classes``, cls and root: the names of the row's set and of its component.
 
@@ -222,12 +241,13 @@ def similar_components(docs: DataFrame, percent: int = 80, width: int = 5, id_co
     component's smallest id (a component of null ids only has a null one);
     repeated rows are linked like any others. An empty table gives no rows; other
     columns are ignored. Intermediate tables go to the shared folder.
+
+    ``rounds`` bounds how often stars are tried; whatever they leave is compared.
     """
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     folder = f"{shared_dir(spark)}/join-{uuid.uuid4().hex}"
-    slices = max(48, 2 * docs.rdd.getNumPartitions())
 
     def members(batches):
         own = shingler(width)
@@ -235,8 +255,12 @@ def similar_components(docs: DataFrame, percent: int = 80, width: int = 5, id_co
             sets = own.sets(texts)
             yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([class_of(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n_shingles", "cls"])
 
-    docs.mapInArrow(members, "doc_id long, n_shingles long, cls long").write.parquet(f"{folder}/members")
+    docs.mapInArrow(tidy(members), "doc_id long, n_shingles long, cls long").write.parquet(f"{folder}/members")
     members_ = spark.read.parquet(f"{folder}/members")
+    # of each set about a quarter travels as postings
+    shingles = members_.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).head()[0]
+    slices = max(48, shingles * 19 // 4 // slice_bytes)
+    first_of = cut(members_.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("own")))
 
     def distinct_sets(texts):
         """One set a class of the batch."""
@@ -259,7 +283,8 @@ def similar_components(docs: DataFrame, percent: int = 80, width: int = 5, id_co
                     found.append(s)
             if found:
                 tokens, n = np.unique(np.concatenate(found), return_counts=True)
-                yield packed_rows(dealt(tokens, [np.minimum(n, 65535).astype(np.uint16)], slices))
+                rows = dealt(tokens, [np.minimum(n, 65535).astype(np.uint16)], slices)
+                yield packed_rows([[i, tokens, zlib.compress(n, 1)] for i, tokens, n in rows])
 
     def lengths(table: pa.Table) -> pa.Table:
         tokens, inverse = np.unique(joined(table["x0"], np.uint32), return_inverse=True)
@@ -270,7 +295,7 @@ def similar_components(docs: DataFrame, percent: int = 80, width: int = 5, id_co
         return pa.table({"token": pa.array(keys), "n": pa.array(n[keep])})
 
     def frequent_tokens(known):
-        counted = docs.mapInArrow(lambda batches: count(known, batches), "slice int, x0 binary, x1 binary").groupBy("slice").applyInArrow(lengths, "token long, n long")
+        counted = docs.mapInArrow(tidy(lambda batches: count(known, batches)), "slice int, x0 binary, x1 binary").groupBy("slice").applyInArrow(tidy_group(lengths), "token long, n long")
         counted = cut(counted)
         total, least = counted.count(), frequent
         if total > frequent_most:
@@ -287,27 +312,45 @@ def similar_components(docs: DataFrame, percent: int = 80, width: int = 5, id_co
     known = spark.sparkContext.broadcast((tokens, most))
 
     def prefixes(batches):
+        """Postings by slice of their shingle; those of lists known to be long by
+        class instead (slices below zero), so that no task gathers such a list."""
         order = Order(*known.value, slices, percent, long)
         for _, texts in batches_of_texts(batches, batch_bytes):
-            parts = []
+            parts, hot = [], []
             for cls, s in distinct_sets(texts).items():
-                head, k = order.prefix(s)
-                parts.append((head, np.full(len(head), cls, np.int64), np.full(len(head), min(len(s), (1 << 28) - 1) << 4 | k, np.uint32)))
+                head, n, k = order.prefix(s)
+                place = np.minimum(np.arange(len(head)), 65535)
+                large = n > long
+                for to, which in ((hot, large), (parts, ~large)):
+                    if which.any():
+                        m = int(which.sum())
+                        to.append((head[which], np.full(m, cls, np.int64), np.full(m, len(s), np.uint32), place[which].astype(np.uint16), np.full(m, k, np.uint8)))
+            rows = []
             if parts:
                 head, *others = (np.concatenate(x) for x in zip(*parts, strict=True))
-                yield packed_rows(dealt(head, others, slices))
+                rows = [[*r, None] for r in dealt(head, others, slices)]
+            if hot:
+                head, cls, *others = (np.concatenate(x) for x in zip(*hot, strict=True))
+                by_class = dealt(cls.view(np.uint64), [short_keys(head, slices).view(np.int64), cls, *others], slices)
+                rows += [[-1 - i, None, *r, token] for i, _, token, *r in by_class]
+            if rows:
+                yield packed_rows(rows)
 
     def lists(table: pa.Table) -> pa.Table:
-        """Pairs of short posting lists (0, a, b, matches, needed), members of long ones (1, token, class, size, 0)."""
-        token, cls, info = joined(table["x0"], np.uint32).astype(np.int64) | table["slice"][0].as_py() << 32, joined(table["x1"], np.int64), joined(table["x2"], np.uint32).astype(np.int64)
+        """Pairs of short posting lists (0, a, b, matches, needed, whether one may be the
+        first); members of long ones (1, token, class, size, k, place)."""
+        if table["slice"][0].as_py() < 0:
+            token = joined(table["x5"], np.int64)
+        else:
+            token = joined(table["x0"], np.uint32).astype(np.int64) | table["slice"][0].as_py() << 32
+        cls, size, place, k = (joined(table[f"x{i}"], kind).astype(np.int64) for i, (_, kind) in enumerate(POSTING, 1))
         order = np.lexsort((cls, token))
-        token, cls, info = token[order], cls[order], info[order]
+        token, cls, size, place, k = (x[order] for x in (token, cls, size, place, k))
         fresh = np.r_[True, (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])] if len(token) else np.zeros(0, bool)
-        token, cls, info = token[fresh], cls[fresh], info[fresh]
-        size, k = info >> 4, info & 15
+        token, cls, size, place, k = (x[fresh] for x in (token, cls, size, place, k))
         starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
         run = np.diff(np.r_[starts, len(token)])
-        large = np.repeat(run > long, run)
+        large = np.repeat(run > long, run) if table["slice"][0].as_py() >= 0 else np.ones(len(token), bool)
         # pairs by distance: each posting with the d-th after it in its list
         at = np.arange(len(token)) - np.repeat(starts, run)
         left = np.where(large, 0, np.repeat(run, run) - at - 1)
@@ -316,92 +359,109 @@ def similar_components(docs: DataFrame, percent: int = 80, width: int = 5, id_co
         d = 1
         while len(i):
             j = i + d
-            good = np.minimum(size[i], size[j]) * 100 >= np.maximum(size[i], size[j]) * percent
-            pairs.append((cls[i[good]], cls[j[good]], np.minimum(k[i[good]], k[j[good]])))
+            need = np.minimum(k[i], k[j])
+            good = (np.minimum(size[i], size[j]) * 100 >= np.maximum(size[i], size[j]) * percent) & may_reach(size[i], place[i], size[j], place[j], percent, need - 1)
+            first = may_reach(size[i], place[i], size[j], place[j], percent)
+            pairs.append((cls[i[good]], cls[j[good]], need[good], first[good]))
             d += 1
             i = i[left[i] >= d]
         if pairs:
-            a, b, need = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            a, b, need, first = (np.concatenate(x) for x in zip(*pairs, strict=True))
             order = np.lexsort((b, a))
-            a, b, need = a[order], b[order], need[order]
-            first_of = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
-            c = np.diff(np.r_[first_of, len(a)])
-            a, b, need = a[first_of], b[first_of], need[first_of]
+            a, b, need, first = a[order], b[order], need[order], first[order].astype(np.int64)
+            starts = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, np.int64)
+            c = np.diff(np.r_[starts, len(a)])
+            a, b, need, first = a[starts], b[starts], need[starts], np.maximum.reduceat(first, starts) if len(a) else first
         else:
-            a = b = need = c = np.zeros(0, np.int64)
+            a = b = need = first = c = np.zeros(0, np.int64)
         m = int(large.sum())
-        return pa.table({"kind": pa.array(np.r_[np.zeros(len(a), np.int32), np.ones(m, np.int32)]), "x": pa.array(np.r_[a, token[large]]), "y": pa.array(np.r_[b, cls[large]]), "n": pa.array(np.r_[c, size[large]]), "need": pa.array(np.r_[need, np.zeros(m, np.int64)])})
-
-    docs.mapInArrow(prefixes, "slice int, x0 binary, x1 binary, x2 binary").groupBy("slice").applyInArrow(lists, "kind int, x long, y long, n long, need long").write.parquet(f"{folder}/lists")
-    found = spark.read.parquet(f"{folder}/lists")
-    postings = found.where("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("cls"), F.col("n").alias("size"))
-    pairs = found.where("kind = 0").groupBy("x", "y").agg(F.sum("n").alias("c"), F.max("need").alias("need"))
-    # a match in a long list was not counted: as many may be missing as the class has postings there
-    uncounted = postings.groupBy("cls").count()
-    short = pairs.where("c < need").join(uncounted.select(F.col("cls").alias("x"), F.col("count").alias("hx")), "x").join(uncounted.select(F.col("cls").alias("y"), F.col("count").alias("hy")), "y").where("c + least(hx, hy) >= need")
-    pairs = pairs.where("c >= need").select("x", "y").union(short.select("x", "y"))
-    pairs = cut(pairs.distinct())
+        both = lambda x, y: pa.array(np.r_[x, y])
+        return pa.table({"kind": pa.array(np.r_[np.zeros(len(a), np.int32), np.ones(m, np.int32)]), "x": both(a, token[large]), "y": both(b, cls[large]), "n": both(c, size[large]), "need": both(need, k[large]), "place": both(first, place[large])})
+
+    docs.mapInArrow(tidy(prefixes), "slice int, x0 binary, x1 binary, x2 binary, x3 binary, x4 binary, x5 binary").groupBy("slice").applyInArrow(tidy_group(lists), "kind int, x long, y long, n long, need long, place long").write.partitionBy("kind").parquet(f"{folder}/lists")
+    found = spark.read.schema("x long, y long, n long, need long, place long, kind int").parquet(f"{folder}/lists")
+    postings = found.where("kind = 1").select(F.col("x").alias("token"), F.col("y").alias("cls"), F.col("n").alias("size"), F.col("need").alias("k"), "place")
+    short = found.where("kind = 0").select("x", "y", "n", "need", F.col("place").alias("first"))
+
     links, roots = None, None
     placed = cut(postings.withColumn("root", F.col("cls")))
-    for step, hubs in enumerate((4, 8, None)):
-        # stars take two long lists of each class; the last step takes all
-        lists_ = placed if hubs is None else placed.groupBy("cls", "size", "root").agg(F.array_distinct(F.array(F.min("token"), F.max("token"))).alias("t")).select(F.explode("t").alias("token"), "cls", "size", "root")
-        split = lists_.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("token")
-        more = lists_.join(split, "token").groupBy("token").applyInArrow(crossing(hubs, step, percent), "x long, y long")
-        more = cut((more.union(pairs) if not step else more).distinct())
-        if more.isEmpty():
-            continue
-        new = verified(docs, members_, more, percent, width, batch_bytes)
-        links = cut(links.union(new) if links is not None else new)
+    hub = F.min(F.struct((F.col("place") / F.col("size")).alias("at"), "cls", "size", "root")).alias("hub")
+
+    def hubs_of(lists):
+        """token, hub, hub_size, hub_root of lists whose members aren't all joined."""
+        found = lists.groupBy("token").agg(hub, F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
+        return cut(found.select("token", F.col("hub.cls").alias("hub"), F.col("hub.size").alias("hub_size"), F.col("hub.root").alias("hub_root")))
+
+    rest = placed
+    for _ in range(rounds):
+        stars = rest.join(hubs_of(rest), "token").where("root <> hub_root").where(F.least("size", "hub_size") * 100 >= F.greatest("size", "hub_size") * percent)
+        stars = cut(stars.select(F.col("cls").alias("x"), F.col("hub").alias("y")).distinct())
+        new = None if stars.isEmpty() else cut(verified(docs, first_of, stars, percent, width, batch_bytes))
+        if new is None or new.isEmpty():
+            break
+        links = new if links is None else cut(links.union(new))
         roots = cut(components(links))
-        placed = cut(postings.join(roots, postings.cls == roots.node, "left").select("token", "cls", "size", F.coalesce("root", "cls").alias("root")))
+        placed = cut(postings.join(roots, postings.cls == roots.node, "left").select(*postings.columns, F.coalesce("root", "cls").alias("root")))
+        # the next stars are of those that no hub has reached
+        rest = cut(placed.join(hubs_of(placed).select("token", "hub_root"), "token").where("root <> hub_root").drop("hub_root"))
+
+    more = crossing(placed, hubs_of(placed), percent)
+    if roots is not None:  # what is joined already is let go
+        root = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}"))
+        short = short.join(root("x"), "x", "left").join(root("y"), "y", "left").where("coalesce(root_x, x) <> coalesce(root_y, y)").select("x", "y", "n", "need", "first")
+    pairs = short.unionByName(more).groupBy("x", "y").agg(F.sum("n").alias("n"), F.max("need").alias("need"), F.max("first").alias("first")).where("first = 1")
+    # matches in long lists count as well
+    own = cut(postings.groupBy("cls").agg(F.collect_list("token").alias("t")))  # no more than a prefix has
+    side = lambda name: own.select(F.col("cls").alias(name), F.col("t").alias(f"t{name}"))
+    pairs = cut(pairs)
+    open_ = pairs.where("n < need").join(side("x"), "x").join(side("y"), "y").where(F.col("n") + F.size(F.array_intersect("tx", "ty")) >= F.col("need"))
+    pairs = cut(pairs.where("n >= need").select("x", "y").union(open_.select("x", "y")))
+    if not pairs.isEmpty():
+        new = cut(verified(docs, first_of, pairs, percent, width, batch_bytes))
+        roots = cut(components(new if links is None else links.union(new)))
     if roots is None:
         roots = spark.range(0).select(F.col("id").alias("node"), F.col("id").alias("root"))
 
-    smallest = members_.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("own"))
-    named = smallest.join(roots, smallest.cls == roots.node, "left").select("cls", "own", F.coalesce("root", "cls").alias("root"))
-    named = cut(named)
+    named = cut(first_of.join(roots, first_of.cls == roots.node, "left").select("cls", "own", F.coalesce("root", "cls").alias("root")))
     of_root = named.groupBy("root").agg(F.min("own").alias("component_id"))
     by_class = cut(named.join(of_root, "root").select("cls", "component_id", "root"))
     return members_.join(by_class, "cls", "left").select("doc_id", "n_shingles", *(["cls", "root"] if classes else []), F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def crossing(hubs: int | None, step: int, percent: int):
-    return lambda table: across(table, hubs, step, percent)
-
-
-def across(table: pa.Table, hubs: int | None, step: int, percent: int) -> pa.Table:
-    """Pairs of one long list whose components differ and whose sizes fit: of a few
-    members drawn by hash with all others or, with ``hubs`` None, of all members
-    outside the list's largest component, which leaves no pair untried."""
-    cls, size, root = (table[c].to_numpy() for c in ("cls", "size", "root"))
-    if hubs is None:
-        _, inverse, n = np.unique(root, return_inverse=True, return_counts=True)
-        chosen = np.flatnonzero(inverse != n.argmax())
-    else:
-        draw = (cls.view(np.uint64) ^ np.uint64(step)) * ODD[step]
-        chosen = np.argsort(draw ^ (draw >> np.uint64(32)), kind="stable")[:hubs]
-    xs, ys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    done = np.zeros(len(cls), bool)
-    for i in chosen:
-        good = (root != root[i]) & (np.minimum(size, size[i]) * 100 >= np.maximum(size, size[i]) * percent) & ~done
-        done[i] = True
-        ys.append(cls[good])
-        xs.append(np.full(good.sum(), cls[i]))
-    x, y = np.concatenate(xs), np.concatenate(ys)
-    return pa.table({"x": pa.array(np.minimum(x, y)), "y": pa.array(np.maximum(x, y))})
-
-
-def verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, percent: int, width: int, batch_bytes: int, bits: int = 1 << 24) -> DataFrame:
+def crossing(placed: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
+    """x, y, n (0), need, first (1): pairs of classes that no links join and that meet
+    in a long list at places that can be their first match.
+
+    In each list the members outside the hub's component meet all others. What a
+    member can reach has sizes from ``percent`` of its own to a bound that falls
+    with its place, so that members late in their order meet few or none: lists are
+    joined by token and band of sizes (four percent wide), which also divides them.
+    """
+    band = lambda size: F.floor(F.log2(size) * 16)
+    lists = placed.join(hubs.select("token", "hub_root"), "token").withColumn("out", F.col("root") != F.col("hub_root")).drop("hub_root")
+    outside = lists.where("out").select("token", *(F.col(c).alias(f"{c}_x") for c in ("cls", "size", "k", "place", "root")))
+    most = F.floor((F.col("size_x") - F.col("place_x")) * F.lit((100 + percent) / percent) + F.lit(1e-6)) - F.col("size_x")
+    least = F.ceil(F.col("size_x") * F.lit(percent / 100) - F.lit(1e-6))
+    outside = outside.withColumn("most", F.least(most, F.floor(F.col("size_x") * F.lit(100 / percent) + F.lit(1e-6)))).where(F.col("most") >= least)
+    outside = outside.withColumn("band", F.explode(F.sequence(band(least), band(F.col("most")))))
+    met = outside.join(lists.withColumn("band", band(F.col("size"))), ["token", "band"])
+    met = met.where("root <> root_x").where(~F.col("out") | (F.col("cls") > F.col("cls_x")))
+    met = met.where(F.least("size", "size_x") * 100 >= F.greatest("size", "size_x") * percent)
+    met = met.where(may_reach(F.col("size"), F.col("place"), F.col("size_x"), F.col("place_x"), percent))
+    return met.select(F.least("cls", "cls_x").alias("x"), F.greatest("cls", "cls_x").alias("y"), F.lit(0).cast("long").alias("n"), F.least("k", "k_x").alias("need"), F.lit(1).cast("long").alias("first"))
+
+
+def verified(docs: DataFrame, first_of: DataFrame, pairs: DataFrame, percent: int, width: int, batch_bytes: int, bits: int = 1 << 24) -> DataFrame:
     """x, y: those of ``pairs`` (classes) whose whole sets are similar enough.
 
-    One document stands for each class. Its text travels, compressed, which is less
-    than its set; a bitmap of fixed size over their ids keeps others back (those
-    that it lets pass are dropped by the join), and each pair meets by two joins.
+    One document stands for each class, that of ``first_of``. Its text travels,
+    compressed, which is less than its set; a bitmap of fixed size over their ids
+    keeps others back (those that it lets pass are dropped by the join), and each
+    pair meets by two joins.
     """
     spark = docs.sparkSession
     ends = pairs.select(F.explode(F.array("x", "y")).alias("cls")).distinct()
-    chosen = cut(members.join(ends, "cls").groupBy("cls").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("doc_id")))
+    chosen = cut(first_of.join(ends, "cls").select("cls", F.coalesce("own", F.lit(NO_ID)).alias("doc_id")))
     place = F.pmod("doc_id", F.lit(bits))
     words = chosen.groupBy(F.shiftright(place, 5).cast("int").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1, cast(pmod(doc_id, {bits}) % 32 as int))")).alias("b")).toPandas()  # bits / 32 rows at most
     bitmap = np.zeros(bits // 32, np.uint32)
@@ -422,21 +482,35 @@ def verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, percent: int
 
     def similar(batches):
         own = shingler(width)
+        lately: dict[bytes, np.ndarray] = {}  # sets of hubs come again
+        bytes_held = 0
+
+        def set_of(z: bytes) -> np.ndarray:
+            nonlocal bytes_held
+            if z not in lately:
+                (s,) = own.sets([zstandard.decompress(z)])
+                bytes_held += len(z) + s.nbytes
+                if bytes_held > batch_bytes:
+                    lately.clear()
+                    bytes_held = len(z) + s.nbytes
+                lately[z] = s
+            return lately[z]
+
         for batch in batches:
             keep = []
             for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = own.sets([zstandard.decompress(a.as_py()), zstandard.decompress(b.as_py())])
+                a, b = set_of(a.as_py()), set_of(b.as_py())
                 both = len(a) + len(b)
                 together = np.sort(np.concatenate([a, b]))
                 shared = int((together[1:] == together[:-1]).sum())
                 keep.append(100 * shared >= percent * (both - shared))
             yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
-    found = docs.mapInArrow(texts_of, "cls long, doc_id long, z binary").join(chosen, ["cls", "doc_id"], "left_semi").select("cls", "z")
-    found = cut(found)  # rows of one class and id are equal sets: a repeated one only repeats a pair
+    found = docs.mapInArrow(tidy(texts_of), "cls long, doc_id long, z binary").join(chosen, ["cls", "doc_id"], "left_semi").select("cls", "z")
+    found = cut(found.groupBy("cls").agg(F.min("z").alias("z")))  # one of repeated rows
     half = pairs.join(found.select(F.col("cls").alias("y"), F.col("z").alias("zy")), "y")
     whole = half.join(found.select(F.col("cls").alias("x"), F.col("z").alias("zx")), "x").select("x", "y", "zx", "zy")
-    return whole.mapInArrow(similar, "x long, y long")
+    return whole.mapInArrow(tidy(similar), "x long, y long")
 
 
 def one_of_each(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -459,7 +533,7 @@ def one_of_each(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str
 
     kinds = ", ".join(f"c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names))
     keyed = docs.select(F.col(id_col).cast("long").alias("key_id"), F.col(text_col).cast("string").alias("key_text"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(names)])
-    rows = keyed.mapInArrow(named, f"{kinds}, cls long")
+    rows = keyed.mapInArrow(tidy(named), f"{kinds}, cls long")
     id_ = F.col(f"c{names.index(id_col)}").cast("long")
     kept = rows.where("cls is not null").join(first, (F.col("cls") == F.col("first_cls")) & id_.eqNullSafe(F.col("first_id")))
     kept = kept.where("copies = 1").drop("first_id", "first_cls", "copies", "cls").union(kept.where("copies > 1").dropDuplicates(["first_id", "first_cls"]).drop("first_id", "first_cls", "copies", "cls"))
