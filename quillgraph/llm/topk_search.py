@@ -3,22 +3,26 @@
 Fagin, Lotem and Naor, "Optimal aggregation algorithms for middleware" (2003).
 Every dimension of a block of candidates is a list sorted by value; a query
 reads it from the top where its own component is positive, from the bottom
-where it is negative. After each stretch of sequential reads a candidate has
+where it is negative. Lists are read in stretches, all to the same depth, and
+what is read is added to a sum for each query and candidate. After a stretch a
+candidate has
 
-* a lower bound: what was seen, plus the worst value of each list not yet seen;
-* an upper bound: what was seen, plus the value at each list's reading point.
+* a lower bound: its sum, plus the worst value of each list not yet seen;
+* an upper bound: its sum, plus the value at each list's reading point.
 
-A candidate whose upper bound is below the k-th best lower bound is out; reading
-stops when nothing but the k best is left, or the lists end; the scores of those
-that remain are then resolved by reading on for them alone.
+A candidate whose upper bound is below the k-th best lower bound is out. One that
+is out for all queries of the block leaves the lists, and reading goes on for the
+others until the lists end: their sums are then their scores. No vector is ever
+looked up as a whole.
 
 Scale: candidates and queries are dealt into blocks of bounded size and each
-pair of blocks is one task, so no task and no broadcast grows with the data.
-The work is |queries| x |rows| by the nature of an exact search.
+pair of blocks is one task, so no task and no broadcast grows with the data; a
+task goes through its queries some hundreds at a time. The work is
+|queries| x |rows| by the nature of an exact search.
 
 Components so large that a sum of products could leave the exact integers of a
-double are a block of their own: rounded scores with a bound on their error leave
-few candidates, whose scores are summed in integers of any size.
+double are a block of their own: bounds then allow for rounding, and what was read
+for the few candidates left is summed in integers of any size.
 """
 
 from __future__ import annotations
@@ -31,7 +35,8 @@ from pyspark.sql.window import Window
 
 from .common import ship
 
-DEPTHS = (0.25, 0.5, 0.75)
+#: How many stretches the lists are read in, and how many queries at a time.
+STRETCHES, TOGETHER = 8, 512
 #: Products of two components, summed, stay exact in a double below this.
 EXACT = float(2**53)
 
@@ -49,81 +54,84 @@ def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> Data
     return rows.select("vec_id", F.transform("x", lambda e: whole(e * scale)).alias("v"), F.size("x").alias("dims"))
 
 
-def nra_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, score) of each query's k best in the block, ties to smaller ids.
-
-    All queries of the block read the lists together: which candidates a list
-    has shown depends only on its direction and depth, so the seen parts and the
-    bounds of every (query, candidate) are two matrix products a depth.
-    """
-    n, dims = c.shape
-    up, down = np.maximum(q, 0.0), np.minimum(q, 0.0)
-    signed = np.hstack([up, down])  # list d is read downwards by up[d], upwards by down[d]
-    order = np.argsort(-c, axis=0, kind="stable")
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(n)[:, None].repeat(dims, 1), axis=0)
-    both = np.hstack([c, c])
-    place = np.hstack([rank, n - 1 - rank])  # position in the list, for either direction
-    worst = np.hstack([c.min(0), c.max(0)])
-    own = qid[:, None] == cid[None, :]
-    alive = ~own
-    for depth in DEPTHS:
-        t = max(1, int(n * depth))
-        seen = place < t
-        reading = np.hstack([np.take_along_axis(c, order[t - 1 : t], 0)[0], np.take_along_axis(c, order[n - t : n - t + 1], 0)[0]])
-        low = signed @ np.where(seen, both, worst).T
-        high = signed @ np.where(seen, both, reading).T
-        low[own] = -np.inf
-        if n > k:
-            kth = np.partition(low, n - k, axis=1)[:, n - k]
-            alive &= high >= kth[:, None]
-            if alive.sum(1).max() <= k:
-                break
-        else:
-            break
-    rows = []
-    for i in range(len(qid)):  # resolve: the rest of the lists, for those that remain
-        left = np.flatnonzero(alive[i])
-        score = c[left] @ q[i]
-        best = np.lexsort((cid[left], -score))[:k]
-        rows.append((np.full(len(best), qid[i]), cid[left][best], score[best].astype(np.int64)))
-    if not rows:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    return tuple(np.concatenate(x) for x in zip(*rows, strict=True))
-
-
-def wide_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """What ``nra_block`` gives, for components of any size. A candidate is out if
-    its rounded score and the error that this can have are below the k-th best; a
-    best score that no long holds is an OverflowError."""
-    with np.errstate(over="ignore", invalid="ignore"):
-        about = q @ c.T
-        error = np.abs(q) @ np.abs(c).T * (c.shape[1] * 2.0**-51)
-        low, high = about - error, about + error
-    own = qid[:, None] == cid[None, :]
-    low[own] = -np.inf
+class Lists:
+    """The sorted lists of a block of candidates, downwards and upwards: what each
+    holds of a candidate, how deep it stands, and the values in reading order."""
+
+    def __init__(self, c: np.ndarray):
+        n, dims = c.shape
+        order = np.argsort(-c, axis=0, kind="stable")
+        depth = np.empty((dims, n), np.int32)
+        np.put_along_axis(depth, order.T, np.arange(n, dtype=np.int32)[None, :].repeat(dims, 0), axis=1)
+        down = np.take_along_axis(c, order, 0).T
+        self.n = n
+        self.held = np.vstack([c.T, c.T])
+        self.depth = np.vstack([depth, n - 1 - depth])
+        self.values = np.vstack([down, down[:, ::-1]])
+        self.worst = self.values[:, -1]
+        self.largest = np.abs(self.values[:, [0, -1]]).max(1)
+
+
+def nra(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, lists: Lists, k: int, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query_id, vec_id, score) of each query's k best in the block, ties to smaller
+    ids. ``wide``: sums aren't exact, and a best score that no long holds is an
+    OverflowError."""
+    n = lists.n
+    signed = np.hstack([np.maximum(q, 0.0), np.minimum(q, 0.0)])  # zero: the list isn't read
+    slack = np.abs(signed) @ lists.largest[:, None] * (q.shape[1] * 2.0**-49) if wide else 0.0
+    columns = np.arange(n)
+    held, depth = lists.held, lists.depth
+    alive = qid[:, None] != cid[None, :]
+    total = np.zeros((len(q), n))
+    at = 0
+    while at < n:
+        to = min(n, at + -(-n // STRETCHES))
+        total += signed @ np.where((depth >= at) & (depth < to), held, 0.0)
+        at = to
+        unseen = (depth >= at).astype(float)
+        low = total + (signed * lists.worst) @ unseen - slack
+        high = total + (signed * lists.values[:, min(at, n - 1)]) @ unseen + slack
+        low[~alive] = -np.inf
+        if len(columns) > k:
+            kth = np.partition(low, len(columns) - k, axis=1)[:, len(columns) - k]
+            alive &= ~(high < kth[:, None])  # what isn't a number stays
+        keep = alive.any(0)
+        if 2 * keep.sum() <= len(columns):
+            columns, held, depth, alive, total = columns[keep], held[:, keep], depth[:, keep], alive[:, keep], total[:, keep]
+    names = cid[columns]
     rows = []
     for i in range(len(qid)):
-        kth = np.partition(low[i], len(cid) - k)[len(cid) - k] if len(cid) > k else -np.inf
-        left = np.flatnonzero(~(high[i] < kth) & ~own[i])  # what isn't a number stays
-        mine = [int(x) for x in q[i]]
-        scored = sorted((-sum(a * int(b) for a, b in zip(mine, c[j], strict=True)), int(cid[j])) for j in left)[:k]
-        rows += [(qid[i], j, -score) for score, j in scored]
+        left = np.flatnonzero(alive[i])
+        if wide:
+            mine = [(d, int(x)) for d, x in enumerate(signed[i]) if x]
+            scored = sorted((-sum(x * int(held[d, j]) for d, x in mine), int(names[j])) for j in left)[:k]
+            rows += [(qid[i], j, -score) for score, j in scored]
+        else:
+            score = total[i, left]
+            best = np.lexsort((names[left], -score))[:k]
+            rows += zip([qid[i]] * len(best), names[left][best], score[best].astype(np.int64))
     return tuple(np.array([r[x] for r in rows], np.int64) for x in range(3))
 
 
 def block_best(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each query's k best among the candidates of usual size, and among the others."""
-    with np.errstate(over="ignore"):
+    with np.errstate(over="ignore", invalid="ignore"):
         q_wide, c_wide = (np.abs(x).max(1) ** 2 * x.shape[1] >= EXACT for x in (q, c))
-    found = []
-    for a, b, best in ((~q_wide, ~c_wide, nra_block), (~q_wide, c_wide, wide_block), (q_wide, c_wide | ~c_wide, wide_block)):
-        if a.any() and b.any():
-            found.append(best(qid[a], q[a], cid[b], c[b], k))
+        found = []
+        for large in (False, True):
+            if not (c_wide == large).any():
+                continue
+            own = c_wide == large
+            lists = Lists(c[own])
+            for wide in (False, True):
+                these = np.flatnonzero(q_wide == wide)
+                for i in range(0, len(these), TOGETHER):
+                    part = these[i : i + TOGETHER]
+                    found.append(nra(qid[part], q[part], cid[own], lists, k, wide or large))
     return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
-def topk_search(queries: DataFrame, candidates: DataFrame, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding", query_block: int = 1024, cand_block: int = 4096) -> DataFrame:
+def topk_search(queries: DataFrame, candidates: DataFrame, k: int = 10, scale: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding", query_block: int = 8192, cand_block: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best candidates.
 
     Ties go to the smaller vec_id; a candidate with the query's own id is left
@@ -137,7 +145,7 @@ def topk_search(queries: DataFrame, candidates: DataFrame, k: int = 10, scale: i
     c = quantised(candidates, id_col, vec_col, scale)
     n_q, n_c = q.count(), c.count()
     q_blocks, c_blocks = max(1, -(-n_q // query_block)), max(1, -(-n_c // cand_block))
-    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    block = lambda n: F.pmod(F.xxhash64("vec_id", "v"), F.lit(n)).cast("int")
     q = q.withColumn("qb", block(q_blocks)).withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
     c = c.withColumn("cb", block(c_blocks)).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
 
