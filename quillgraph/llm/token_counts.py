@@ -15,6 +15,11 @@ budget questions are then look-ups.
 
 Words sorted one after another share the walk along their common prefix. A text
 keeps the count at the end of each word; inside a word the walk gives the rest.
+
+Counts are of the normalised text. Where its characters don't stand one for one for
+those of the text (decomposed accents, U+0130), the text falls into segments that
+normalise on their own, and a cut inside a segment goes on, for a few characters,
+from the walk's state at the segment's start (``Trail``). Nothing is encoded anew.
 """
 
 from __future__ import annotations
@@ -22,6 +27,8 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
+from functools import cache
 
 import ahocorasick
 import numpy as np
@@ -45,6 +52,20 @@ def byte_units() -> list[str]:
     return [x for _, x in sorted([(b, chr(b)) for b in plain] + [(b, chr(256 + i)) for i, b in enumerate(others)])]
 
 
+@cache
+def seconds() -> frozenset[str]:
+    """Characters that composition may join to what stands before them."""
+    pairs = (unicodedata.decomposition(chr(c)).split() for c in range(0x110000))
+    return frozenset(chr(int(x[1], 16)) for x in pairs if len(x) == 2 and not x[0].startswith("<")) | frozenset(map(chr, (*range(0x1161, 0x1176), *range(0x11A8, 0x11C3))))
+
+
+def segments(text: str) -> list[str]:
+    """The text cut where normalising (NFC) can't reach across."""
+    joins = seconds()
+    starts = [i for i, c in enumerate(text) if not i or not (c in joins or unicodedata.combining(c))]
+    return [text[i:j] for i, j in zip(starts, [*starts[1:], len(text)])]
+
+
 class PrefixCounter:
     """Prefix token counts of words, of texts, and what follows from them."""
 
@@ -74,6 +95,7 @@ class PrefixCounter:
         self.outer.make_automaton()
         self.ended = {t for t in spec["model"]["vocab"] if t.endswith(END)}
         self.longest = max(len(t.removesuffix(END)) for t in self.ended)
+        self.longest_unit = max(map(len, spec["model"]["vocab"]))
         self.byte_of = {u: b for b, u in enumerate(byte_units())}
         self.unit_of = {b: u for u, b in self.byte_of.items()}
         self.fits: dict[tuple[str, str], bool] = {}
@@ -127,10 +149,9 @@ class PrefixCounter:
                 self.lefts[t] = [*own[:-1], (a, rank), (t, NEVER)]
         return self.lefts[t]
 
-    def walk(self, words: list[str], every: bool = False):
-        """For each word of byte units, in sorted order: (word, tokens of the word
-        as the end of a text) or, with ``every``, (word, the same of each of its
-        unit prefixes, the empty one first)."""
+    def walk(self, words: list[str]):
+        """(word, tokens of the word as the end of a text) for each word of byte
+        units, of which those in sorted order share their beginnings."""
         last, count = [""], [0]
         before = ""
         fits, fit, ended, longest = self.fits, self.fit, self.ended, self.longest
@@ -152,31 +173,46 @@ class PrefixCounter:
                     if not u or good:
                         last[j] = t
                         count[j] = count[i] + 1
-            if every:
-                final = [0] * (n + 1)
-                for end, t in self.outer.iter(word):
-                    j = end + 1
-                    i = j - len(t) + len(END)
-                    if not final[j] and (not i or fit(last[i], t)):
-                        final[j] = count[i] + 1
-                yield word, final
-            else:
-                for i in range(max(0, n - longest), n):
-                    t = word[i:] + END
-                    if t in ended:
-                        u = last[i]
-                        if not u:
-                            break
-                        good = fits.get((u, t))
-                        if good is None:
-                            good = fits[u, t] = fit(u, t)
-                        if good:
-                            break
-                yield word, count[i] + 1
+            for i in range(max(0, n - longest), n):
+                t = word[i:] + END
+                if t in ended:
+                    u = last[i]
+                    if not u:
+                        break
+                    good = fits.get((u, t))
+                    if good is None:
+                        good = fits[u, t] = fit(u, t)
+                    if good:
+                        break
+            yield word, count[i] + 1
             before = word
         if len(fits) > self.cached_fits:
             fits.clear()
 
+    def table(self, word: str) -> tuple[list[str], list[int], list[int]]:
+        """The walk along one word of byte units: at each place the last token, the
+        count, and the count of the prefix as the end of a text."""
+        n = len(word)
+        last, count, final = [""] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+        self.extend(word, 0, last, count)
+        for end, t in self.outer.iter(word):
+            j = end + 1
+            i = j - len(t) + len(END)
+            if not final[j] and (not i or self.fit(last[i], t)):
+                final[j] = count[i] + 1
+        return last, count, final
+
+    def extend(self, word: str, known: int, last: list[str], count: list[int]) -> None:
+        """Fills in last and count beyond the place ``known`` of a word, from what is
+        there up to it."""
+        for end, t in self.inner.iter(word):
+            j = end + 1
+            if j > known and not count[j]:
+                i = j - len(t)
+                if not i and not last[0] or last[i] and self.fit(last[i], t):
+                    last[j] = t
+                    count[j] = count[i] + 1
+
     def pretokens(self, normal: str) -> list[str]:
         """The tokenizer's words of a normalised text, as byte units."""
         if normal.isascii():
@@ -185,7 +221,7 @@ class PrefixCounter:
         return [units for units, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
     def normal(self, part: str) -> str | None:
-        """The normal form if it is one character for each character, else None."""
+        """The normal form if it stands one character for one, else None."""
         if part.isascii():
             return part.lower()
         whole = self.library.normalizer.normalize_str(part)
@@ -198,8 +234,9 @@ class PrefixCounter:
             self.normal_chars[c] = self.library.normalizer.normalize_str(c)
         return self.normal_chars[c]
 
-    def encoded_counts(self, text: str, ends) -> list[int]:
-        return [len(e.ids) for e in self.library.encode_batch_fast([text[:j] for j in ends], add_special_tokens=False)]
+    def short_count(self, text: str) -> int:
+        """Tokens of a few normalised characters."""
+        return sum(n for _, n in self.walk(self.pretokens(text))) if text else 0
 
     def parts(self, word: str) -> list[str]:
         """The word cut at white space beyond ASCII and at special tokens, both kept."""
@@ -224,55 +261,24 @@ class PrefixCounter:
         for w, found in held:
             known_words[w] = known[found[0]] if len(found) == 1 else sum([known[t] for t in found])
         for w, parts in odd:
-            total = 0
-            for part in parts:
-                own = tokens[part]
-                if own is not None:
-                    total += sum([known[t] for t in own])
-                elif not part.isspace():
-                    total += 1 if part in self.special else self.encoded_counts(part, [len(part)])[0]
-            known_words[w] = total
-
-    def tokens_of(self, parts: set[str]) -> dict[str, list[str] | None]:
-        """The pre-tokens of each part; None for special tokens, white space and
-        parts whose normal form isn't character by character."""
-        out: dict[str, list[str] | None] = {}
-        for part in parts:
-            normal = None if part in self.special or part.isspace() else self.normal(part)
-            out[part] = self.pretokens(normal) if normal is not None else None
-        return out
+            known_words[w] = sum(1 if part in self.special else sum(known[t] for t in tokens[part]) for part in parts)
+
+    def tokens_of(self, parts: set[str]) -> dict[str, list[str]]:
+        """The pre-tokens of each part; none of special tokens and white space."""
+        return {part: [] if part in self.special or part.isspace() else self.pretokens(self.normal(part) or self.library.normalizer.normalize_str(part)) for part in parts}
 
     def word_counts(self, w: bytes) -> np.ndarray:
         """Tokens of every code-point prefix of one word, the empty one first."""
-        parts = self.parts(w.decode("utf-8", "replace"))
-        tokens = self.tokens_of(set(parts))
-        known = {t: np.array(final, np.int32) for t, final in self.walk(sorted({t for found in tokens.values() if found for t in found}), every=True)}
-        out, total, before = [np.zeros(1, np.int32)], 0, ""
-        for part in parts:
-            if part in self.special:  # cut inside, it is ordinary text that goes on from what stands before
-                base = self.encoded_counts(before, [len(before)])[0] if before else 0
-                inside = [total - base + n for n in self.encoded_counts(before + part, range(len(before) + 1, len(before + part)))]
-                out.append(np.array([*inside, total + 1], np.int32))
-                total, before = total + 1, ""
-                continue
-            own = self.part_counts(part, tokens[part], known)
-            out.append(own + total)
-            total += int(own[-1])
-            before = "" if part.isspace() else part
-        return np.concatenate(out)
-
-    def part_counts(self, part: str, tokens: list[str] | None, known: dict[str, np.ndarray]) -> np.ndarray:
-        """Counts of the code-point prefixes of a part, from length 1 on."""
-        if part.isspace():
-            return np.zeros(len(part), np.int32)
-        if tokens is None:  # its normal form isn't character by character
-            return np.array(self.encoded_counts(part, range(1, len(part) + 1)), np.int32)
-        out, total = [], 0
-        for token in tokens:
-            text = bytes(map(self.byte_of.__getitem__, token)).decode()
-            own = known[token][np.cumsum([len(c.encode()) for c in text])]
-            if len(text) > 2 and text[0] == "'" and text[1].isalpha():  # a cut contraction is an apostrophe and letters
-                own = np.array([*self.encoded_counts(text, range(1, len(text))), own[-1]], np.int32)
+        out, total, before = [np.zeros(1, np.int32)], 0, None
+        for part in self.parts(w.decode("utf-8", "replace")):
+            if part.isspace():
+                own, before = np.zeros(len(part), np.int32), None
+            elif part in self.special:  # cut inside, it is ordinary text that goes on from what stands before
+                inside = [before.count(part[:i].lower()) - before.count("") if before else self.short_count(part[:i].lower()) for i in range(1, len(part))]
+                own, before = np.array([*inside, 1], np.int32), None
+            else:
+                before = Trail(self, part)
+                own = before.prefix_counts()
             out.append(own + total)
             total += int(own[-1])
         return np.concatenate(out)
@@ -316,6 +322,89 @@ class PrefixCounter:
         return len(text[:at].decode("utf-8", "replace")) + int(good[-1])
 
 
+class Trail:
+    """The walks along the pre-tokens of a part's normal form, from which the counts
+    of all its prefixes follow."""
+
+    def __init__(self, counter: PrefixCounter, part: str):
+        self.counter, self.part = counter, part
+        normal = counter.normal(part)
+        self.one_for_one = normal is not None
+        self.normal = normal if normal is not None else counter.library.normalizer.normalize_str(part)
+        self.tokens = counter.pretokens(self.normal)
+        self.tables: dict[str, tuple] = {}
+        #: the pre-token of each character of the normal form, its first character, the bytes and tokens before it
+        self.token_at: list[int] = []
+        self.starts, self.before = [], []
+        total = 0
+        for i, token in enumerate(self.tokens):
+            if token not in self.tables:
+                text = bytes(map(counter.byte_of.__getitem__, token)).decode()
+                self.tables[token] = (text, np.cumsum([0, *(len(c.encode()) for c in text)]), *counter.table(token))
+            self.starts.append(len(self.token_at))
+            self.before.append(total)
+            self.token_at += [i] * len(self.tables[token][0])
+            total += self.tables[token][4][-1]
+
+    def at(self, n: int) -> int:
+        """Tokens of the first n characters of the normal form."""
+        if not n:
+            return 0
+        i = self.token_at[n - 1]
+        text, places, _, _, final = self.tables[self.tokens[i]]
+        inside = n - self.starts[i]
+        if inside < len(text) and len(text) > 2 and text[0] == "'" and text[1].isalpha():  # a cut contraction is an apostrophe and letters
+            return self.before[i] + self.counter.short_count(text[:inside])
+        return self.before[i] + final[places[inside]]
+
+    def count(self, tail: str, n: int | None = None) -> int:
+        """Tokens of the first n (all) characters of the normal form and ``tail``, a
+        few normalised characters more."""
+        n = len(self.normal) if n is None else n
+        if not tail:
+            return self.at(n)
+        if not n:
+            return self.counter.short_count(tail)
+        i = self.token_at[n - 1]
+        text, places, last, count, final = self.tables[self.tokens[i]]
+        inside, done = n - self.starts[i], self.before[i]
+        if inside <= 3:  # an apostrophe there may begin a contraction
+            return done + self.counter.short_count(text[:inside] + tail)
+        # a longer one is a run of letters or of neither letters nor digits: does the tail go on with it?
+        stand = "a" if len(self.counter.pretokens("a" + text[0])) == 1 else "!"
+        more, *others = self.counter.pretokens(stand + tail)
+        known = int(places[inside])
+        if len(more) == 1:
+            done += final[known]
+        else:
+            first = max(0, known - 2 * self.counter.longest_unit)
+            word = self.tokens[i][first:known] + more[1:]
+            last_, count_ = last[first : known + 1] + [""] * (len(more) - 1), count[first : known + 1] + [0] * (len(more) - 1)
+            self.counter.extend(word, known - first, last_, count_)
+            for j in range(max(0, len(word) - self.counter.longest), len(word)):
+                t = word[j:] + END
+                if t in self.counter.ended and (not last_[j] and not first + j or last_[j] and self.counter.fit(last_[j], t)):
+                    done += count_[j] + 1
+                    break
+        return done + sum(n for _, n in self.counter.walk(others))
+
+    def prefix_counts(self) -> np.ndarray:
+        """Counts of the part's code-point prefixes, from length 1 on."""
+        if self.one_for_one:
+            return np.array([self.at(n) for n in range(1, len(self.part) + 1)], np.int32)
+        normalise = cache(self.counter.library.normalizer.normalize_str)
+        found = segments(self.part)
+        if "".join(map(normalise, found)) != self.normal:  # another Unicode version than the library's
+            found = [self.part]
+        out, n = [], 0
+        for segment in found:
+            for j in range(1, len(segment)):
+                out.append(self.count(normalise(segment[:j]), n))
+            n += len(normalise(segment))
+            out.append(self.at(n))
+        return np.array(out, np.int32)
+
+
 def counter(path: str) -> PrefixCounter:
     return held(PrefixCounter, path)
 
