@@ -401,20 +401,24 @@ def without_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", te
     carry = tuple(c for c in docs.columns if c not in (id_col, text_col, chars_col))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     names = [id_col, text_col, *([chars_col] if chars_col in docs.columns else []), *carry]
-    schema = ", ".join(f"`{c}` {'string' if c == text_col else 'long' if c in (id_col, chars_col) else kinds[c]}" for c in names) + ", empty boolean"
+    # columns travel by number, so that no name can clash
+    own = {c: f"d{i}" for i, c in enumerate(names)}
+    schema = ", ".join(f"{own[c]} {'string' if c == text_col else 'long' if c in (id_col, chars_col) else kinds[c]}" for c in names) + ", gone boolean"
     arrow = {c: t for c, t in zip(names, pa_types(docs, names), strict=True)}
 
     def finish(ids, bodies, covers, carried):
         texts = [np.frombuffer(t, np.uint8)[~c].tobytes().decode("utf-8", "ignore") if c.any() else t.decode("utf-8", "replace") for t, c in zip(bodies, covers, strict=True)]
-        columns = {id_col: pa.array(ids, pa.int64()), text_col: pa.array(texts, pa.string())}
+        columns = {own[id_col]: pa.array(ids, pa.int64()), own[text_col]: pa.array(texts, pa.string())}
         if chars_col in names:
-            columns[chars_col] = pa.array(list(map(len, texts)), pa.int64())
-        columns |= {c: pa.array(v, arrow[c]) for c, v in zip(carry, carried, strict=True)}
-        columns["empty"] = pa.array([bool(c.any()) and not t for t, c in zip(texts, covers, strict=True)], pa.bool_())
+            columns[own[chars_col]] = pa.array(list(map(len, texts)), pa.int64())
+        columns |= {own[c]: pa.array(v, arrow[c]) for c, v in zip(carry, carried, strict=True)}
+        columns["gone"] = pa.array([bool(c.any()) and not t for t, c in zip(texts, covers, strict=True)], pa.bool_())
         return pa.table(columns)
 
-    found = repeated_spans(docs, finish, schema, width=width, id_col=id_col, text_col=text_col, carry=carry)
-    return found.where("not empty").select(*docs.columns)
+    known = docs.where(F.col(text_col).isNotNull())
+    found = repeated_spans(known, finish, schema, width=width, id_col=id_col, text_col=text_col, carry=carry)
+    kept = found.where("not gone").select(*[F.col(own[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    return kept.union(docs.where(F.col(text_col).isNull()))
 
 
 def pa_types(docs: DataFrame, names: list[str]) -> list[pa.DataType]:
