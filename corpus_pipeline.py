@@ -19,8 +19,7 @@ from quillgraph.llm.common import shared_dir, table
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents outside the word rules or their language's fertility band go."""
-    others = tuple(c for c in docs.columns if c != "doc_id")
-    return quality_rules.quality(docs, carry=others).where("kept").select(*docs.columns)
+    return quality_rules.kept_rows(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
