@@ -18,7 +18,6 @@ from . import text as T
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: A start tag ends an open paragraph.
 BLOCKS = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-DROPPED = frozenset("script style nav footer iframe noscript img svg".split())
 HEADINGS = {f"h{i}": "#" * i for i in range(1, 7)}
 
 
@@ -132,9 +131,9 @@ def pdf_links(scope: Node) -> tuple[str | None, str | None]:
         if href is None or not href.endswith(".pdf"):
             continue
         english = "EN" in href or "/en/" in href
-        if ar is None and cls & {"pdf-link", "treaty-ar"} and not english:
+        if ar is None and cls & {T.PDF_LINK, T.TREATY_LINK} and not english:
             ar = href
-        if en is None and ("decree-link" in cls or ("treaty-ar" in cls and english)):
+        if en is None and (T.DECREE_LINK in cls or (T.TREATY_LINK in cls and english)):
             en = href
     return ar, en
 
@@ -147,7 +146,7 @@ def body_nodes(scope: Node) -> list[Node | str]:
     children, start = entry.children, 0
     for i, child in enumerate(children):
         if isinstance(child, Node) and child.tag == "p":
-            if child.first("a", "pdf-link", "decree-link", "treaty-ar"):
+            if child.first("a", T.PDF_LINK, T.DECREE_LINK, T.TREATY_LINK):
                 start = i + 1
             break
     out = []
@@ -163,7 +162,7 @@ def english_nodes(scope: Node) -> list[Node | str]:
     if not entry:
         return []
     gone = set()
-    for cls in ("ar-link", "cl-link"):
+    for cls in T.OTHER_LANGUAGE_LINKS:
         link = entry.first("a", cls)
         if link and (p := link.up("p")):
             gone.add(id(p))
@@ -178,7 +177,7 @@ def markdown(nodes: list[Node | str]) -> str:
     def inline(x: Node | str) -> str:
         if isinstance(x, str):
             return " ".join(x.split()) if x.strip() else (" " if x else "")
-        if x.tag in DROPPED:
+        if x.tag in T.DROPPED_TAGS:
             return ""
         if x.tag == "br":
             return "\n\n"
@@ -201,7 +200,7 @@ def markdown(nodes: list[Node | str]) -> str:
             if x.strip():
                 out.append(" ".join(x.split()))
             return
-        if x.tag in DROPPED:
+        if x.tag in T.DROPPED_TAGS:
             return
         if x.tag in HEADINGS:
             out.append(f"\n\n{HEADINGS[x.tag]} {''.join(joined(x.children)).strip()}\n\n")
@@ -265,7 +264,7 @@ def amendment(scope: Node) -> tuple[bool, str | None, str | None]:
     return True, *(x.rstrip("/").split("/")[-1] for x in links)
 
 
-PAGE = "title string, body string, has_body boolean, pdf_url_ar string, pdf_url_en string, url_en string, iso_date string, date_text string, issuer string, relation_table boolean, source_id string, target_id string, english string, links array<string>, headings array<string>"
+PAGE = "title string, body string, has_body boolean, pdf_url_ar string, pdf_url_en string, url_en string, iso_date string, date_text string, issuer string, relation_table boolean, source_id string, target_id string, english string, has_english boolean, links array<string>, headings array<string>"
 
 
 def parse_page(html: Column) -> Column:
@@ -281,13 +280,14 @@ def parse_page(html: Column) -> Column:
             ar, en = pdf_links(scope)
             nodes = body_nodes(scope)
             entry = entry_of(scope)
-            link = entry.first("a", "decree-link") if entry else None
+            link = entry.first("a", T.DECREE_LINK) if entry else None
             there, source, target = amendment(scope)
             iso, text = date_text(scope)
             body = markdown(nodes)
             has = any(isinstance(n, Node) or n.strip() for n in nodes)
+            others = english_nodes(scope)
             titles = [next((a.attrs["href"] for a in h2.all("a") if a.attrs.get("href") is not None), None) for h2 in root.all("h2")]
-            rows.append((title_of(scope), body if has else None, has, ar, en, link.attrs.get("href") if link else None, iso, text, issuer_tag(scope), there, source, target, markdown(english_nodes(scope)) or None, [a.attrs["href"] for a in root.all("a") if a.attrs.get("href") is not None], [t for t in titles if t is not None]))
+            rows.append((title_of(scope), body if has else None, has, ar, en, link.attrs.get("href") if link else None, iso, text, issuer_tag(scope), there, source, target, markdown(others) or None, any(isinstance(n, Node) or n.strip() for n in others), [a.attrs["href"] for a in root.all("a") if a.attrs.get("href") is not None], [t for t in titles if t is not None]))
         return pd.DataFrame(rows, columns=[c.split()[0] for c in PAGE.split(", ")])
 
     return run(html)

@@ -54,6 +54,9 @@ ISSUER_KEYWORDS = ("شرطة", "وزارة", "هيئة", "مجلس", "الحكو
 AMENDMENT_MARKS = ("معدل", "تعديل", "amended")
 ARTICLE_START = r"(?iu)^(المادة|الفصل|البند|الفرع|Article|Chapter|Section|Clause)\s+[\dIVXأ-ي٠-٩()]+"
 SLUG_BLACKLIST = ("uncategorized",)
+DROPPED_TAGS = ("script", "style", "nav", "footer", "iframe", "noscript", "img", "svg")
+PDF_LINK, DECREE_LINK, TREATY_LINK = "pdf-link", "decree-link", "treaty-ar"
+OTHER_LANGUAGE_LINKS = ("ar-link", "cl-link")
 # ----------------------------------------------------------------------------
 
 
@@ -136,15 +139,20 @@ def arabic_date(text: Column) -> Column:
     return F.when((F.size(parts) == 3) & (month > 0) & day.isNotNull(), F.format_string("%s-%02d-%02d", F.get(parts, F.lit(2)), month, day))
 
 
+def utc_now() -> Column:
+    """The time of the query, UTC, as an ISO string."""
+    return F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+
+
 def content_status(ar: Column, en: Column) -> Column:
     empty = lambda c: F.coalesce(c, F.lit("")) == ""
     return F.when(empty(ar) & empty(en), "EMPTY_CONTENT").when(empty(ar), "ONLY_ENGLISH").when(empty(en), "ONLY_ARABIC").otherwise("SUCCESS_CONTENT")
 
 
-def content_source(body: Column, pdf_url: Column) -> Column:
-    """html if there is a body, else pdf if there is a url for one."""
-    there = lambda c: F.coalesce(c, F.lit("")) != ""
-    return F.when(there(body), "html").when(there(pdf_url), "pdf")
+def content_source(has_body: Column, pdf_url: Column) -> Column:
+    """html if the page has a body, whatever is left of it, else pdf if there is a
+    url for one."""
+    return F.when(has_body, "html").when(F.coalesce(pdf_url, F.lit("")) != "", "pdf")
 
 
 def chunk_source(ar: Column, en: Column) -> tuple[Column, Column]:

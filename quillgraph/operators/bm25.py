@@ -1,10 +1,14 @@
-"""BM25 (Okapi) as three tables: postings, documents, terms.
+"""BM25 (Okapi): an index of postings, documents and terms, or a scan without one.
 
 Robertson and Zaragoza (2009). A term's inverse document frequency is
 ln(N - df + 0.5) - ln(df + 0.5); where that is negative, ``epsilon`` times the
-mean over all terms. The index is built by one explode and two aggregations with
-map-side combining; a query joins its few terms to the postings, so that only
-those terms' rows are read when postings are stored partitioned by term hash.
+mean over all terms.
+
+* ``build`` counts document frequencies in one pass that sends each task's distinct
+  terms, not the postings; a search then scores rows where they are, from the tokens
+  that the query has, and shuffles nothing but its best rows.
+* ``Index.save`` lays postings out by term. A search over a loaded index reads the
+  row groups of its terms only.
 """
 
 from __future__ import annotations
@@ -15,14 +19,31 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .state import spread, written
+
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
 @dataclass(frozen=True)
 class Index:
-    postings: DataFrame  # term, doc_id, tf
-    docs: DataFrame  # doc_id, len
     terms: DataFrame  # term, df
+    totals: DataFrame  # one row: n_docs, avg_len
+    listed: DataFrame | None = None  # doc_id, tokens, of an index that isn't stored
+    stored: tuple[DataFrame, DataFrame] | None = None  # postings, docs
+
+    @property
+    def postings(self) -> DataFrame:
+        """term, doc_id, tf."""
+        if self.stored:
+            return self.stored[0]
+        return self.listed.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+    @property
+    def docs(self) -> DataFrame:
+        """doc_id, len; documents without tokens aren't in the index."""
+        if self.stored:
+            return self.stored[1]
+        return self.listed.select("doc_id", F.size("tokens").cast("long").alias("len")).where("len > 0")
 
     def save(self, path: str, buckets: int = 64) -> None:
         """Postings are laid out by term, so a term's rows sit in one file range."""
@@ -33,20 +54,24 @@ class Index:
     @staticmethod
     def load(spark: SparkSession, path: str) -> Index:
         """Fails where a table is missing."""
-        return Index(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "docs", "terms")))
+        postings, docs, terms = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "docs", "terms"))
+        return Index(terms, docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len")), stored=(postings, docs))
 
 
 def build(docs: DataFrame, tokens: Column, id_col: str = "doc_id") -> Index:
-    """Documents without tokens aren't in the index."""
-    listed = docs.select(F.col(id_col).alias("doc_id"), tokens.alias("tokens")).where(F.size("tokens") > 0)
-    postings = listed.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    return Index(postings, listed.select("doc_id", F.size("tokens").cast("long").alias("len")), postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    """The frequencies of all terms are counted at once, and written to the shared folder."""
+    listed = docs.select(F.col(id_col).alias("doc_id"), tokens.alias("tokens"))
+    each = F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("len")))
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("tokens").alias("len")))  # one of each document
+    counted = spread(docs).select(tokens.alias("tokens")).select(F.explode(F.when(F.size("tokens") > 0, F.concat(each, whole))).alias("t"))
+    counted = written(counted.groupBy("t.term").agg(F.count(F.lit(1)).alias("df"), F.sum("t.len").alias("len")))
+    totals = counted.where("term is null").select(F.col("df").alias("n_docs"), (F.col("len") / F.col("df")).alias("avg_len"))
+    return Index(counted.where("term is not null").select("term", "df"), totals, listed=listed)
 
 
 def stats(index: Index) -> DataFrame:
     """One row: n_docs, avg_len, and the mean idf before the floor."""
-    n = index.docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("len").alias("avg_len"))
-    raw = index.terms.crossJoin(F.broadcast(n)).select("n_docs", "avg_len", raw_idf("n_docs").alias("idf"))
+    raw = index.terms.crossJoin(index.totals).select("n_docs", "avg_len", raw_idf("n_docs").alias("idf"))
     return raw.groupBy("n_docs", "avg_len").agg(F.avg("idf").alias("mean_idf"))
 
 
@@ -56,26 +81,31 @@ def raw_idf(n: str) -> Column:
 
 def idf(index: Index, epsilon: float = EPSILON) -> DataFrame:
     """term, df, idf with the floor for frequent terms."""
-    one = F.broadcast(stats(index))  # one row
     raw = raw_idf("n_docs")
-    return index.terms.crossJoin(one).select("term", "df", F.when(raw < 0, F.col("mean_idf") * epsilon).otherwise(raw).alias("idf"))
+    return index.terms.crossJoin(stats(index)).select("term", "df", "avg_len", F.when(raw < 0, F.col("mean_idf") * epsilon).otherwise(raw).alias("idf"))
 
 
 def score(index: Index, query_terms: DataFrame, k1: float = K1, b: float = B, epsilon: float = EPSILON) -> DataFrame:
     """doc_id, score over documents with a query term. ``query_terms`` has a row for
-    each occurrence (column term), so a repeated term counts twice."""
-    wanted = F.broadcast(query_terms.groupBy("term").agg(F.count(F.lit(1)).alias("times")))
-    one = F.broadcast(stats(index))
-    raw = raw_idf("n_docs")
-    weights = index.terms.join(wanted, "term").crossJoin(one).select("term", "times", "avg_len", F.when(raw < 0, F.col("mean_idf") * epsilon).otherwise(raw).alias("idf"))
-    hits = index.postings.join(F.broadcast(weights), "term").join(index.docs, "doc_id")
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    return hits.groupBy("doc_id").agg(F.sum(part).alias("score"))
+    each occurrence (column term), so a repeated term counts twice; a query's terms
+    are few (they are put into the plan)."""
+    wanted = {r["term"]: r["times"] for r in query_terms.groupBy("term").agg(F.count(F.lit(1)).alias("times")).collect()}
+    times = F.create_map(*[F.lit(x) for item in wanted.items() for x in item]) if wanted else F.lit(None).cast("map<string,long>")
+    weights = idf(index, epsilon).where(F.col("term").isin(*wanted)).withColumn("times", F.element_at(times, F.col("term")))
+    part = lambda w, tf, n: w["times"] * w["idf"] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * n / w["avg_len"]))
+    if index.stored:
+        hits = index.postings.where(F.col("term").isin(*wanted)).join(weights, "term").join(index.docs, "doc_id")
+        row = {c: F.col(c) for c in ("times", "idf", "avg_len")}
+        return hits.groupBy("doc_id").agg(F.sum(part(row, F.col("tf"), F.col("len"))).alias("score"))
+    one = F.broadcast(weights.agg(F.collect_list(F.struct("term", "times", "idf", "avg_len")).alias("w")))  # one row, of the query's terms
+    rows = spread(index.listed).select("doc_id", F.size("tokens").alias("n"), F.filter("tokens", lambda t: t.isin(*wanted)).alias("found")).where(F.size("found") > 0).crossJoin(one)
+    each = F.transform("w", lambda w: part(w, F.size(F.filter("found", lambda t: t == w["term"])), F.col("n")))
+    return rows.select("doc_id", F.aggregate(each, F.lit(0.0), lambda s, x: s + x).alias("score"))
 
 
 def normalised(scores: DataFrame, col: str = "score") -> DataFrame:
     """Scores over their maximum; as they are where that isn't positive."""
-    top = F.broadcast(scores.agg(F.max(col).alias("top")))  # one row
+    top = scores.agg(F.max(col).alias("top"))
     return scores.crossJoin(top).withColumn(col, F.when(F.col("top") > 0, F.col(col) / F.col("top")).otherwise(F.col(col))).drop("top")
 
 
@@ -95,10 +125,8 @@ def search(indexes: list[tuple[Index, DataFrame]], k: int) -> DataFrame:
 
 def search_many(index: Index, queries: DataFrame, k: int) -> DataFrame:
     """query_id, doc_id, score, rank for a table of (query_id, term) rows."""
-    one = F.broadcast(stats(index))
-    raw = raw_idf("n_docs")
     terms = queries.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    weights = terms.join(index.terms, "term").crossJoin(one).select("query_id", "term", "times", "avg_len", F.when(raw < 0, F.col("mean_idf") * EPSILON).otherwise(raw).alias("idf"))
+    weights = terms.join(idf(index), "term")
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     found = index.postings.join(weights, "term").join(index.docs, "doc_id").groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))

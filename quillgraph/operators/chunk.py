@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections import deque
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .state import spread
 
 SEPARATORS = ("\n\n", "\n", " ", "")
 _word = re.compile(r"[^\W]+")
@@ -27,7 +29,7 @@ def split(text: str, size: int = 510, overlap: int = 50, length=token_length, se
     sep, finer = separators[at], separators[at + 1 :]
     pieces = [p for p in (text.split(sep) if sep else list(text)) if p]
     chunks: list[str] = []
-    held: list[tuple[str, int]] = []
+    held: deque[tuple[str, int]] = deque()
     total = 0
 
     def close() -> None:
@@ -36,20 +38,20 @@ def split(text: str, size: int = 510, overlap: int = 50, length=token_length, se
         if whole:
             chunks.append(whole)
         while held and total > overlap:
-            total -= held.pop(0)[1]
+            total -= held.popleft()[1]
 
     for piece in pieces:
         n = length(piece)
         if n > size and finer:
             if held:
                 close()
-                held, total = [], 0
+                held, total = deque(), 0
             chunks += split(piece, size, overlap, length, finer)
             continue
         if held and total + n > size:
             close()
             while held and total + n > size:
-                total -= held.pop(0)[1]
+                total -= held.popleft()[1]
         held.append((piece, n))
         total += n
     if held:
@@ -59,18 +61,31 @@ def split(text: str, size: int = 510, overlap: int = 50, length=token_length, se
     return chunks
 
 
-def pieces(text: Column, size: int = 510, overlap: int = 50) -> Column:
-    @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split(t, size, overlap) if t and t.strip() else [])
+def pieces(text: Column, size: int = 510, overlap: int = 50, length=token_length) -> Column:
+    """(pieces, problem): a text that can't be split has no pieces but the reason."""
+
+    @F.pandas_udf("pieces array<string>, problem string")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for t in texts:
+            try:
+                rows.append((split(t, size, overlap, length) if t and t.strip() else [], None))
+            except Exception as e:  # one document's failure isn't the batch's
+                rows.append(([], f"{type(e).__name__}: {e}"))
+        return pd.DataFrame(rows, columns=["pieces", "problem"])
 
     return run(text)
 
 
-def chunks(docs: DataFrame, size: int = 510, overlap: int = 50, id_col: str = "doc_id") -> DataFrame:
+def chunks(docs: DataFrame, size: int = 510, overlap: int = 50, id_col: str = "doc_id", length=token_length, keep_problems: bool = False) -> DataFrame:
     """id, doc_id, language, index, text: a row a chunk, from the Arabic text if
-    there is any, else the English one. Blank documents give none."""
+    there is any, else the English one. Blank documents give none. A document that
+    can't be split gives an error or, with ``keep_problems``, a row with its
+    ``problem`` and no text."""
     lang, text = T.chunk_source(F.col("contentAr"), F.col("contentEn"))
-    rows = docs.select(F.col(id_col).alias("doc_id"), lang.alias("language"), text.alias("body")).where(F.col("language").isNotNull())
-    each = rows.select("doc_id", "language", F.posexplode(pieces(F.col("body"), size, overlap)).alias("index", "text"))
-    return each.select(F.concat_ws("-", "doc_id", "language", "index").alias("id"), "doc_id", "language", F.col("index").cast("long").alias("index"), "text")
+    rows = spread(docs).select(F.col(id_col).alias("doc_id"), lang.alias("language"), text.alias("body")).where(F.col("language").isNotNull())
+    cut = rows.select("doc_id", "language", pieces(F.col("body"), size, overlap, length).alias("p"))
+    problem = F.col("p.problem") if keep_problems else F.when(F.col("p.problem").isNotNull(), F.raise_error(F.col("p.problem")).cast("string"))
+    each = cut.select("doc_id", "language", problem.alias("problem"), F.explode_outer(F.transform("p.pieces", lambda x, i: F.struct(i.alias("index"), x.alias("text")))).alias("c"))
+    each = each.where("problem is not null or c.index is not null").select(F.concat_ws("-", "doc_id", "language", "c.index").alias("id"), "doc_id", "language", F.col("c.index").cast("long").alias("index"), "c.text", "problem")
+    return each if keep_problems else each.drop("problem")

@@ -2,7 +2,8 @@
 
 States: visited(url), pending(seq, url), url_category(url, category), done(id),
 failed(id), progress(category_url, page). An operation gives the next version of
-the tables that it changes.
+the tables that it changes. ``move`` and ``requeue`` keep what a url goes through in
+one table (url, category, seq, state, at), so that a move is a single write.
 """
 
 from __future__ import annotations
@@ -21,8 +22,46 @@ def enqueue(found: DataFrame, visited: DataFrame, pending: DataFrame) -> DataFra
     return new.join(visited.select("url"), "url", "left_anti").join(pending.select("url"), "url", "left_anti")
 
 
-def queue_order(pending: DataFrame) -> DataFrame:
-    return pending.orderBy("seq", "url")
+def queue_range(pending: DataFrame, start: int = 0, most: int | None = None) -> DataFrame:
+    """The queue in order, from a place on."""
+    rows = pending.orderBy("seq", "url")
+    rows = rows.offset(start) if start else rows
+    return rows.limit(most) if most is not None else rows
+
+
+def move(states: DataFrame, results: DataFrame, at) -> DataFrame:
+    """The states after results (url, ok): a pending url becomes DONE or FAILED at the
+    time ``at``. Of several results of a url one success is enough; results of urls
+    that aren't pending change nothing."""
+    each = results.groupBy("url").agg(F.bool_or("ok").alias("ok"))
+    rows = states.join(each, "url", "left").withColumn("moved", (F.col("state") == "PENDING") & F.col("ok").isNotNull())
+    state = F.when(F.col("moved"), F.when(F.col("ok"), "DONE").otherwise("FAILED")).otherwise(F.col("state"))
+    return rows.select("url", "category", "seq", state.alias("state"), F.when(F.col("moved"), at).otherwise(F.col("at")).alias("at"))
+
+
+def requeue(states: DataFrame, at) -> DataFrame:
+    """The states with every failed url pending again."""
+    failed = F.col("state") == "FAILED"
+    return states.select("url", "category", "seq", F.when(failed, "PENDING").otherwise(F.col("state")).alias("state"), F.when(failed, at).otherwise(F.col("at")).alias("at"))
+
+
+def reset(states: DataFrame) -> DataFrame:
+    return states.limit(0)
+
+
+def discover(listing: DataFrame, start: DataFrame, states: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(new pending rows, progress) of listing pages (category, page, url; a null url
+    for a page without any) read from each category's page in ``start`` up to its first
+    empty page. Progress (category, page, state) is the last page that has urls; only
+    a category whose empty page was seen is done."""
+    rows = listing.join(start.select("category", F.col("page").alias("first")), "category", "left").where(F.col("page") >= F.coalesce("first", F.lit(1)))
+    sizes = rows.groupBy("category", "page").agg(F.count("url").alias("n"))
+    ends = sizes.groupBy("category").agg(F.min(F.when(F.col("n") == 0, F.col("page"))).alias("end"))
+    read = rows.join(ends, "category").where(F.col("end").isNull() | (F.col("page") < F.col("end")))
+    found = read.where("url is not null").select("url", "category", F.col("page").alias("seq"))
+    new = enqueue(found, states.where("state <> 'PENDING'"), states.where("state = 'PENDING'"))
+    progress = ends.join(read.groupBy("category").agg(F.max("page").alias("page")), "category", "left")
+    return new, progress.select("category", "page", F.when(F.col("end").isNotNull(), "DISCOVERY_DONE").otherwise("DISCOVERING").alias("state"))
 
 
 def safe_restart_page(listing: DataFrame, progress: DataFrame, pending: DataFrame) -> DataFrame:

@@ -173,21 +173,22 @@ def modularity(edges: DataFrame, placed: DataFrame) -> float:
     return inside.inner / inside.total - squares / inside.total**2
 
 
-def community_members(doc_communities: DataFrame, topic_communities: DataFrame, most: int | None = None) -> DataFrame:
-    """community, topics, titles: members of each, in order; null titles don't count."""
-    topics = topic_communities.groupBy("community").agg(F.array_sort(F.collect_list("topic")).alias("topics"))
-    titles = doc_communities.groupBy("community").agg(F.array_sort(F.collect_list("title")).alias("titles"))
+def first_of_each(rows: DataFrame, key: str, value: str, most: int) -> DataFrame:
+    """key, values: the first ``most`` values of each key, in order; nulls don't count.
+    Only those are gathered: tasks keep no more of a key than that."""
+    ranked = rows.where(F.col(value).isNotNull()).withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(value))).where(F.col("n") <= most)
+    return ranked.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("values"))
+
+
+def community_members(doc_communities: DataFrame, topic_communities: DataFrame, topics: int = 20, titles: int = 10) -> DataFrame:
+    """community, topics, titles: the first members of each, in order; nulls don't count."""
+    names = first_of_each(topic_communities, "community", "topic", topics).withColumnRenamed("values", "topics")
+    heads = first_of_each(doc_communities, "community", "title", titles).withColumnRenamed("values", "titles")
     empty = F.array().cast("array<string>")
-    return topics.join(titles, "community", "full").select("community", F.coalesce("topics", empty).alias("topics"), F.coalesce("titles", empty).alias("titles"))
+    return names.join(heads, "community", "full").select("community", F.coalesce("topics", empty).alias("topics"), F.coalesce("titles", empty).alias("titles"))
 
 
 def belongs_to(docs: DataFrame, topics: DataFrame, communities: DataFrame) -> DataFrame:
     """kind, key, community for every node with the id of a known community."""
     every = docs.select(F.lit("document").alias("kind"), F.col("doc_id").cast("string").alias("key"), "community").union(topics.select(F.lit("topic"), F.col("topic").cast("string"), "community"))
     return every.join(communities.select("community").distinct(), "community", "left_semi").select("kind", "key", "community")
-
-
-def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Each key's row of the greatest ``order``."""
-    ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order))))
-    return ranked.where("_n = 1").drop("_n")

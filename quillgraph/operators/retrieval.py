@@ -44,7 +44,7 @@ def expand(candidates: DataFrame, docs: DataFrame, edges: DataFrame, topics_by:
 
 def expand_simple(chunks: DataFrame, docs: DataFrame, edges: DataFrame) -> DataFrame:
     """As ``expand``, but a chunk whose document is missing keeps its bare text."""
-    rows = expand(chunks, docs, edges).join(docs.select("doc_id", F.lit(True).alias("known")), "doc_id", "left")
+    rows = expand(chunks, docs, edges).join(docs.select("doc_id", F.lit(True).alias("known")).distinct(), "doc_id", "left")
     return rows.withColumn("context", F.when(F.col("known"), F.col("context")).otherwise(F.col("text"))).drop("known")
 
 
@@ -72,6 +72,21 @@ def metrics(rows: DataFrame, n: int, score: str = "rerank_score", threshold: flo
     )
 
 
+def metrics_of(rows: DataFrame, n: int, by: str, order, key: str, score: str = "rerank_score", threshold: float = 0.0) -> DataFrame:
+    """``metrics`` of unranked rows, ranked by ``order`` (greatest first, then the least
+    ``key``) in each list ``by``. No list is sorted: only its first n rows are looked
+    for, its first relevant row, and the number of rows ahead of that one."""
+    place = F.struct((-order).alias("o"), F.col(key).alias("k"))
+    good = F.col(score) > threshold
+    rows = rows.select(by, place.alias("place"), good.alias("good"))
+    sums = rows.groupBy(by).agg(F.count(F.lit(1)).alias("candidates"), F.count_if("good").alias("relevant"), F.min(F.when(F.col("good"), F.col("place"))).alias("best"))
+    ahead = rows.join(sums.select(by, "best"), by).groupBy(by).agg(F.count_if(F.col("place") <= F.col("best")).alias("rank"))
+    top = rows.withColumn("r", F.row_number().over(Window.partitionBy(by).orderBy("place"))).where(F.col("r") <= n).groupBy(by).agg(F.count_if("good").alias("hits"))
+    found = sums.join(ahead, by).join(top, by)
+    share = lambda of: F.coalesce(F.try_divide(F.col("hits").cast("double"), of), F.lit(0.0))
+    return found.select(by, F.coalesce(F.try_divide(F.lit(1.0), F.col("rank")), F.lit(0.0)).alias("mrr"), share(F.lit(float(n))).alias("precision"), share(F.col("relevant").cast("double")).alias("recall"), "candidates", "relevant")
+
+
 def context_block(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     """context: numbered excerpts (rank, context) of one result list, in order."""
     each = F.transform(F.array_sort(F.collect_list(F.struct("rank", "context"))), lambda s: F.concat(F.lit("Excerpt "), s["rank"].cast("string"), F.lit(":\n"), s["context"]))
@@ -84,8 +99,9 @@ def display(rows: DataFrame, length: int = 150, digits: int = 4) -> DataFrame:
 
 
 def community_prompt(groups: DataFrame, topics: int = 20, titles: int = 10) -> DataFrame:
-    """community, prompt: the first topics in a line, the first titles as bullets;
-    nulls go after the cut."""
+    """community, prompt: the first topics in a line, the first titles as bullets,
+    empty ones dropped after the cut; a dash where there are none."""
+    dash = lambda c: F.when(c == "", F.lit("—")).otherwise(c)
     names = F.array_join(F.slice("topics", 1, topics), ", ")
-    lines = F.transform(F.filter(F.slice("titles", 1, titles), lambda x: x.isNotNull()), lambda x: F.concat(F.lit("- "), x))
-    return groups.select("community", F.concat(F.lit("Topics: "), names, F.lit("\n\nDocuments:\n"), F.array_join(lines, "\n")).alias("prompt"))
+    lines = F.transform(F.filter(F.slice("titles", 1, titles), lambda x: F.coalesce(x, F.lit("")) != ""), lambda x: F.concat(F.lit("- "), x))
+    return groups.select("community", F.concat(F.lit("Topics: "), dash(names), F.lit("\n\nDocument titles:\n"), dash(F.array_join(lines, "\n"))).alias("prompt"))

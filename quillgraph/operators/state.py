@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,11 +10,14 @@ from pyspark.sql import DataFrame
 
 
 def shared_dir(df: DataFrame) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; a temporary one
-    where that is unset, as in tests."""
+    """The folder of spark.checkpoint.dir, which all executors share. Where that is
+    unset, a temporary one on a local master, as in tests; on a cluster, whose
+    executors couldn't see it, an error."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillgraph-checkpoints-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -31,3 +35,10 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(df)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of fewer partitions than there are cores (small files) over all of them,
+    ahead of work that costs more than moving them."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows

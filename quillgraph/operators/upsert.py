@@ -23,13 +23,13 @@ def latest_by_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def node_event(docs: DataFrame) -> DataFrame:
-    """json: the node envelope of each document."""
-    return docs.select(F.to_json(F.struct(F.lit("node").alias("type"), F.struct("id", *DOCUMENT_FIELDS).alias("payload")), {"ignoreNullFields": "false"}).alias("json"))
+    """json: the node envelope of each document, with its ``seq`` if it has one."""
+    return docs.select(*[c for c in docs.columns if c == "seq"], F.to_json(F.struct(F.lit("node").alias("type"), F.struct("id", *DOCUMENT_FIELDS).alias("payload")), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def edge_event(relations: DataFrame) -> DataFrame:
-    """json: the edge envelope; the page's url isn't sent."""
-    return relations.select(F.to_json(F.struct(F.lit("edge").alias("type"), F.struct("id", "source_id", "target_id", "relation_type").alias("payload"))).alias("json"))
+    """json: the edge envelope; the page's url isn't sent. ``seq`` as for nodes."""
+    return relations.select(*[c for c in relations.columns if c == "seq"], F.to_json(F.struct(F.lit("edge").alias("type"), F.struct("id", "source_id", "target_id", "relation_type").alias("payload"))).alias("json"))
 
 
 def read_events(raw: DataFrame, json_col: str = "json", order: str = "seq") -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -33,9 +33,11 @@ METRICS = {"cosine": cosine, "l2sq": l2_similarity}
 
 def nearest(vectors: DataFrame, query: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """The k rows most similar to the one row of ``query`` (column query_vec), ties to
-    the smaller id; rows without a vector take no part. A scan with a partial top-k
-    in each task."""
-    rows = vectors.where(F.col(vec_col).isNotNull()).crossJoin(F.broadcast(query.select("query_vec")))  # one row
+    the smaller id; rows without a vector take no part, and more than one query is an
+    error. A scan with a partial top-k in each task."""
+    one = query.agg(F.count(F.lit(1)).alias("n"), F.first("query_vec").alias("query_vec"))
+    one = one.select(F.when(F.col("n") > 1, F.raise_error(F.lit("nearest: more than one query"))).otherwise(F.col("query_vec")).alias("query_vec"))
+    rows = vectors.where(F.col(vec_col).isNotNull()).crossJoin(F.broadcast(one)).where(F.col("query_vec").isNotNull())  # one row
     return rows.select(F.col(id_col), METRICS[metric](F.col(vec_col), F.col("query_vec")).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
 
 

@@ -1,7 +1,7 @@
 """DuckDB SQL that gives the same rows as the registered queries.
 
-Queries without one can't be said in SQL (parsers, splitters, order-dependent or
-hashed steps); tests hold them against plain versions.
+The splitter and the HTML-to-Markdown writer can't be said in SQL; tests hold them
+against plain versions.
 """
 
 from __future__ import annotations
@@ -119,7 +119,7 @@ SELECT before, before - removed AS after, removed, round(CASE WHEN before > 0 TH
     "graph_stats": "SELECT 'document' AS label, count(*) AS n FROM documents UNION ALL SELECT 'topic', count(*) FROM embeddings UNION ALL SELECT 'has_topic', count(*) FROM documents",
     "topic_edge_counts": f"WITH {EDGES} SELECT vec_id AS topic, count(doc_id) AS edges FROM embeddings LEFT JOIN edges ON topic = vec_id GROUP BY vec_id",
     "most_linked_topics": f"WITH {EDGES} SELECT vec_id AS topic, count(doc_id) AS edges FROM embeddings LEFT JOIN edges ON topic = vec_id GROUP BY vec_id ORDER BY 2 DESC, 1 LIMIT 10",
-    "topics_by_label": "SELECT label, string_agg(vec_id::VARCHAR, ',' ORDER BY vec_id) AS topics, count(*) AS n FROM embeddings GROUP BY label",
+    "topics_by_label": "SELECT label, array_to_string(list(vec_id ORDER BY vec_id)[1:20], ',') AS topics, count(*) AS n FROM embeddings GROUP BY label",
     "community_counts": "SELECT count(DISTINCT label) AS communities FROM embeddings",
     "belongs_to": """SELECT 'document' AS kind, doc_id::VARCHAR AS key, (doc_id % 10)::INTEGER AS community FROM documents WHERE (doc_id % 10) IN (SELECT label FROM embeddings)
 UNION ALL SELECT 'topic', vec_id::VARCHAR, label FROM embeddings WHERE label IS NOT NULL""",
@@ -156,11 +156,26 @@ UNION ALL SELECT 'done', count(*) FROM rows_ WHERE category = 'com' UNION ALL SE
     "category_state": f"WITH {CRAWL} SELECT category, coalesce((SELECT max(seq) FROM visited WHERE visited.category = r.category), 0) AS page FROM (SELECT DISTINCT category FROM rows_) r",
     "community_prompt": """WITH t AS (SELECT source AS community, lpad(doc_id::VARCHAR, 12, '0') AS topic, lpad(doc_id::VARCHAR, 12, '0') || ' ' || substr(text, 1, 10) AS title FROM documents),
 g AS (SELECT community, list(topic ORDER BY topic) AS topics, list(title ORDER BY title) AS titles FROM t GROUP BY community)
-SELECT community, 'Topics: ' || array_to_string(topics[1:20], ', ') || chr(10) || chr(10) || 'Documents:' || chr(10) || array_to_string(list_transform(titles[1:10], lambda x: '- ' || x), chr(10)) AS prompt FROM g""",
+SELECT community, 'Topics: ' || array_to_string(topics[1:20], ', ') || chr(10) || chr(10) || 'Document titles:' || chr(10) || array_to_string(list_transform(titles[1:10], lambda x: '- ' || x), chr(10)) AS prompt FROM g""",
     "answer_prompt": f"""WITH {EN}, {_score('e', QUERY)}, b AS (SELECT doc_id, score FROM en WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10),
 r AS (SELECT row_number() OVER (ORDER BY b.score DESC, doc_id) AS rank, text FROM b JOIN documents USING (doc_id))
 SELECT 'Question: the and tion of the oure' || chr(10) || chr(10) || 'Excerpts:' || chr(10) || string_agg('Excerpt ' || rank || ':' || chr(10) || text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS prompt FROM r""",
     "display_candidates": f"""WITH {FUSED}, r AS (SELECT id, fused.doc_id, round(score, 6) AS score, text FROM fused JOIN documents USING (doc_id))
 SELECT row_number() OVER (ORDER BY score DESC, id)::INTEGER AS rank, round(score, 4) AS score, doc_id, substr(text, 1, 150) || '...' AS excerpt FROM r""",
+    "greedy_merge": f"""WITH RECURSIVE {PAIRS}, ids AS (SELECT a, row_number() OVER (ORDER BY a) AS n FROM (SELECT DISTINCT a FROM pairs)),
+near AS (SELECT n, a, (SELECT list(b ORDER BY b) FROM pairs WHERE pairs.a = ids.a) AS bs FROM ids),
+step(n, gone, a, taken) AS (SELECT 0::BIGINT, []::BIGINT[], NULL::BIGINT, []::BIGINT[] UNION ALL
+  SELECT near.n, list_concat(step.gone, CASE WHEN list_contains(step.gone, near.a) THEN [] ELSE list_filter(bs, lambda b: NOT list_contains(step.gone, b)) END), near.a,
+    CASE WHEN list_contains(step.gone, near.a) THEN [] ELSE list_filter(bs, lambda b: NOT list_contains(step.gone, b)) END FROM step JOIN near ON near.n = step.n + 1)
+SELECT unnest(taken) AS absorbed, a AS keeper FROM step""",
+    "louvain_communities": f"WITH {EDGES} SELECT doc_id AS node, -topic - 1 AS community FROM edges UNION ALL SELECT DISTINCT -topic - 1, -topic - 1 FROM edges",
+    "offline_topics": f"""WITH w AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) WHERE length(term) > 3 GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM w GROUP BY term),
+r AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY round(tf * ln(((SELECT count(*) FROM documents) + 1) / df), 9) DESC, term) AS r FROM w JOIN df USING (term) QUALIFY r <= 7)
+SELECT doc_id, string_agg(term, ' ' ORDER BY r) AS topics FROM r GROUP BY doc_id""",
+    "reranked": f"""WITH {FUSED}, c AS (SELECT id, fused.doc_id, '[Document: ' || substr(text, 1, 20) || ' | Issuer: ' || source || ' | ? | ' || lang || ']' || chr(10) || '[Topics: ' || topic || ']' || chr(10) || chr(10) || text AS text
+  FROM fused JOIN documents USING (doc_id) JOIN edges USING (doc_id)),
+o AS (SELECT id, doc_id, len(list_filter(list_distinct([{QUERY}]), lambda w: list_contains({TOKENS}[1:512], w)))::DOUBLE / len(list_distinct([{QUERY}])) AS s FROM c)
+SELECT id, doc_id, round(s, 6) AS rerank_score FROM o ORDER BY s DESC, id LIMIT 5""",
     "score_stats": f"WITH {VEC}, {FIRST}, s AS (SELECT vec_id, list_cosine_similarity(e, q) AS s FROM v, f ORDER BY s DESC, vec_id LIMIT 50) SELECT round(min(s), 6) AS least, round(max(s), 6) AS most, round(avg(s), 6) AS mean FROM s",
 }

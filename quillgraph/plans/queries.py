@@ -136,10 +136,7 @@ def expand_context(spark, d):
 def retrieval_metrics(spark, d):
     """Labelled documents of each language, longest first; relevant is quality 1."""
     rows = documents(spark, d).join(inputs.table(spark, d, "labels"), "doc_id").select("lang", "doc_id", "n_chars", F.col("quality").cast("double").alias("rerank_score"))
-    from pyspark.sql.window import Window
-
-    rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")))
-    found = retrieval.metrics(rows, 5, by=["lang"])
+    found = retrieval.metrics_of(rows, 5, "lang", F.col("n_chars"), "doc_id")
     return found.select("lang", *[F.round(c, 6).alias(c) for c in ("mrr", "precision", "recall")], "candidates", "relevant")
 
 
@@ -192,9 +189,8 @@ def detach_delete(spark, d):
 
 
 def louvain_communities(spark, d):
-    edges = has_topic(spark, d).select(F.col("doc_id").alias("x"), (-F.col("topic") - 1).alias("y"), F.lit(1.0).alias("w"))
-    near = pairs(spark, d).select((-F.col("a") - 1).alias("x"), (-F.col("b") - 1).alias("y"), F.lit(1.0).alias("w"))
-    return graph.louvain(edges.union(near))
+    """Communities of the document-topic graph; topics are negative nodes."""
+    return graph.louvain(has_topic(spark, d).select(F.col("doc_id").alias("x"), (-F.col("topic") - 1).alias("y"), F.lit(1.0).alias("w")))
 
 
 def graph_stats(spark, d):
@@ -211,8 +207,10 @@ def most_linked_topics(spark, d):
 
 
 def topics_by_label(spark, d):
-    """The topics of each community (label), gathered in order."""
-    return embeddings(spark, d).groupBy("label").agg(F.array_join(F.transform(F.array_sort(F.collect_list("vec_id")), lambda x: x.cast("string")), ",").alias("topics"), F.count(F.lit(1)).alias("n"))
+    """The first topics of each community (label), gathered in order, and their number."""
+    rows = embeddings(spark, d)
+    first = graph.first_of_each(rows, "label", "vec_id", 20).select("label", F.array_join(F.transform("values", lambda x: x.cast("string")), ",").alias("topics"))
+    return first.join(rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "label").select("label", "topics", "n")
 
 
 def community_counts(spark, d):
@@ -293,7 +291,7 @@ def status_classification(spark, d):
     en = F.max(F.when(F.col("lang") == "en", F.col("text")))
     ar = F.max(F.when(F.col("lang") == "fr", F.col("text")))
     rows = documents(spark, d).groupBy("source", F.col("n_chars").alias("size")).agg(en.alias("en"), ar.alias("ar"))
-    return rows.select("source", "size", T.content_status(F.col("ar"), F.col("en")).alias("status"), T.content_source(F.col("ar"), F.col("en")).alias("origin"))
+    return rows.select("source", "size", T.content_status(F.col("ar"), F.col("en")).alias("status"), T.content_source(F.coalesce("ar", F.lit("")) != "", F.col("en")).alias("origin"))
 
 
 def lang_stats(spark, d):

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from .oracles import ORACLES
-from .queries import QUERIES
+from . import oracles, page_queries, queries, worker_queries
 
 FLAGSHIP = "hybrid_fusion"
+QUERIES = queries.QUERIES | page_queries.QUERIES | worker_queries.QUERIES
+ORACLES = oracles.ORACLES | page_queries.ORACLES | worker_queries.ORACLES
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

@@ -38,8 +38,8 @@ class HashEmbedder:
         for text in texts:
             v = [0.0] * self.dims
             for w in re.findall(r"\w+", (text or "").lower()) or [" "]:
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big")
-                v[h % self.dims] += 1.0 if h >> 40 & 1 else -1.0
+                h = hashlib.md5(w.encode(), usedforsecurity=False).hexdigest()
+                v[int(h[:8], 16) % self.dims] += 1.0 if int(h[8], 16) >= 8 else -1.0
             n = math.sqrt(sum(x * x for x in v)) or 1.0
             out.append([x / n for x in v])
         return out
@@ -82,11 +82,16 @@ def offline_topics(docs: DataFrame, most: int = 7, id_col: str = "doc_id", text_
     tf = words.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n = docs.agg(F.count(F.lit(1)).alias("n"))
-    scored = tf.join(df, "term").crossJoin(F.broadcast(n)).withColumn("s", F.col("tf") * F.log((F.col("n") + 1) / F.col("df")))
+    scored = tf.join(df, "term").crossJoin(F.broadcast(n)).withColumn("s", F.round(F.col("tf") * F.log((F.col("n") + 1) / F.col("df")), 9))
     ranked = scored.withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("s"), "term"))).where(F.col("r") <= most)
     return ranked.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "term"))), lambda x: x["term"]).alias("topics"))
 
 
+def query_topics(query: str, most: int = 7) -> list[str]:
+    """The topics that a query names; offline its longer words, each once, in order."""
+    return list(dict.fromkeys(w for w in re.findall(r"\w+", query.lower()) if len(w) > 3))[:most]
+
+
 def translate(text: str) -> dict[str, str]:
     """The text in both languages; offline it stays as it is."""
     return {"en": text, "ar": text}

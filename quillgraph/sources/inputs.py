@@ -75,10 +75,10 @@ def records(pages: DataFrame, english: DataFrame | None = None, pdf: DataFrame |
     edges = parsed.where(amends & F.col("p.source_id").isNotNull()).select("id", F.col("p.source_id").alias("source_id"), F.col("p.target_id").alias("target_id"), F.lit("AMENDS").alias("relation_type"))
     docs = parsed.where(~amends).select("id", "url", "category", "p.*")
     if english is not None:
-        en = english.select(F.col("url").alias("url_en"), H.parse_page(F.col("html")).alias("e")).select("url_en", F.col("e.english").alias("en_body"), F.col("e.title").alias("en_title"))
+        en = english.select(F.col("url").alias("url_en"), H.parse_page(F.col("html")).alias("e")).select("url_en", F.col("e.english").alias("en_body"), F.col("e.title").alias("en_title"), F.col("e.has_english").alias("has_en"))
         docs = docs.join(en, "url_en", "left")
     else:
-        docs = docs.withColumns({"en_body": F.lit(None).cast("string"), "en_title": F.lit(None).cast("string")})
+        docs = docs.withColumns({"en_body": F.lit(None).cast("string"), "en_title": F.lit(None).cast("string"), "has_en": F.lit(False)})
     if pdf is not None:
         for lang in ("ar", "en"):
             docs = docs.join(pdf.select(F.col("url").alias(f"pdf_url_{lang}"), F.col("markdown").alias(f"pdf_{lang}")), f"pdf_url_{lang}", "left")
@@ -100,8 +100,8 @@ def records(pages: DataFrame, english: DataFrame | None = None, pdf: DataFrame |
         "url_en",
         "pdf_url_ar",
         "pdf_url_en",
-        T.content_source(F.col("body"), F.col("pdf_url_ar")).alias("ar_source"),
-        T.content_source(F.col("en_body"), F.col("pdf_url_en")).alias("en_source"),
+        T.content_source(F.col("has_body"), F.col("pdf_url_ar")).alias("ar_source"),
+        T.content_source(F.col("has_en"), F.col("pdf_url_en")).alias("en_source"),
         "contentAr",
         "contentEn",
         T.content_status(F.col("contentAr"), F.col("contentEn")).alias("status"),
