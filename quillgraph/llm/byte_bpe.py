@@ -2,21 +2,28 @@
 
 Each partition holds its words as token-position rows in an embedded DuckDB. One
 recursive query a batch joins neighbouring positions to the merge table and
-contracts, in every word, the leftmost pair of least rank (and with it the later
-pairs of the same rank that do not overlap it, which the single steps would
-contract next, as no merge of that rank can make a pair of a lower one), until
-no pair of any word is in the table. Decoding joins ids to their bytes and
-aggregates them in order.
+contracts, in every word, the leftmost pair of least rank, until no pair of any word
+is in the table. Decoding joins ids to their bytes and aggregates them in order.
+
+In long words a round takes several steps at once: pairs of the same least rank, from
+the left, that don't overlap. A contraction can make a pair of a lower rank, which
+then is the next step; so each contracted pair is looked at with the neighbours that
+it has when single steps come to it (to its left what the step before made of it, to
+its right what stands there), and the round ends at the first one that makes such a
+pair. Up to there the single steps are the same.
 
 A word is encoded once a worker while it stays in a bounded cache. The recursion
 is run in stretches of bounded depth, restarting from the last state, so that
-its union of all rounds stays bounded for words of any length.
+its union of all rounds stays bounded for words of any length. What a word of tens of
+megabytes needs beyond the database's 700 MB goes to the worker's scratch folder.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import os
+import tempfile
 
 import duckdb
 import numpy as np
@@ -47,25 +54,35 @@ with recursive s(w, p, t, r) as (
 select s.w, s.p, s.t, s.r from s join (select w, max(r) as r from s group by w) using (w, r) order by s.w, s.p
 """
 
-#: All pairs of the least rank a round, for long words.
+#: As many pairs of the least rank a round as single steps would take next, for long words.
 STRETCH = """
 with recursive s(w, p, t, r) as (
   select w, p, t, 0 from state
   union all
   (with a as (
-     select w, p, t, r, lead(t) over x as n, lead(p) over x as q, row_number() over x as i
+     select w, p, t, r, lag(t) over x as l, lead(t) over x as n, lead(t, 2) over x as y, lead(p) over x as q, row_number() over x as i
      from s where r < {depth} window x as (partition by w order by p)),
    b as (
-     select a.w, a.p, a.q, a.i, a.t = a.n as same, m.k
+     select a.w, a.p, a.q, a.i, a.l, a.y, a.t = a.n as same, m.k
      from a join merges m on m.pair = (a.t::bigint << 32) | a.n),
    best as (select w, min(k) as k from b group by w),
    hit as (
-     select b.w, b.p, b.q, b.k, b.same, b.i, row_number() over (partition by b.w order by b.p) as j
+     select b.*, row_number() over (partition by b.w order by b.p) as j
      from b join best on b.w = best.w and b.k = best.k),
-   pick as (
-     select w, p, q, k from (
+   every_ as (
+     select w, p, q, i, k, l, y from (
        select *, row_number() over (partition by w, i - j order by p) as nth from hit)
-     where not same or nth % 2 = 1)
+     where not same or nth % 2 = 1),
+   beside as (
+     select w, p, k, y, case when lag(i) over (partition by w order by p) = i - 2 then k else l end as l from every_),
+   ends as (
+     select w, min(p) as p from (
+       select e.w, e.p from beside e join merges m on m.pair = (e.l::bigint << 32) | e.k where m.k < e.k
+       union all
+       select e.w, e.p from beside e join merges m on m.pair = (e.k::bigint << 32) | e.y where m.k < e.k)
+     group by w),
+   pick as (
+     select e.w, e.p, e.q, e.k from every_ e left join ends on ends.w = e.w where ends.p is null or e.p <= ends.p)
    select s.w, s.p, coalesce(l.k, s.t), s.r + 1
    from s join best using (w)
      left join pick l on l.w = s.w and l.p = s.p
@@ -85,7 +102,7 @@ class Codec:
         self.split = regex.compile(pattern).findall
         self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         pairs = [(ranks[w[:i]] << 32 | ranks[w[i:]], k) for w, k in ranks.items() for i in range(1, len(w)) if w[:i] in ranks and w[i:] in ranks]
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "700MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "700MB", "temp_directory": f"{tempfile.gettempdir()}/bpe-{os.getpid()}", "max_temp_directory_size": "8GB"})
         self.db.register("m", pa.table({"pair": [p for p, _ in pairs], "k": pa.array([k for _, k in pairs], pa.int32())}))
         self.db.execute("create table merges as from m")
         self.db.register("v", pa.table({"t": pa.array(list(ranks.values()), pa.int32()), "hex": [w.hex() for w in ranks]}))
