@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, batches_of_texts, held, ship
+from .common import Recent, batches_of_texts, held, ship, tidy
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -199,4 +199,4 @@ def byte_bpe(docs: DataFrame, path: str | None = None, pattern: str | None = Non
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), schema)

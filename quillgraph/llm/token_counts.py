@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, batches_of_texts, held, ship
+from .common import Recent, batches_of_texts, held, ship, tidy
 
 VOCABULARY = "word_bpe_49k.json"
 END = "</w>"
@@ -435,4 +435,4 @@ def token_counts(docs: DataFrame, budget: int = 2048, path: str | None = None, p
                 names.append("prefix_counts")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), schema)

@@ -7,12 +7,16 @@ level lets nothing wrong through. Over the complete key universe of the corpus
 (every parent domain of every host), the number of levels that a key passes in a
 row then tells exactly whether it is listed.
 
-Everything is DataFrame functions: the build reads the corpus once for level 1's
-false positives (the only pass over it), and the levels above are made of the
+Everything is DataFrame functions, and no join. Three scans of the corpus: one
+estimates the number of its keys, one finds level 1's false positives (an aggregation
+with the list takes out the listed ones), one judges; the levels above are made of the
 few keys left. Level 1 is sized so that about as many keys pass as are listed
-(bits = listed x log2(universe / listed) / ln 2), so the cascade's size is
-bounded by the list, not the corpus; it is looked up as literal words of bits in
-the plan, which ``max_bits`` bounds by an error rather than by dropping keys.
+(bits = listed x log2(universe / listed) / ln 2), so the cascade's size is bounded
+by the list, not the corpus; it is looked up as a literal of the plan.
+
+A list whose first level exceeds ``max_bits`` (2^26: a few million keys) is dealt by
+hash into parts that don't, each with a cascade and a scan of its own; what these find
+listed meets the hosts by a join.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Host and path rules: (action, rule). The longest rule that fits wins.
 RULES = (
     ("block", "com/en/"),
@@ -50,7 +56,7 @@ class Level:
         return [F.pmod(a + b * F.lit(i), n) for i in range(self.hashes)]
 
     def passes(self, key: Column) -> Column:
-        words = F.lit(list(self.words)).cast("array<bigint>")
+        words = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")  # folded to a literal, in one call
         found = F.lit(True)
         for p in self.positions(key):
             word = F.get(words, F.shiftright(p, 6).cast("int"))
@@ -58,13 +64,21 @@ class Level:
         return found
 
 
+def bits_for(count: int, rate: float) -> int:
+    bits = max(64, math.ceil(-max(1, count) * math.log(rate) / math.log(2) ** 2))
+    return -(-bits // 64) * 64
+
+
+def first_rate(listed: int, universe: int) -> float:
+    return min(0.5, math.sqrt(0.5) * max(1, listed) / max(1, listed, universe))
+
+
 def build_level(keys: DataFrame, count: int, rate: float, seed: int, max_bits: int) -> Level:
     """A Bloom filter of the column ``key``; keys meet as words of bits, so what
     reaches the driver is bits / 8 bytes whatever the keys' lengths."""
-    bits = max(64, math.ceil(-max(1, count) * math.log(rate) / math.log(2) ** 2))
-    bits = -(-bits // 64) * 64
+    bits = bits_for(count, rate)
     if bits > max_bits:
-        raise ValueError(f"level of {bits} bits exceeds max_bits={max_bits}; raise it with the plan's memory in mind")
+        raise ValueError(f"level of {bits} bits exceeds max_bits={max_bits}: deal the list into parts")
     level = Level((), bits, max(1, round(-math.log2(rate))), seed)
     set_bits = keys.select(F.explode(F.array(*level.positions(F.col("key")))).alias("p"))
     words = set_bits.groupBy(F.shiftright("p", 6).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b"))
@@ -101,8 +115,9 @@ def build_cascade(universe: DataFrame, listed: DataFrame, universe_size: int | N
         return []
     universe = universe.select("key").where(F.col("key").isNotNull())
     size = universe_size or universe.agg(F.approx_count_distinct("key")).head()[0]
-    levels = [build_level(listed, n, min(0.5, math.sqrt(0.5) * n / max(n, size)), 11, max_bits)]
-    wrong = universe.where(levels[0].passes(F.col("key"))).distinct().join(listed, "key", "left_anti").persist()
+    levels = [build_level(listed, n, first_rate(n, size), 11, max_bits)]
+    passing = universe.where(levels[0].passes(F.col("key"))).select("key", F.lit(0).alias("own")).union(listed.select("key", F.lit(1)))
+    wrong = passing.groupBy("key").agg(F.max("own").alias("own")).where("own = 0").select("key").persist()
     held, others, count = wrong, listed, wrong.count()
     while count:
         level = build_level(held, count, 0.5, 11 + 2 * len(levels), max_bits)
@@ -132,7 +147,18 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return rule, action
 
 
-def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def listed_keys(universe: DataFrame, listed: DataFrame, size: int, parts: int, max_bits: int) -> DataFrame:
+    """The listed keys of the universe, by a cascade for each of ``parts`` parts of all keys."""
+    found = None
+    for i in range(parts):
+        own = F.pmod(F.xxhash64(F.lit(97), "key"), F.lit(parts)) == i
+        levels = build_cascade(universe.where(own), listed.where(own), max(1, size // parts), max_bits)
+        hits = cut(universe.where(own & is_listed(levels, F.col("key"))).distinct())
+        found = hits if found is None else found.union(hits)
+    return found
+
+
+def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", max_bits: int = 1 << 26) -> DataFrame:
     """page_id, host, path, rule, verdict, listed: every row of ``pages`` judged.
 
     A fitting rule decides; without one the cascade does: block if the host or
@@ -143,7 +169,17 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, id_col: str =
     host, path = url_parts(F.col(url_col))
     rows = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     universe = rows.select(F.explode(parent_domains(F.col("host"))).alias("key"))
-    levels = build_cascade(universe, listed)
-    hit = F.exists(parent_domains(F.col("host")), lambda key: is_listed(levels, key))
+    listed = listed.select("key").where(F.col("key").isNotNull()).distinct()
+    n, size = listed.count(), universe.agg(F.approx_count_distinct("key")).head()[0]
+    parts = -(-bits_for(n, first_rate(n, size)) // max_bits)
+    if parts == 1:
+        levels = build_cascade(universe, listed, size, max_bits)
+        hit = F.exists(parent_domains(F.col("host")), lambda key: is_listed(levels, key))
+        rows = rows.withColumn("listed", hit)
+    else:  # half again as many, for parts of uneven sizes
+        hits = listed_keys(universe, listed, size, parts + -(-parts // 2), max_bits)
+        hosts = rows.select("host").distinct().withColumn("key", F.explode(parent_domains(F.col("host")))).join(hits, "key").select("host").distinct()
+        rows = rows.join(hosts.withColumn("listed", F.lit(True)), "host", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
     rule, action = fitting_rule(F.col("host"), F.col("path"), rules)
-    return rows.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(action, F.when(hit, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), hit.alias("listed"))
+    verdict = F.coalesce(action, F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow")))
+    return rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), "listed")
