@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_of_texts
+from .common import batches_of_texts, tidy
 
 SCHEMA = "batch long, texts binary, lengths binary, ids array<long>"
 
@@ -40,7 +40,7 @@ def write_packed(docs: DataFrame, path: str, id_col: str, text_col: str, batch_b
                 )
                 seq += 1
 
-    rows.mapInArrow(pack, schema).write.option("compression", "none").parquet(path)
+    rows.mapInArrow(tidy(pack), schema).write.option("compression", "none").parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 
@@ -53,7 +53,9 @@ def unpacked(texts: bytes, lengths: bytes) -> list[bytes]:
 
 
 def slices_for(batches: int) -> int:
-    return max(48, min(8192, batches))
+    """As many as batches, so that a slice holds about as much as a batch at any size; a
+    batch sends rows to those that it has something of."""
+    return max(48, batches)
 
 
 def rows_of(batches):

@@ -17,6 +17,10 @@ wherever they are. Anchors that only one document has are found first, by their
 hashes alone, and dropped; a segment that stands under its anchor as the only one
 is compared by its documents alone. The collections left are strings of bounded
 length, so the number of rounds is bounded, whatever the documents' lengths.
+
+Where a batch of documents holds a segment several times, all but those of its least
+id are copies whatever else there is, and stay at home: of a passage that any number
+of documents share, a batch sends one.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .batches import grouped, rows_of, slices_for, unpacked, write_packed
-from .common import shared_dir, ship
+from .common import shared_dir, ship, tidy, tidy_group
 
 #: No byte of UTF-8: what stands before a string's first symbol.
 BEFORE = 0xFF
@@ -226,7 +230,8 @@ def repeated_spans(docs: DataFrame, finish, schema: str, width: int = 50, gram:
                 a, n = np.unique(np.concatenate(own), return_counts=True)
                 parts = grouped(slice_of(a), slices)
                 a = (a >> np.uint64(KEPT)) & ~np.uint64(1) | (n > 1).astype(np.uint64)
-                yield pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([dense(a[p], np.uint64) for p in parts], pa.binary())], names=["slice", "a"])
+                to = [i for i, p in enumerate(parts) if len(p)]
+                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([dense(a[parts[i]], np.uint64) for i in to], pa.binary())], names=["slice", "a"])
 
     def shared(table: pa.Table) -> pa.Table:
         """Words of the bitmap of the anchors that two documents have."""
@@ -242,7 +247,7 @@ def repeated_spans(docs: DataFrame, finish, schema: str, width: int = 50, gram:
         np.bitwise_or.at(values, at, np.uint32(1) << (place & 31).astype(np.uint32))
         return pa.table({"words": pa.array([zlib.compress(words.astype(np.int32).tobytes(), 1)], pa.binary()), "bits": pa.array([values.tobytes()], pa.binary())})
 
-    found = packed.select("texts", "lengths").mapInArrow(held, "slice int, a binary").groupBy("slice").applyInArrow(shared, "words binary, bits binary")
+    found = packed.select("texts", "lengths").mapInArrow(tidy(held), "slice int, a binary").groupBy("slice").applyInArrow(tidy_group(shared), "words binary, bits binary")
     bitmap = np.zeros(bits // 32, np.uint32)
     for row in found.toLocalIterator():  # bits / 4 bytes at most, a slice at a time
         bitmap[np.frombuffer(zlib.decompress(row.words), np.int32)] |= np.frombuffer(row.bits, np.uint32)
@@ -276,21 +281,31 @@ def repeated_spans(docs: DataFrame, finish, schema: str, width: int = 50, gram:
                 continue
             contents, name = list(index), np.concatenate(anchor_of)
             where, doc, start = np.concatenate(where), np.concatenate(doc), np.concatenate(start)
+            least = np.full(len(contents), NO_ID, np.int64)
+            np.minimum.at(least, where, ids[doc])
+            copy = ids[doc] > least[where]
+            sizes = np.fromiter(map(len, contents), np.int64, len(contents))
+            mine = (-1 - row["batch"], row["batch"], b"", (sizes[where[copy]] - width + 1).astype(np.uint8).tobytes(), b"", b"", doc[copy].astype(np.int32).tobytes(), b"", start[copy].astype(np.int64).tobytes())
+            where, doc, start = where[~copy], doc[~copy], start[~copy]
             new_place = np.empty(len(contents), np.int64)
-            rows = []
+            rows = [mine] if copy.any() else []
             of_content = slice_of(name)
             by_slice, places = grouped(of_content, slices), grouped(of_content[where], slices)
             for s in range(slices):
                 c, p = by_slice[s], places[s]
+                if not len(c):
+                    continue
                 new_place[c] = np.arange(len(c))
                 blob = [contents[x] for x in c.tolist()]
                 owner = doc[p]
                 present = np.unique(owner)
                 rows.append((s, row["batch"], zstandard.compress(b"".join(blob), 3), np.fromiter(map(len, blob), np.uint8, len(blob)).tobytes(), (name[c] >> np.uint64(8)).astype(np.uint32).tobytes(), dense(new_place[where[p]], np.int32), dense(owner, np.int32), dense(ids[present], np.int64), dense(start[p], np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int32(), pa.int64()] + [pa.binary()] * 7, strict=True)], names=NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64()] + [pa.binary()] * 7, strict=True)], names=NAMES)
 
     def compare(table: pa.Table) -> pa.Table:
         """Windows to remove, by batch: document, first window, number of windows."""
+        if table["slice"][0].as_py() < 0:  # a batch's own copies
+            return pa.table([table["batch"], table["doc"], table["start"], table["sizes"]], names=["batch", "doc", "start", "n"])
         index: dict[tuple[int, bytes], int] = {}
         name: list[int] = []
         occurrences = []
@@ -334,7 +349,7 @@ def repeated_spans(docs: DataFrame, finish, schema: str, width: int = 50, gram:
                 out.append((batch, docs_.astype(np.int32).tobytes(), np.r_[start[whole], start[rest] + at[lower]].astype(np.int64).tobytes(), np.r_[windows[content[whole]], np.ones(len(rest), np.int64)].astype(np.uint8).tobytes()))
         return pa.table([pa.array(x, t) for x, t in zip(list(zip(*out, strict=True)) or [()] * 4, [pa.int64(), pa.binary(), pa.binary(), pa.binary()], strict=True)], names=["batch", "doc", "start", "n"])
 
-    answers = packed.select("batch", "texts", "lengths", "ids").mapInArrow(cut, ", ".join(f"{n} {t}" for n, t in zip(NAMES, ["int", "long"] + ["binary"] * 7, strict=True))).groupBy("slice").applyInArrow(compare, "batch long, doc binary, start binary, n binary")
+    answers = packed.select("batch", "texts", "lengths", "ids").mapInArrow(tidy(cut), ", ".join(f"{n} {t}" for n, t in zip(NAMES, ["long", "long"] + ["binary"] * 7, strict=True))).groupBy("slice").applyInArrow(tidy_group(compare), "batch long, doc binary, start binary, n binary")
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         tables = []
@@ -351,7 +366,7 @@ def repeated_spans(docs: DataFrame, finish, schema: str, width: int = 50, gram:
             tables.append(finish(row["ids"], texts, [covered[b : b + n] for b, n in zip(base.tolist(), lengths.tolist(), strict=True)], [row[f"c{i}"] for i in range(len(carry))]))
         return pa.concat_tables(tables) if tables else finish([], [], [], [[] for _ in carry])
 
-    return packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(remove, schema)
+    return packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(tidy_group(remove), schema)
 
 
 #: Low bits of an anchor that the first pass leaves out; it may then let a few more pass.

@@ -259,3 +259,29 @@ def test_pipeline_of_nothing(spark):
         assert stage(spark, docs, "").count() == 0
         assert stage(spark, docs, "").columns == docs.columns
     assert corpus_pipeline.STAGES[3][1](spark, docs, "").count() == 0
+
+
+def test_buckets_hold_equal_lengths(clashing, tmp_path):
+    packing.write_buckets(packing.pack(clashing, limit=64), str(tmp_path / "b"))
+    back = clashing.sparkSession.read.parquet(str(tmp_path / "b"))
+    assert {(r.bucket, r.length) for r in back.collect()} == {(b, 1 << b) for b in range(7)}
+
+
+def test_words_that_change_in_normal_form_are_packed_apart():
+    tokenizer = packing.WordTokenizer(P.path(packing.VOCABULARY))
+    library = Tokenizer.from_file(P.path(packing.VOCABULARY))
+    words = ["Straße", "İx", "éa", "a b", "ΑΣ", "ﬁn", "'s", "don't!", "日本", "a1b22", "<|endoftext|>", "ǅ"]
+    for some in (words, words[:1] + words[4:5], words[6:10]):
+        want = [np.array(library.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in some]
+        assert tokenizer.together([w.encode() for w in some]) == want
+
+
+def test_lists_beyond_one_cascade(spark):
+    """Sixty thousand listed keys in one cascade, and in several of few bits."""
+    pages = spark.range(3000).select(F.col("id").alias("page_id"), F.concat(F.lit("https://www.k"), (F.col("id") * 7).cast("string"), F.lit(".example.com/x")).alias("url"))
+    pages = pages.union(spark.createDataFrame([(-1, None), (-2, "nothing")], "page_id long, url string"))
+    listed = spark.range(60_000).where("id % 3 = 0").select(F.concat(F.lit("k"), "id", F.lit(".example.com")).alias("key"))
+    want = {i: 7 * i % 3 == 0 for i in range(3000)} | {-1: False, -2: False}
+    for bits in (1 << 26, 1 << 16):
+        found = {r.page_id: r.listed for r in url_filter.filter_urls(pages, listed, max_bits=bits).collect()}
+        assert found == want
