@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,35 +48,73 @@ def mean_vector(vectors: DataFrame, vec_col: str = "embedding", by: tuple[str, .
     return each.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("query_vec"))  # one vector's elements
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 2048) -> DataFrame:
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """A column of lists of one length as rows of a matrix."""
+    flat = column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten()
+    return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def similar_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 2048, pivots: int = 64) -> DataFrame:
     """a < b, sim: all pairs of cosine ``threshold`` and more (inclusive).
 
-    The upper triangle of a grid of blocks, one matrix product a cell: no task or
-    broadcast grows with the data, each vector is sent once a block row. Rows
-    without a vector, or with one of no length, take no part.
+    Vectors are dealt into cells around a few of them (those of least hash, at most
+    ``pivots``), and cells into blocks; pairs of blocks are one matrix product each. A
+    vector goes to the blocks of a cell only if it can have a neighbour there: angles
+    obey the triangle inequality, so its angle to the cell's pivot is then at most the
+    cell's radius and the threshold's angle. That is exact, and skips most pairs of
+    blocks where vectors form clusters; no task or broadcast grows with the data. Rows
+    without a vector, or with one of no length, take no part; all have one length.
     """
-    rows = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    n = max(1, -(-rows.count() // block))
-    rows = rows.withColumn("mine", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    others = F.sequence(F.lit(0), F.lit(n - 1))
-    cells = rows.withColumn("other", F.explode(others)).select(F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "id", "v")
-
-    def product(cell: pd.DataFrame) -> pd.DataFrame:
-        p, q = int(cell.p.iloc[0]), int(cell.q.iloc[0])
-        left, right = cell[cell.mine == p], cell[cell.mine == q]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": [], "sim": []})
-        unit = lambda x: (m := np.array(x.v.tolist(), float), np.sqrt((m * m).sum(1, keepdims=True)))
-        (x, nx), (y, ny) = unit(left), unit(right)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            sim = (x @ y.T) / (nx * ny.T)
-        a, b = left.id.to_numpy()[:, None], right.id.to_numpy()[None, :]
-        keep = (sim >= threshold) & ((a < b) if p == q else (a != b))
+    size = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    rows = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where(size > 0)
+    around = np.array([r.v for r in rows.orderBy(F.xxhash64("id"), "id").limit(pivots).select("v").collect()], float)  # ``pivots`` vectors
+    if not len(around):
+        return rows.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("sim")).where("false")
+    around /= np.linalg.norm(around, axis=1, keepdims=True)
+
+    def angles(v: np.ndarray) -> np.ndarray:
+        return np.arccos(np.clip((v / np.linalg.norm(v, axis=1, keepdims=True)) @ around.T, -1, 1))
+
+    def placed(batches):
+        for batch in batches:
+            if len(batch):
+                angle = angles(matrix(batch.column(1)))
+                cell = angle.argmin(1)
+                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(angle[np.arange(len(cell)), cell])], names=["cell", "angle"])
+
+    cells = {r.cell: (r.n, r.radius) for r in rows.mapInArrow(placed, "cell int, angle double").groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).collect()}
+    blocks = np.array([-(-cells[c][0] // block) if c in cells else 0 for c in range(len(around))])
+    first = np.cumsum(blocks) - blocks
+    reach = np.array([cells[c][1] if c in cells else -np.inf for c in range(len(around))]) + np.arccos(np.clip(threshold, -1, 1)) + 1e-6
+
+    def dealt(batches):
+        """Each vector with its block and the blocks of all cells in its reach."""
+        for batch in batches:
+            if not len(batch):
+                continue
+            ids, angle = batch.column(0).to_numpy(), angles(matrix(batch.column(1)))
+            cell = angle.argmin(1)
+            mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+            own = first[cell] + (mixed % np.maximum(blocks[cell], 1).astype(np.uint64)).astype(np.int64)
+            near = angle <= reach
+            others = [np.concatenate([np.arange(first[c], first[c] + blocks[c]) for c in np.flatnonzero(row)]) if row.any() else first[:0] for row in near]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.int64()), pa.array(others, pa.list_(pa.int64()))], names=["id", "v", "mine", "others"])
+
+    sent = rows.mapInArrow(dealt, "id long, v array<double>, mine long, others array<long>").withColumn("other", F.explode("others"))
+    sent = sent.select(F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "id", "v")
+
+    def product(cell: pa.Table) -> pa.Table:
+        p, q, mine, ids = cell["p"][0].as_py(), cell["q"][0].as_py(), cell["mine"].to_numpy(), cell["id"].to_numpy()
+        v = matrix(cell["v"])
+        left, right = np.flatnonzero(mine == p), np.flatnonzero(mine == q)
+        x, y = v[left], v[right]
+        sim = (x @ y.T) / (np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))[None, :])
+        keep = (sim >= threshold) & ((ids[left][:, None] < ids[right][None, :]) if p == q else (ids[left][:, None] != ids[right][None, :]))
         i, j = np.nonzero(keep)
-        ids = left.id.to_numpy()[i], right.id.to_numpy()[j]
-        return pd.DataFrame({"a": np.minimum(*ids), "b": np.maximum(*ids), "sim": sim[i, j]})
+        ends = ids[left][i], ids[right][j]
+        return pa.table({"a": np.minimum(*ends), "b": np.maximum(*ends), "sim": sim[i, j]})
 
-    return cells.groupBy("p", "q").applyInPandas(product, "a long, b long, sim double")
+    return sent.groupBy("p", "q").applyInArrow(product, "a long, b long, sim double")
 
 
 def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 4096) -> DataFrame:

@@ -143,3 +143,19 @@ def test_body_that_renders_empty_is_html(spark):
     docs, _ = inputs.records(rows)
     assert docs.select("ar_source").first()[0] == "html"
     assert spark.range(1).select(T.content_source(F.lit(False), F.lit("u"))).first()[0] == "pdf"
+
+
+def test_similar_pairs_skip_what_is_out_of_reach(spark):
+    """Clustered vectors in small blocks, against all pairs; few blocks meet."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 16)) * 4
+    v = np.vstack([c + rng.normal(size=(25, 16)) * 0.4 for c in centres] + [np.zeros((1, 16)), centres[:1], centres[:1]])
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(9999, None)], "vec_id long, embedding array<double>")
+    unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    want = {(i, j) for i, j in zip(*np.nonzero(unit @ unit.T >= 0.9), strict=True) if i < j}
+    for pivots in (1, 24):
+        found = vector.similar_pairs(rows, 0.9, block=8, pivots=pivots).collect()
+        assert {(r.a, r.b) for r in found} == want and len(found) == len(want)
+    assert vector.similar_pairs(rows.where("vec_id = 9999"), 0.9).count() == 0
