@@ -103,7 +103,7 @@ SELECT query_id, rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= 10"
     "query_vector_mean": f"WITH {VEC}, {MEAN} SELECT (i - 1)::BIGINT AS i, round(x, 6) AS x FROM parts",
     "topic_search_docs": f"WITH {VEC}, {TOPIC} SELECT doc_id, round(score, 6) AS score FROM topics",
     "hybrid_fusion": f"WITH {FUSED} SELECT id, doc_id, round(chunk_score, 6) AS chunk_score, round(bm25_score, 6) AS bm25_score, round(topic_score, 6) AS topic_score, round(score, 6) AS score FROM fused",
-    "expand_context": f"""WITH {EDGES}, c AS (SELECT doc_id, '[Document: ' || substr(text, 1, 20) || ' | Issuer: ' || source || ' | ? | ' || lang || ']' || chr(10) || '[Topics: ' || topic || ']' || chr(10) || chr(10) || text AS context FROM documents JOIN edges USING (doc_id))
+    "expand_context": f"""WITH {EDGES}, c AS (SELECT doc_id, '[Document: ' || 'Document ' || doc_id || ' | Issuer: ' || source || ' | ? | ' || lang || ']' || chr(10) || '[Topics: ' || topic || ']' || chr(10) || chr(10) || text AS context FROM documents JOIN edges USING (doc_id))
 SELECT doc_id, md5(context) AS context_md5, length(context) AS context_length FROM c""",
     "retrieval_metrics": """WITH r AS (SELECT lang, quality > 0 AS good, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rank FROM documents JOIN labels USING (doc_id))
 SELECT lang, round(coalesce(1.0::DOUBLE / min(rank) FILTER (good), 0), 6) AS mrr, round((count(*) FILTER (good AND rank <= 5))::DOUBLE / 5, 6) AS precision,
@@ -129,8 +129,9 @@ UNION ALL SELECT 'topic', vec_id::VARCHAR, label FROM embeddings WHERE label IS
     "ingest_edges_stubs": "SELECT id FROM (SELECT l_partkey AS id FROM lineitem UNION SELECT l_suppkey FROM lineitem) WHERE id NOT IN (SELECT p_partkey FROM part WHERE p_size <= 25)",
     "ingest_edges": "SELECT o_custkey AS src, o_orderpriority AS dst, arg_max(o_orderstatus, o_orderkey) AS type, max(o_orderkey) AS seq FROM orders GROUP BY ALL",
     "events_json": "SELECT event_type, count(k) AS n, sum(k)::BIGINT AS total FROM (SELECT event_type, (props->>'$.k')::INTEGER AS k FROM events) GROUP BY event_type",
-    "event_envelopes": "SELECT doc_id::VARCHAR AS id, source AS issuer, length(text) AS n FROM documents",
-    "keep_known_vectors": "SELECT vec_id, round((CASE WHEN label < 5 THEN coalesce(embedding[2], embedding[1]) ELSE embedding[1] END)::DOUBLE, 6) AS x FROM embeddings",
+    "event_envelopes": "SELECT doc_id::VARCHAR AS id, source AS issuer, md5(text) AS content_md5 FROM documents",
+    "keep_known_vectors": """WITH k AS (SELECT vec_id, CASE WHEN label < 5 AND embedding[2] IS NOT NULL THEN embedding[2:] || embedding[1:1] ELSE embedding END AS v FROM embeddings)
+SELECT vec_id, (generate_subscripts(v, 1) - 1)::BIGINT AS i, round(unnest(v)::DOUBLE, 6) AS x FROM k""",
     "link_topics": f"WITH {EDGES} SELECT DISTINCT doc_id, topic FROM edges WHERE doc_id IN (SELECT doc_id FROM labels) AND topic IN (SELECT vec_id FROM embeddings WHERE label < 5)",
     "duplicate_keys": "SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id HAVING count(*) > 1",
     "status_classification": """WITH r AS (SELECT source, n_chars AS size, coalesce(max(text) FILTER (lang = 'en'), '') AS en, coalesce(max(text) FILTER (lang = 'fr'), '') AS ar FROM documents GROUP BY ALL)
@@ -154,7 +155,7 @@ UNION ALL SELECT 'done', count(*) FROM rows_ WHERE category = 'com' UNION ALL SE
     "finish_urls": f"WITH {CRAWL} SELECT seq, url FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY seq) AS n FROM pending) WHERE n > 1 OR category <> 'com'",
     "category_progress": f"WITH {CRAWL} SELECT category, arg_max(url, seq) AS url, max(seq) AS seq FROM rows_ GROUP BY category",
     "category_state": f"WITH {CRAWL} SELECT category, coalesce((SELECT max(seq) FROM visited WHERE visited.category = r.category), 0) AS page FROM (SELECT DISTINCT category FROM rows_) r",
-    "community_prompt": """WITH t AS (SELECT source AS community, lpad(doc_id::VARCHAR, 12, '0') AS topic, lpad(doc_id::VARCHAR, 12, '0') || ' ' || substr(text, 1, 10) AS title FROM documents),
+    "community_prompt": """WITH t AS (SELECT source AS community, lpad(doc_id::VARCHAR, 12, '0') AS topic, lpad(doc_id::VARCHAR, 12, '0') || ' ' || source AS title FROM documents),
 g AS (SELECT community, list(topic ORDER BY topic) AS topics, list(title ORDER BY title) AS titles FROM t GROUP BY community)
 SELECT community, 'Topics: ' || array_to_string(topics[1:20], ', ') || chr(10) || chr(10) || 'Document titles:' || chr(10) || array_to_string(list_transform(titles[1:10], lambda x: '- ' || x), chr(10)) AS prompt FROM g""",
     "answer_prompt": f"""WITH {EN}, {_score('e', QUERY)}, b AS (SELECT doc_id, score FROM en WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10),
@@ -173,7 +174,7 @@ SELECT unnest(taken) AS absorbed, a AS keeper FROM step""",
 df AS (SELECT term, count(*) AS df FROM w GROUP BY term),
 r AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY round(tf * ln(((SELECT count(*) FROM documents) + 1) / df), 9) DESC, term) AS r FROM w JOIN df USING (term) QUALIFY r <= 7)
 SELECT doc_id, string_agg(term, ' ' ORDER BY r) AS topics FROM r GROUP BY doc_id""",
-    "reranked": f"""WITH {FUSED}, c AS (SELECT id, fused.doc_id, '[Document: ' || substr(text, 1, 20) || ' | Issuer: ' || source || ' | ? | ' || lang || ']' || chr(10) || '[Topics: ' || topic || ']' || chr(10) || chr(10) || text AS text
+    "reranked": f"""WITH {FUSED}, c AS (SELECT id, fused.doc_id, '[Document: ' || 'Document ' || doc_id || ' | Issuer: ' || source || ' | ? | ' || lang || ']' || chr(10) || '[Topics: ' || topic || ']' || chr(10) || chr(10) || text AS text
   FROM fused JOIN documents USING (doc_id) JOIN edges USING (doc_id)),
 o AS (SELECT id, doc_id, len(list_filter(list_distinct([{QUERY}]), lambda w: list_contains({TOKENS}[1:512], w)))::DOUBLE / len(list_distinct([{QUERY}])) AS s FROM c)
 SELECT id, doc_id, round(s, 6) AS rerank_score FROM o ORDER BY s DESC, id LIMIT 5""",

@@ -125,7 +125,7 @@ def hybrid_fusion(spark, d):
 
 
 def as_records(spark, d):
-    return documents(spark, d).select("doc_id", F.substring("text", 1, 20).alias("title"), F.col("source").alias("issuer"), F.lit(None).cast("string").alias("date"), F.col("lang").alias("document_type"))
+    return documents(spark, d).select("doc_id", F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("title"), F.col("source").alias("issuer"), F.lit(None).cast("string").alias("date"), F.col("lang").alias("document_type"))
 
 
 def expand_context(spark, d):
@@ -260,7 +260,7 @@ def event_envelopes(spark, d):
     docs = documents(spark, d).select(F.col("doc_id").cast("string").alias("id"), *[F.lit(None).cast("string").alias(f) if f not in ("issuer", "contentEn") else F.col({"issuer": "source", "contentEn": "text"}[f]).alias(f) for f in upsert.DOCUMENT_FIELDS])
     raw = upsert.node_event(docs).withColumn("seq", F.xxhash64("json"))
     nodes, _, _ = upsert.read_events(raw)
-    return upsert.merge(None, nodes, ["id"]).select("id", "issuer", F.length("contentEn").cast("long").alias("n"))
+    return upsert.merge(None, nodes, ["id"]).select("id", "issuer", F.md5("contentEn").alias("content_md5"))
 
 
 def known_vectors(spark, d):
@@ -273,8 +273,8 @@ def known_vectors(spark, d):
 
 
 def keep_known_vectors(spark, d):
-    """Whole vectors upserted, told by their first component."""
-    return known_vectors(spark, d).select("vec_id", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("x"))
+    """Whole vectors upserted, a row a component."""
+    return known_vectors(spark, d).select("vec_id", F.posexplode("embedding").alias("i", "x")).select("vec_id", F.col("i").cast("long").alias("i"), F.round(F.col("x").cast("double"), 6).alias("x"))
 
 
 def link_topics(spark, d):
@@ -312,7 +312,7 @@ def chunks_per_doc(spark, d):
 
 def chunk_embeddings(spark, d):
     rows = chunk.chunks(chunk_rows(spark, d))
-    return rows.select("id", "doc_id", F.size(providers.embedding(F.col("text"), providers.HashEmbedder(64))).alias("dims"))
+    return rows.select("id", "doc_id", providers.embedding(F.col("text"), providers.HashEmbedder(64)).alias("embedding"))
 
 
 def page_titles(spark, d):
@@ -399,7 +399,7 @@ def category_state(spark, d):
 
 
 def community_prompt(spark, d):
-    docs = documents(spark, d).select(F.col("source").alias("community"), F.concat(F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(" "), F.substring("text", 1, 10)).alias("title"))
+    docs = documents(spark, d).select(F.col("source").alias("community"), F.concat(F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(" "), F.col("source")).alias("title"))
     topics = documents(spark, d).select(F.col("source").alias("community"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("topic"))
     return retrieval.community_prompt(graph.community_members(docs, topics))
 

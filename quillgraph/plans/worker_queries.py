@@ -286,7 +286,7 @@ SELECT doc_id, round(score, 6) AS score FROM best ORDER BY best.score DESC, doc_
     "stored_communities": """WITH g AS (SELECT DISTINCT label FROM embeddings WHERE label IS NOT NULL), m AS (SELECT doc_id % 10 AS label FROM documents UNION ALL SELECT label FROM embeddings)
 SELECT g.label AS community, 'Community ' || g.label AS label, count(*) AS n FROM g JOIN m ON m.label = g.label GROUP BY g.label""",
     "written_documents": """SELECT CASE WHEN coalesce(text, '') = '' THEN 'EMPTY_CONTENT' WHEN lang = 'en' THEN 'ONLY_ENGLISH' ELSE 'ONLY_ARABIC' END AS status, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents GROUP BY ALL""",
-    "simple_contexts": f"""WITH {EDGES} SELECT doc_id, md5(CASE WHEN doc_id % 3 > 0 THEN '[Document: ' || substr(text, 1, 20) || ' | Issuer: ' || source || ' | ? | ' || lang || ']' || chr(10) || '[Topics: ' || topic || ']' || chr(10) || chr(10) ELSE '' END || text) AS context_md5
+    "simple_contexts": f"""WITH {EDGES} SELECT doc_id, md5(CASE WHEN doc_id % 3 > 0 THEN '[Document: ' || 'Document ' || doc_id || ' | Issuer: ' || source || ' | ? | ' || lang || ']' || chr(10) || '[Topics: ' || topic || ']' || chr(10) || chr(10) ELSE '' END || text) AS context_md5
 FROM documents JOIN edges USING (doc_id)""",
     "query_topic_vector": f"""WITH {VEC}, parts AS (SELECT i, avg(x) AS x FROM (SELECT unnest(e) AS x, generate_subscripts(e, 1) AS i FROM v WHERE vec_id % 6 = 0) GROUP BY i),
 m AS (SELECT list(x ORDER BY i) AS q FROM parts), s AS (SELECT vec_id, list_cosine_similarity(e, q) AS s FROM v, m ORDER BY s DESC, vec_id LIMIT 20)

@@ -159,3 +159,45 @@ def test_similar_pairs_skip_what_is_out_of_reach(spark):
         found = vector.similar_pairs(rows, 0.9, block=8, pivots=pivots).collect()
         assert {(r.a, r.b) for r in found} == want and len(found) == len(want)
     assert vector.similar_pairs(rows.where("vec_id = 9999"), 0.9).count() == 0
+
+
+def plain_split(text, size, overlap, separators=("\n\n", "\n", " ", "")):
+    """The splitter once more, by places in the text: pieces of the coarsest separator
+    that occurs, gathered while they fit; what is too long alone is split by finer ones."""
+    n = chunk.token_length
+    kind = next(s for s in separators if s in text)
+    finer = separators[separators.index(kind) + 1 :]
+    pieces = [p for p in (text.split(kind) if kind else text) if p]
+    out, i = [], 0
+    while i < len(pieces):
+        if n(pieces[i]) > size and finer:
+            out += plain_split(pieces[i], size, overlap, finer)
+            i += 1
+            continue
+        # a run of pieces of ordinary length, cut into chunks that share up to ``overlap``
+        j = i
+        while j < len(pieces) and not (n(pieces[j]) > size and finer):
+            j += 1
+        start = end = i
+        while end < j:
+            while end < j and (start == end or sum(map(n, pieces[start : end + 1])) <= size):
+                end += 1
+            whole = kind.join(pieces[start:end]).strip()
+            if whole:
+                out.append(whole)
+            if end < j:
+                while start < end and (sum(map(n, pieces[start:end])) > overlap or sum(map(n, pieces[start : end + 1])) > size):
+                    start += 1
+        i = j
+    return out
+
+
+def test_splitter_against_a_plain_one():
+    import random
+
+    rng = random.Random(9)
+    for _ in range(300):
+        words = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(1, 120))]
+        text = "".join(w + rng.choice([" ", " ", " ", "\n", "\n\n", ". ", "  "]) for w in words)
+        size, overlap = rng.randint(2, 20), rng.randint(0, 5)
+        assert chunk.split(text, size, min(overlap, size)) == plain_split(text, size, min(overlap, size)), repr((text, size, overlap))
