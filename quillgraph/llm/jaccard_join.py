@@ -517,7 +517,8 @@ def one_of_each(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str
     """``docs`` with one row of each component left, that of the smallest id (null
     ids last, then by set); rows without words all stay. Columns are as they were."""
     spark = docs.sparkSession
-    found = cut(similar_components(docs, percent, width, id_col, text_col, classes=True).where("cls is not null").groupBy("doc_id", "cls", "root").agg(F.count(F.lit(1)).alias("copies")))
+    found = cut(similar_components(docs, percent, width, id_col, text_col, classes=True).where("cls is not null"))  # a table, not rows by class
+    found = cut(found.groupBy("doc_id", "cls", "root").agg(F.count(F.lit(1)).alias("copies")))
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "cls", "copies")).alias("f")).select(F.col("f.doc_id").alias("first_id"), F.col("f.cls").alias("first_cls"), F.col("f.copies").alias("copies"))
     names = docs.columns
 

@@ -204,7 +204,7 @@ def adaptive_code_length(text: bytes, order: int = ORDER, trained: tuple[bytes,
     return score
 
 
-def score_documents(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 8 << 20, parts_most: int = 4, slice_bytes: int = 64 << 20) -> DataFrame:
+def score_documents(docs: DataFrame, held_out=None, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 8 << 20, parts_most: int = 2, slice_bytes: int = 64 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     ``held_out``: a boolean column expression; rows where it is true are not
