@@ -60,10 +60,10 @@ class Index:
 
 def build(docs: DataFrame, tokens: Column, id_col: str = "doc_id") -> Index:
     """The frequencies of all terms are counted at once, and written to the shared folder."""
-    listed = docs.select(F.col(id_col).alias("doc_id"), tokens.alias("tokens"))
+    listed = spread(docs).select(F.col(id_col).alias("doc_id"), tokens.alias("tokens"))
     each = F.transform(F.array_distinct("tokens"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("len")))
     whole = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.size("tokens").alias("len")))  # one of each document
-    counted = spread(docs).select(tokens.alias("tokens")).select(F.explode(F.when(F.size("tokens") > 0, F.concat(each, whole))).alias("t"))
+    counted = listed.select(F.explode(F.when(F.size("tokens") > 0, F.concat(each, whole))).alias("t"))
     counted = written(counted.groupBy("t.term").agg(F.count(F.lit(1)).alias("df"), F.sum("t.len").alias("len")))
     totals = counted.where("term is null").select(F.col("df").alias("n_docs"), (F.col("len") / F.col("df")).alias("avg_len"))
     return Index(counted.where("term is not null").select("term", "df"), totals, listed=listed)
@@ -98,9 +98,11 @@ def score(index: Index, query_terms: DataFrame, k1: float = K1, b: float = B, ep
         row = {c: F.col(c) for c in ("times", "idf", "avg_len")}
         return hits.groupBy("doc_id").agg(F.sum(part(row, F.col("tf"), F.col("len"))).alias("score"))
     one = F.broadcast(weights.agg(F.collect_list(F.struct("term", "times", "idf", "avg_len")).alias("w")))  # one row, of the query's terms
-    rows = spread(index.listed).select("doc_id", F.size("tokens").alias("n"), F.filter("tokens", lambda t: t.isin(*wanted)).alias("found")).where(F.size("found") > 0).crossJoin(one)
+    rows = index.listed.select("doc_id", F.size("tokens").alias("n"), F.filter("tokens", lambda t: t.isin(*wanted)).alias("found")).crossJoin(one)
     each = F.transform("w", lambda w: part(w, F.size(F.filter("found", lambda t: t == w["term"])), F.col("n")))
-    return rows.select("doc_id", F.aggregate(each, F.lit(0.0), lambda s, x: s + x).alias("score"))
+    total = F.aggregate(each, F.lit(0.0), lambda s, x: s + x)
+    # not a filter, which would move ahead of the tokens and have them made twice
+    return rows.select("doc_id", F.explode(F.when(F.size("found") > 0, F.array(total))).alias("score"))
 
 
 def normalised(scores: DataFrame, col: str = "score") -> DataFrame:
@@ -119,8 +121,15 @@ def best_of(*scores: DataFrame) -> DataFrame:
 
 def search(indexes: list[tuple[Index, DataFrame]], k: int) -> DataFrame:
     """The k best documents over several languages' (index, query terms), each
-    normalised by its own maximum; ties to the smaller id."""
-    return best_of(*(normalised(score(i, q)) for i, q in indexes)).orderBy(F.desc("score"), "doc_id").limit(k)
+    normalised by its own maximum; ties to the smaller id. A document that is not among
+    a language's k best is not among all languages' by its score there, so each gives k
+    rows, and scores are computed once."""
+    best = []
+    for index, words in indexes:
+        rows = score(index, words).orderBy(F.desc("score"), "doc_id").limit(k)
+        top = F.max("score").over(Window.partitionBy())  # of k rows
+        best.append(rows.withColumn("top", top).select("doc_id", F.when(F.col("top") > 0, F.col("score") / F.col("top")).otherwise(F.col("score")).alias("score")))
+    return best_of(*best).orderBy(F.desc("score"), "doc_id").limit(k)
 
 
 def search_many(index: Index, queries: DataFrame, k: int) -> DataFrame:

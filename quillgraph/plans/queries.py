@@ -14,6 +14,7 @@ from .. import providers
 from ..functions import html as H
 from ..functions import text as T
 from ..operators import bm25, chunk, crawl, graph, retrieval, upsert, vector
+from ..operators.state import spread
 from ..sources import inputs
 
 QUERY_TERMS = ("the", "and", "tion", "of", "the", "oure")
@@ -34,7 +35,7 @@ def embeddings(spark, d):
 
 
 def pages(spark, d):
-    return inputs.table(spark, d, "pages")
+    return spread(inputs.table(spark, d, "pages"))
 
 
 def english_index(spark, d):
