@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -58,13 +59,16 @@ BANDS = {
 class Fertility:
     """Figures of words, cached, and of texts."""
 
-    def __init__(self, path: str, other: str, cached_words: int = 250_000):
+    def __init__(self, path: str, other: str, cached_words: int = 300_000):
         import sentencepiece
         import tiktoken
 
         with open(other, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.other = tiktoken.Encoding("other", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.other_bytes = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.other_bytes[list(ranks.values())] = list(map(len, ranks))
+        self.alnum = np.array([chr(c).isalnum() for c in range(0x110000)])
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.fallback = np.array([self.model.is_byte(i) for i in range(self.model.get_piece_size())])
         self.cached_words = cached_words
@@ -72,42 +76,59 @@ class Fertility:
 
     def clear(self) -> None:
         self.index: dict[bytes, int] = {}
-        self.ids: list[bytes] = []
+        self.ids = np.zeros(0, np.int32)  # of all words, one after another
+        self.starts = np.zeros(0, np.int64)
+        self.sizes = np.zeros(0, np.int64)
         self.chars = np.zeros(0, np.int64)
         self.letters = np.zeros(0, np.int64)
         self.other_tokens = np.zeros(0, np.int64)
 
     def learn(self, words: list[bytes]) -> None:
         texts = [w.decode("utf-8", "replace") for w in words]
-        at = len(self.ids)
-        for i, (w, ids) in enumerate(zip(words, self.model.encode(texts, num_threads=1), strict=True)):
-            self.index[w] = at + i
-            self.ids.append(np.array(ids, "<u4").tobytes())
-        self.chars = np.r_[self.chars, np.fromiter(map(len, texts), np.int64, len(texts))]
-        self.letters = np.r_[self.letters, np.fromiter((sum(map(str.isalnum, x)) for x in texts), np.int64, len(texts))]
-        self.other_tokens = np.r_[self.other_tokens, np.fromiter((len(self.other(" " + x)) for x in texts), np.int64, len(texts))]
+        self.index.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words)), strict=True))
+        ids = self.model.encode(texts, num_threads=1)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.starts = np.r_[self.starts, len(self.ids) + np.cumsum(sizes) - sizes]
+        self.sizes = np.r_[self.sizes, sizes]
+        self.ids = np.r_[self.ids, np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))]
+        # all words as one text, each behind a space, where a new token begins
+        joined = "".join([f" {x}" for x in texts])
+        chars = np.fromiter(map(len, texts), np.int64, len(texts))
+        letters = np.add.reduceat(self.alnum[np.frombuffer(joined.encode("utf-32-le"), np.uint32)].astype(np.int64), np.cumsum(chars + 1) - (chars + 1))
+        ends = np.cumsum(np.fromiter((len(x.encode()) + 1 for x in texts), np.int64, len(texts)))
+        tokens = np.searchsorted(np.cumsum(self.other_bytes[np.array(self.other(joined), np.int64)]), ends, "right")
+        self.chars, self.letters = np.r_[self.chars, chars], np.r_[self.letters, letters]
+        self.other_tokens = np.r_[self.other_tokens, np.diff(np.r_[0, tokens])]
 
     def figures(self, texts: list[bytes]):
         """Per text: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
         n_tokens, characters a token under either vocabulary, letters and digits
-        a token, fallback share, entropy, whether most characters are of a script that needs at most two bytes each."""
+        a token, fallback share, entropy, whether most characters are of a script
+        that needs at most two bytes each."""
         words = [x.split() for x in texts]
-        if len(self.ids) > self.cached_words:
+        if len(self.sizes) > self.cached_words:
             self.clear()
         missing = list(set().union(*words).difference(self.index)) if words else []
         for at in range(0, len(missing), 50_000):
             self.learn(missing[at : at + 50_000])
-        for text, own in zip(texts, words, strict=True):
-            index = np.fromiter(map(self.index.__getitem__, own), np.int64, len(own))
-            ids = np.frombuffer(b"".join(map(self.ids.__getitem__, index.tolist())), "<u4")
-            counts = np.bincount(ids, minlength=len(self.fallback))
-            held = counts[counts > 0]
-            n = int(held.sum())
+        n_words = np.fromiter(map(len, words), np.int64, len(words))
+        every = np.fromiter(map(self.index.__getitem__, chain.from_iterable(words)), np.int64, int(n_words.sum()))
+        sizes = self.sizes[every]
+        stops = np.cumsum(sizes)
+        tokens = self.ids[np.repeat(self.starts[every] - (stops - sizes), sizes) + np.arange(int(sizes.sum()))]
+        word_cuts = np.r_[0, np.cumsum(n_words)]
+        token_cuts = np.r_[0, stops][word_cuts].tolist()
+        word_cuts = word_cuts.tolist()
+        for i, (text, own) in enumerate(zip(texts, words, strict=True)):
+            index, ids = every[word_cuts[i] : word_cuts[i + 1]], tokens[token_cuts[i] : token_cuts[i + 1]]
+            n = len(ids)
+            ordered = np.sort(ids)
+            held = np.diff(np.r_[np.flatnonzero(np.r_[True, ordered[1:] != ordered[:-1]]), n]) if n else ids
             entropy = float(np.log2(n) - (held * np.log2(held)).sum() / n) if n else 0.0
             lines = [x for x in text.split(b"\n") if x.strip()] if b"\n" in text else []
             chars = int(self.chars[index].sum())
             wide = len(text) - len(text.translate(None, WIDE)) if not text.isascii() else 0
-            yield (len(own), chars, len(text) - len(text.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated(index), n, chars / n if n else 0.0, chars / int(self.other_tokens[index].sum()) if n else 0.0, self.letters[index].sum() / n if n else 0.0, float(counts[self.fallback].sum() / n) if n else 0.0, entropy, 2 * wide < chars)
+            yield (len(own), chars, len(text) - len(text.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated(index), n, chars / n if n else 0.0, chars / int(self.other_tokens[index].sum()) if n else 0.0, self.letters[index].sum() / n if n else 0.0, float(self.fallback[ids].sum() / n) if n else 0.0, entropy, 2 * wide < chars)
 
 
 def repeated(index: np.ndarray, window: int = 3) -> int:
