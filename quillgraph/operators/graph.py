@@ -18,20 +18,21 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     components whole and end in stars around the smallest nodes, in a number of
     rounds that grows with the logarithm of the longest path. A node's neighbours
     are never gathered: both steps are a minimum for each node and a join with it.
-    Minima are checkpointed ahead of the joins, whose sides are then plain tables:
+    Minima are written ahead of the joins, whose sides are then plain tables:
     a star's centre is one key of all its edges, and only such joins are dealt anew.
-    State is checkpointed each round; only its count and checksum reach the driver.
+    State is a written table each round (a checkpoint's estimated size would double its
+    digits with every join); only its count and checksum reach the driver.
     """
-    edges = cut(links.select("x", "y").where("x is not null and y is not null and x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
+    edges = written(links.select("x", "y").where("x is not null and y is not null and x <> y").select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).distinct())
     before = None
     for _ in range(rounds):
         both = edges.union(edges.select("y", "x"))
-        least = cut(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m")))
+        least = written(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("m")))
         large = both.where("y > x").join(least, "x").select(F.col("y").alias("x"), F.col("m").alias("y")).distinct()
-        large = cut(large)
-        smallest = cut(large.groupBy("x").agg(F.min("y").alias("m")))
+        large = written(large)
+        smallest = written(large.groupBy("x").agg(F.min("y").alias("m")))
         small = large.join(smallest, "x").where("y <> m").select(F.col("y").alias("x"), F.col("m").alias("y")).union(smallest.select("x", F.col("m").alias("y")))
-        edges = cut(small.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x <> y").distinct())
+        edges = written(small.select(F.greatest("x", "y").alias("x"), F.least("x", "y").alias("y")).where("x <> y").distinct())
         now = edges.agg(F.count(F.lit(1)), F.coalesce(F.bit_xor(F.xxhash64("x", "y")), F.lit(0))).head()
         if now == before:
             break
