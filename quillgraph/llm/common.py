@@ -11,6 +11,7 @@ import os
 import re
 import sys
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -71,10 +72,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialises ``df`` in the shared folder and cuts its lineage, so that a
-    lost executor costs no recomputation of what lies before."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes ``df`` to a table in the shared folder and reads it from there: its
+    lineage is cut, so that a lost executor costs no recomputation of what lies before.
+    A checkpoint would do that as well, but keeps the estimated size of its plan, a
+    number whose digits double with every join of a long iteration."""
+    path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def batches_of_texts(batches, limit: int = 16 << 20):
