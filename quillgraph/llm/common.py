@@ -71,13 +71,14 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, *by: str) -> DataFrame:
     """Writes ``df`` to a table in the shared folder and reads it from there: its
     lineage is cut, so that a lost executor costs no recomputation of what lies before.
     A checkpoint would do that as well, but keeps the estimated size of its plan, a
-    number whose digits double with every join of a long iteration."""
+    number whose digits double with every join of a long iteration. ``by``: columns
+    whose values have a folder each."""
     path = f"{shared_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, jaccard_join, lm_scoring, packing, quality_rules, sharding, suffix_dedup, token_counts, topk_search, url_filter
+from . import byte_bpe, fill_in_middle, jaccard_join, line_dedup, lm_scoring, packing, quality_rules, sharding, suffix_dedup, token_counts, topk_search, url_filter
 from .common import table
 
 
@@ -52,7 +52,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_topk_search, op3_packing, op4_url_filter, op5_suffix_dedup, op6_lm_scoring, op7_sharding, op8_quality_rules, op9_jaccard_join, op10_token_counts)}
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.line_dedup(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_in_middle.fill_in_middle(table(spark, sf_dir, "documents"), seed=1, rate=90, spm=20)
+    again = fill_in_middle.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_topk_search, op3_packing, op4_url_filter, op5_suffix_dedup, op6_lm_scoring, op7_sharding, op8_quality_rules, op9_jaccard_join, op10_token_counts, op11_line_dedup, op12_fill_in_middle)}
 
 _LISTED = ", ".join(f"'{key}'" for key in url_filter.LISTED)
 
@@ -85,4 +96,31 @@ listed AS (SELECT unnest([{_LISTED}]) AS key)
 SELECT page_id, host, path, rule, coalesce(action,
   CASE WHEN EXISTS (SELECT 1 FROM listed WHERE host = key OR ends_with(host, '.' || key)) THEN 'block' ELSE 'allow' END) AS verdict
 FROM f""",
+    "op11_line_dedup": """
+WITH d AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+k AS (
+  SELECT doc_id, lines, list_transform(lines, lambda l: translate(trim(l, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS keys FROM d),
+u AS (SELECT unnest(list_distinct(keys)) AS key FROM k),
+c AS (SELECT key FROM u WHERE key <> '' GROUP BY key HAVING count(*) >= 10),
+l AS (SELECT doc_id, unnest(lines) AS line, unnest(keys) AS key, generate_subscripts(lines, 1) AS pos FROM k),
+j AS (SELECT doc_id, line, pos, key IN (SELECT key FROM c) AS gone FROM l)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM j GROUP BY doc_id""",
+    "op12_fill_in_middle": """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+x AS (
+  SELECT *, ('0x' || substr(h, 1, 8))::BIGINT % (n + 1) AS c1, ('0x' || substr(h, 9, 8))::BIGINT % (n + 1) AS c2,
+    ('0x' || substr(h, 17, 8))::BIGINT % 100 AS r3, ('0x' || substr(h, 25, 8))::BIGINT % 100 AS r4 FROM d),
+f AS (
+  SELECT *, least(c1, c2) AS a, greatest(c1, c2) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r3 >= 90 THEN 'plain' WHEN r4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM x),
+p AS (SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    WHEN 'spm' THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE t END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p""",
 }
