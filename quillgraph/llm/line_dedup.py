@@ -7,8 +7,8 @@ lines). When a level has ``fan`` runs they are merged into one run of the next l
 and lines that reach ``min_docs`` leave it for a run of common lines. So a hash is
 rewritten once a level, and a common line costs later batches nothing.
 
-Runs are bucketed and sorted tables: joins and merges of runs shuffle only the new
-batch. A line is named by two 64-bit hashes of its key. Lines are counted in each task
+Runs are bucketed and sorted tables: an anti-join with them shuffles only the new batch,
+and a merge moves a run's rows once a level. A line is named by two 64-bit hashes of its key. Lines are counted in each task
 before they are shuffled, and those with a thousandth and more of a batch's lines, at
 most a thousand a batch, are put into the plan where documents are judged, so that no
 join has a key with more lines than that. All of it is DataFrame functions.
@@ -69,12 +69,16 @@ class LineRuns:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def read(self, name: str) -> DataFrame:
+        """A run as plain files. Unions read runs so: one of bucketed tables claims their
+        partitioning in this Spark, but may read them in other partitions, and an
+        aggregation above it, which then goes without a shuffle, is wrong."""
+        return self.spark.read.schema("h1 long, h2 long, docs long, lines long").parquet(f"{self.root}/{name}")
+
     def merged(self, names: list[str]) -> DataFrame:
-        """The runs' rows by hash, summed: merge joins of bucketed tables."""
-        runs = [self.spark.table(n).select(*HASH, F.struct("docs", "lines").alias(f"c{i}")) for i, n in enumerate(names)]
-        both = functools.reduce(lambda a, b: a.join(b, list(HASH), "full"), runs)
-        total = lambda f: functools.reduce(lambda a, b: a + b, [F.coalesce(F.col(f"c{i}.{f}"), F.lit(0)) for i in range(len(names))]).cast("long")
-        return both.select(*HASH, total("docs").alias("docs"), total("lines").alias("lines"))
+        """The runs' rows by hash, summed."""
+        every = functools.reduce(lambda a, b: a.unionByName(b), [self.read(n) for n in names])
+        return every.groupBy(*HASH).agg(F.sum("docs").alias("docs"), F.sum("lines").alias("lines"))
 
     def add(self, batch: DataFrame) -> None:
         """One batch: h1, h2, docs, lines, a row a distinct line."""
@@ -89,13 +93,14 @@ class LineRuns:
     def compact(self, level: int) -> None:
         """The runs of a level as one of the next, without lines that are common now."""
         old = self.counted[level]
-        every = cut(self.merged(old))
+        whole = self.write(self.merged(old))
+        every = self.read(whole)
         self.counted[level] = []
         if level + 1 == len(self.counted):
             self.counted.append([])
         self.counted[level + 1].append(self.write(every.where(F.col("docs") < self.min_docs)))
         self.common.append(self.write(every.where(F.col("docs") >= self.min_docs)))
-        self.drop(old)
+        self.drop([*old, whole])
         if len(self.common) >= self.fan:
             old = self.common
             self.common = [self.write(self.merged(old))]
@@ -105,7 +110,7 @@ class LineRuns:
         """h1, h2 of all lines that are common now, as a run."""
         runs = [n for level in self.counted for n in level]
         parts = [self.merged(runs).where(F.col("docs") >= self.min_docs)] if runs else []
-        parts += [self.spark.table(n) for n in self.common]
+        parts += [self.read(n) for n in self.common]
         found = functools.reduce(lambda a, b: a.unionByName(b), [p.select(*HASH) for p in parts])
         return self.spark.table(self.write(found.distinct()))
 
