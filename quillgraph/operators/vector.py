@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -117,6 +116,28 @@ def similar_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id",
     return sent.groupBy("p", "q").applyInArrow(product, "a long, b long, sim double")
 
 
+def best_of_blocks(asked: DataFrame, rows: DataFrame, keys: list[str], k: int, metric: str, schema: str) -> DataFrame:
+    """query_id, id, score: the k best rows (id, v) of each query (query_id, v), of each
+    group of the keys. A group is one matrix product; queries and rows of one key are
+    as many as its block is large."""
+
+    def product(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+        x, y = matrix(left["v"]).astype(float), matrix(right["v"]).astype(float)
+        if metric == "cosine":
+            score = (x @ y.T) / np.maximum(np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :], 1e-300)
+        else:  # differences, not squares: near neighbours keep their digits
+            score = np.stack([1 / (1 + ((y - row) ** 2).sum(1)) for row in x])
+        ids = right["id"].to_numpy()
+        best = [np.lexsort((ids, -row))[:k] for row in score]
+        of = np.repeat(np.arange(len(best)), [len(b) for b in best])
+        at = np.concatenate(best)
+        return pa.table({"query_id": left["query_id"].take(pa.array(of)), "id": pa.array(ids[at], pa.int64()), "score": score[of, at]})
+
+    return asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(product, schema)
+
+
 def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 4096) -> DataFrame:
     """query_id, vec_id, score, rank: cosine neighbours of a table of queries
     (query_id, query_vec), blocks against blocks."""
@@ -126,17 +147,6 @@ def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "
     rows = rows.withColumn("p", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
     asked = asked.withColumn("q", F.pmod(F.xxhash64("query_id"), F.lit(m)).cast("int")).withColumn("p", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
 
-    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        x, y = np.array(left.v.tolist(), float), np.array(right.v.tolist(), float)
-        sim = (x @ y.T) / np.maximum(np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1)[None, :], 1e-300)
-        ids, out = right.vec_id.to_numpy(), []
-        for i, query in enumerate(left.query_id):
-            best = np.lexsort((ids, -sim[i]))[:k]
-            out.append(pd.DataFrame({"query_id": query, "vec_id": ids[best], "score": sim[i, best]}))
-        return pd.concat(out)
-
-    found = asked.groupBy("p", "q").cogroup(rows.groupBy("p", "q")).applyInPandas(cell, "query_id long, vec_id long, score double")
+    found = best_of_blocks(asked, rows.withColumnRenamed("vec_id", "id"), ["p", "q"], k, "cosine", "query_id long, id long, score double").withColumnRenamed("id", "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k)
