@@ -28,6 +28,8 @@ def l2_similarity(a: Column, b: Column) -> Column:
     return 1 / (1 + d)
 
 
+TILE = 2048  # rows of a matrix product
+
 METRICS = {"cosine": cosine, "l2sq": l2_similarity}
 
 
@@ -53,23 +55,34 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 2048, pivots: int = 64) -> DataFrame:
+def similar_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id", vec_col: str = "embedding", block: int | None = None, pivots: int = 64, sample: int = 1024) -> DataFrame:
     """a < b, sim: all pairs of cosine ``threshold`` and more (inclusive).
 
-    Vectors are dealt into cells around a few of them (those of least hash, at most
-    ``pivots``), and cells into blocks; pairs of blocks are one matrix product each. A
-    vector goes to the blocks of a cell only if it can have a neighbour there: angles
-    obey the triangle inequality, so its angle to the cell's pivot is then at most the
-    cell's radius and the threshold's angle. That is exact, and skips most pairs of
-    blocks where vectors form clusters; no task or broadcast grows with the data. Rows
-    without a vector, or with one of no length, take no part; all have one length.
+    Vectors are dealt into blocks, and each pair of blocks is one group, which multiplies
+    tiles of them. So a vector is sent once a block (of 2,048 to 16,384 rows, as many as
+    give every core a group), and only once where one block holds all.
+
+    Where there are several blocks, they are blocks of cells around a few vectors (at most
+    ``pivots``, those of least hash). A vector then goes to a cell only if it can have a
+    neighbour there: angles obey the triangle inequality, so its angle to the cell's
+    pivot is at most the cell's radius and the threshold's angle. That is exact. It pays
+    where vectors form clusters; where a drawn ``sample`` says that less than a tenth
+    would be skipped, blocks are dealt by hash. No task or broadcast grows with the
+    data. Rows without a vector, or with one of no length, take no part; all have one
+    length.
     """
     size = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     rows = vectors.where(F.col(vec_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where(size > 0)
-    around = np.array([r.v for r in rows.orderBy(F.xxhash64("id"), "id").limit(pivots).select("v").collect()], float)  # ``pivots`` vectors
-    if not len(around):
-        return rows.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("sim")).where("false")
-    around /= np.linalg.norm(around, axis=1, keepdims=True)
+    n = rows.count()
+    wide = int((2 * vectors.sparkSession.sparkContext.defaultParallelism) ** 0.5) + 1
+    block = block or min(16384, max(TILE, -(-n // wide)))
+    one = F.lit(0).cast("long")
+    if n <= block:
+        return rows.select(one.alias("p"), one.alias("q"), one.alias("mine"), "id", "v").groupBy("p", "q").applyInArrow(pairs_of_blocks(threshold), "a long, b long, sim double")
+
+    drawn = np.array([r.v for r in rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("v").collect()], float)  # ``sample`` vectors
+    around = drawn[: min(pivots, -(-n // block))]
+    around = around / np.linalg.norm(around, axis=1, keepdims=True)
 
     def angles(v: np.ndarray) -> np.ndarray:
         return np.arccos(np.clip((v / np.linalg.norm(v, axis=1, keepdims=True)) @ around.T, -1, 1))
@@ -82,9 +95,13 @@ def similar_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id",
                 yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(angle[np.arange(len(cell)), cell])], names=["cell", "angle"])
 
     cells = {r.cell: (r.n, r.radius) for r in rows.mapInArrow(placed, "cell int, angle double").groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("angle").alias("radius")).collect()}
-    blocks = np.array([-(-cells[c][0] // block) if c in cells else 0 for c in range(len(around))])
-    first = np.cumsum(blocks) - blocks
+    held = np.array([cells[c][0] if c in cells else 0 for c in range(len(around))])
     reach = np.array([cells[c][1] if c in cells else -np.inf for c in range(len(around))]) + np.arccos(np.clip(threshold, -1, 1)) + 1e-6
+    if ((angles(drawn) <= reach) @ held).sum() > 0.9 * n * len(drawn):  # hardly any would be skipped
+        held, reach = np.array([n]), np.array([np.inf])
+        around = around[:1]
+    blocks = -(-held // block)
+    first = np.cumsum(blocks) - blocks
 
     def dealt(batches):
         """Each vector with its block and the blocks of all cells in its reach."""
@@ -101,19 +118,28 @@ def similar_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id",
 
     sent = rows.mapInArrow(dealt, "id long, v array<double>, mine long, others array<long>").withColumn("other", F.explode("others"))
     sent = sent.select(F.least("mine", "other").alias("p"), F.greatest("mine", "other").alias("q"), "mine", "id", "v")
+    return sent.groupBy("p", "q").applyInArrow(pairs_of_blocks(threshold), "a long, b long, sim double")
+
+
+def pairs_of_blocks(threshold: float):
+    """The similar pairs of a group of two blocks (or of one), a product of tiles at a time."""
 
     def product(cell: pa.Table) -> pa.Table:
         p, q, mine, ids = cell["p"][0].as_py(), cell["q"][0].as_py(), cell["mine"].to_numpy(), cell["id"].to_numpy()
         v = matrix(cell["v"])
+        norm = np.sqrt((v * v).sum(1))
         left, right = np.flatnonzero(mine == p), np.flatnonzero(mine == q)
-        x, y = v[left], v[right]
-        sim = (x @ y.T) / (np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))[None, :])
-        keep = (sim >= threshold) & ((ids[left][:, None] < ids[right][None, :]) if p == q else (ids[left][:, None] != ids[right][None, :]))
-        i, j = np.nonzero(keep)
-        ends = ids[left][i], ids[right][j]
-        return pa.table({"a": np.minimum(*ends), "b": np.maximum(*ends), "sim": sim[i, j]})
-
-    return sent.groupBy("p", "q").applyInArrow(product, "a long, b long, sim double")
+        found = [pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})]
+        for x in (left[i : i + TILE] for i in range(0, len(left), TILE)):
+            for y in (right[i : i + TILE] for i in range(0, len(right), TILE)):
+                sim = (v[x] @ v[y].T) / (norm[x][:, None] * norm[y][None, :])
+                keep = (sim >= threshold) & ((ids[x][:, None] < ids[y][None, :]) if p == q else (ids[x][:, None] != ids[y][None, :]))
+                i, j = np.nonzero(keep)
+                ends = ids[x][i], ids[y][j]
+                found.append(pa.table({"a": np.minimum(*ends), "b": np.maximum(*ends), "sim": sim[i, j]}))
+        return pa.concat_tables(found)
+
+    return product
 
 
 def best_of_blocks(asked: DataFrame, rows: DataFrame, keys: list[str], k: int, metric: str, schema: str) -> DataFrame:

@@ -129,8 +129,9 @@ def test_louvain_settles(spark):
     assert all(placed[i] == placed[-(i % 20) - 1] for i in range(2000))
     assert all(placed[i] == placed[i + 1] for i in range(3000, 3200, 2))
     assert len(set(placed.values())) == 120
+    ring = spark.range(30).select(F.col("id").alias("x"), F.pmod(F.col("id") + 1, F.lit(30)).alias("y"), F.lit(1.0).alias("w"))
     with pytest.raises(RuntimeError):
-        graph.louvain(edges, rounds=0)
+        graph.louvain(ring, rounds=0)
 
 
 
