@@ -7,7 +7,9 @@ a million times costs a row a task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 DOCUMENT_FIELDS = ("title", "date", "document_type", "issuer", "url_ar", "url_en", "pdf_url_ar", "pdf_url_en", "ar_source", "en_source", "contentAr", "contentEn", "status")
@@ -74,6 +76,26 @@ def unprocessed(docs: DataFrame, done: DataFrame, key: str, limit: int | None =
     return rows if limit is None else rows.orderBy(key).limit(limit)
 
 
+def checked(rows: DataFrame, keys: list[str], order: str) -> tuple[DataFrame, DataFrame, Observation]:
+    """(rows to publish, violations, counts) of a batch under a constraint: every key is
+    there, and unique.
+
+    Of the rows of one key the last is published. Violations (the keys, reason, rows) say
+    which keys had several rows, and how many had no key: a count, not the rows, as one
+    key may be most of a batch. The counts (rows, without_key, published, duplicates) are
+    those of the action on the published rows.
+    """
+    seen = Observation()
+    missing = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    values = [c for c in rows.columns if c not in keys and c != order]
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(F.lit(1).alias("_"), *values), order).alias("v"), F.max(order).alias(order), F.count(F.lit(1)).alias("rows"))
+    best = best.observe(seen, F.sum("rows").alias("rows"), F.coalesce(F.sum(F.when(missing, F.col("rows"))), F.lit(0)).alias("without_key"), F.count_if(~missing).alias("published"), F.count_if(~missing & (F.col("rows") > 1)).alias("duplicates"))
+    good = best.where(~missing).select(*keys, *[F.col(f"v.{c}").alias(c) for c in values], order)
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
+    bad = counts.where(missing | (F.col("rows") > 1)).select(*keys, F.when(missing, "no key").otherwise("duplicate").alias("reason"), "rows")
+    return good, bad, seen
+
+
 def duplicate_keys(table: DataFrame, *keys: str) -> DataFrame:
     """Keys that break a uniqueness constraint."""
     return table.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")

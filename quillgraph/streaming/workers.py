@@ -8,6 +8,7 @@ it wrote before. What can't be read or split goes to tables of its own.
 from __future__ import annotations
 
 import json
+import logging
 import time
 from collections.abc import Callable
 
@@ -18,9 +19,12 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions import text as T
 from ..operators import chunk, upsert
 from ..sources.inputs import event_stream
+from . import feeds
 
 BUCKETS = 64
 
+log = logging.getLogger(__name__)
+
 
 class Tables:
     """Keyed tables in a folder, in buckets by key.
@@ -58,9 +62,18 @@ class Tables:
         paths = [f"{self.root}/{name}/v={v}/bucket={b}" for b, v in sorted(held.items()) if only is None or b in only]
         return self.spark.read.parquet(*paths) if paths else None
 
+    def bucket(self, keys: list[str]):
+        return F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
+
+    def of(self, name: str, rows: DataFrame, keys: list[str], before: int | None = None) -> DataFrame | None:
+        """The table's rows that have a key of ``rows``: only the buckets of these are read."""
+        touched = [r.b for r in rows.select(self.bucket(keys).alias("b")).distinct().collect()]  # a number a bucket
+        held = self.read(name, before, touched)
+        return None if held is None else held.join(rows.select(*keys).distinct(), keys, "left_semi")
+
     def write(self, name: str, version: int, changes: DataFrame, keys: list[str], merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> None:
         """Merges the changes into the buckets of their keys: ``merge(old, changes)``."""
-        bucket = F.pmod(F.xxhash64(*keys), F.lit(self.buckets)).cast("int")
+        bucket = self.bucket(keys)
         changes = changes.persist()
         try:
             touched = [r.b for r in changes.select(bucket.alias("b")).distinct().collect()]  # a number a bucket
@@ -72,6 +85,24 @@ class Tables:
         finally:
             changes.unpersist()
 
+    def publish(self, name: str, version: int, changes: DataFrame, keys: list[str], order: str = "seq") -> dict:
+        """``write`` under the constraint that keys are there and unique: one row a key
+        is published, what breaks the constraint goes to ``<name>_violations`` first.
+        Gives the numbers of rows, of rows without a key, of published ones and of keys
+        with several rows; the log has them too."""
+        changes = changes.persist()
+        try:
+            good, bad, seen = upsert.checked(changes, keys, order)
+            at = F.lit(version).cast("long")
+            bad = bad.select(F.to_json(F.struct(*keys)).alias("key"), at.alias("version"), "reason", "rows", at.alias("seq"))
+            self.write(f"{name}_violations", version, bad, ["key", "version"], latest(["key", "version"]))
+            self.write(name, version, good, keys, latest(keys))
+            counts = dict(seen.get)
+        finally:
+            changes.unpersist()
+        log.info("%s, version %d: %s", name, version, counts)
+        return counts
+
     def put(self, path: str, text: str) -> None:
         """A whole file or none: written beside and renamed."""
         beside, to = self.path_of(f"{path}.tmp"), self.path_of(path)
@@ -111,6 +142,7 @@ def apply_events(tables: Tables, batch: DataFrame, number: int) -> None:
     stubs = ends.select("id", *[F.lit(None).cast(nodes.schema[c].dataType).alias(c) for c in nodes.columns if c not in ("id", "seq")], F.lit(-1).cast("long").alias("seq"))
     tables.write("documents", number, nodes.unionByName(stubs), ["id"], latest(["id"]))
     tables.write("quarantine", number, bad, ["json"], latest(["json"]))
+    feeds.publish(tables, nodes, number)
 
 
 def ingest(spark: SparkSession, queue: str, root: str, once: bool = True) -> StreamingQuery:
