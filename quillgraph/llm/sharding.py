@@ -3,21 +3,21 @@
 Ugander and Backstrom, "Balanced label propagation for partitioning massive
 graphs" (2013), and Kabiljo et al., "Social hash partitioner" (2017). Linked
 nodes start in shards drawn by hash. In each round a Spark join gives a node its
-neighbours' shards; of those with room, the one that holds most of them is where
-it would go. Movers from s to t are accepted at the rate that the movers from t to
+neighbours' shards; the one that holds most of them (in every other round, of those
+with room) is where it would go. Movers from s to t are accepted at the rate that the movers from t to
 s and the room left under t's quota allow. Rounds go on while fewer links are cut.
 
-Nodes are not single documents. Equal texts are one node with their number as
-weight; only a group above a ``WHOLE``-th of a shard (and, in small tables, above 64
-rows or a quarter of a shard) is 64 linked nodes, by salt, so that it can fill a shard to its quota and go on in another. Linked nodes are then at
-most 64 x WHOLE x shards, whatever the table. The others, which no shard must hold
-together with anything, fill the room that is left, by hash. A last exact step moves
-the few rows that are over, rows without an equal first, until row counts differ by
-one at most.
+Documents of equal text are linked. Every group of two and more takes part: its rows are
+dealt by salt into at most 64 nodes, so that a row of a small group is a node of its own,
+and a large group is nodes of some rows each, which can fill a shard to its quota and go
+on in another. Rows without an equal, which no shard must hold together with anything,
+fill the room that is left, by hash. A last exact step moves the few rows that are over,
+rows without an equal first, until row counts differ by one at most.
 """
 
 from __future__ import annotations
 
+import logging
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -27,7 +27,9 @@ from pyspark.sql.window import Window
 from .common import cut
 
 SALTS = 64
-WHOLE = 64
+IDLE = 4
+
+log = logging.getLogger(__name__)
 
 
 def hashed(n: int, *on) -> Column:
@@ -40,46 +42,51 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int, cap: float, round
     have a bounded number of nodes each. No shard takes nodes beyond ``cap``, but it
     may start above.
 
-    It ends when two rounds in a row cut no fewer links (``rounds`` is a bound for
-    safety); the state that cuts fewest is returned. A round's state is a written
+    It ends when ``IDLE`` rounds in a row cut no fewer links, or after ``rounds``, which the
+    log then says; the state that cuts fewest is returned. A round's state is a written
     table. What reaches the driver is shards x shards numbers a round.
     """
     state = cut(nodes.withColumn("shard", hashed(shards, "node", F.lit(1))))
-    best, fewest, idle = state, None, 0
+    best, fewest, idle, first = state, None, 0, None
     for step in range(rounds + 1):
         at_hub = cut(links.join(state, "node").groupBy("hub", "shard").agg(F.sum("weight").alias("held")))
         # pairs of rows with a hub in common, less those together
         pairs = at_hub.groupBy("hub").agg(((F.pow(F.sum("held"), F.lit(2)) - F.sum(F.pow("held", F.lit(2)))) / 2).alias("cut"))
         now = pairs.agg(F.coalesce(F.sum("cut"), F.lit(0.0))).head()[0]
+        first = now if first is None else first
         if fewest is None or now < fewest:
             best, fewest, idle = state, now, 0
         else:
             idle += 1
-        if not now or idle == 2 or step == rounds:
+        if not now or idle == IDLE or step == rounds:
             break
         load = {r["shard"]: r["w"] for r in state.groupBy("shard").agg(F.sum("weight").alias("w")).collect()}
         load = [load.get(s, 0) for s in range(shards)]
         room = F.element_at(F.array(*[F.lit(float(cap - x)) for x in load]), F.col("shard") + 1)
         votes = links.join(at_hub, "hub").groupBy("node", "shard").agg(F.sum("held").alias("held"), F.min("hub").alias("hub"))
         own = state.select("node", "weight", F.col("shard").alias("at"))
-        votes = votes.join(own, "node").where((F.col("shard") == F.col("at")) | (room >= F.col("weight")))
+        votes = votes.join(own, "node")
+        if step % 2 == 0:  # in turn to shards with room, and to full ones, by swaps
+            votes = votes.where((F.col("shard") == F.col("at")) | (room >= F.col("weight")))
         # of equally held shards a hub's nodes agree on one, drawn by the hub
         to = votes.groupBy("node").agg(F.max(F.struct("held", F.xxhash64("hub", "shard", F.lit(step)).alias("tie"), "shard")).alias("best")).select("node", F.col("best.shard").alias("wanted"))
         moving = cut(state.join(to, "node", "left").withColumn("wanted", F.coalesce("wanted", "shard")))
-        wants = {(r.shard, r.wanted): r.w for r in moving.where("shard <> wanted").groupBy("shard", "wanted").agg(F.sum("weight").alias("w")).collect()}
-        if not wants:
-            break
-        rate = {}
+        light = F.col("weight") * SALTS <= cap  # of a group that a shard can hold: it goes first
+        wants = {(r.shard, r.wanted, r.light): r.w for r in moving.where("shard <> wanted").groupBy("shard", "wanted", light.alias("light")).agg(F.sum("weight").alias("w")).collect()}
+        both = {(s, t): wants.get((s, t, True), 0) + wants.get((s, t, False), 0) for s, t, _ in wants}
+        rate = {(0, 0): (0.0, 0.0)}
         for t in range(shards):
-            over = {s: w - min(w, wants.get((t, s), 0)) for (s, to_), w in wants.items() if to_ == t}
+            over = {s: w - min(w, both.get((t, s), 0)) for (s, to_), w in both.items() if to_ == t}
             spread = sum(over.values())
             for s, extra in over.items():
-                w = wants[s, t]
-                rate[s, t] = min(1.0, (w - extra + (extra * min(1.0, max(0.0, cap - load[t]) / spread) if spread else 0.0)) / w)
-        of = F.map_from_arrays(F.array(*[F.lit(s * shards + t) for s, t in rate]), F.array(*[F.lit(float(r)) for r in rate.values()]))
+                taken = both[s, t] - extra + (extra * min(1.0, max(0.0, cap - load[t]) / spread) if spread else 0.0)
+                first_, rest = wants.get((s, t, True), 0), wants.get((s, t, False), 0)
+                rate[s, t] = min(1.0, taken / first_) if first_ else 0.0, min(1.0, max(0.0, taken - first_) / rest) if rest else 0.0
+        at = F.try_element_at(F.map_from_arrays(F.array(*[F.lit(s * shards + t) for s, t in rate]), F.array(*[F.array(*map(F.lit, r)) for r in rate.values()])), F.col("shard") * shards + F.col("wanted"))
         draw = hashed(1 << 20, "node", F.lit(100 + step)) / F.lit(float(1 << 20))
-        accepted = (F.col("shard") != F.col("wanted")) & (draw < F.coalesce(F.try_element_at(of, F.col("shard") * shards + F.col("wanted")), F.lit(0.0)))
+        accepted = (F.col("shard") != F.col("wanted")) & (draw < F.coalesce(F.when(light, at[0]).otherwise(at[1]), F.lit(0.0)))
         state = cut(moving.select("node", "weight", F.when(accepted, F.col("wanted")).otherwise(F.col("shard")).alias("shard")))
+    log.info("%d rounds%s: pairs of linked rows in different shards from %d to %d", step, " (no more allowed)" if step == rounds and now else "", first, fewest)
     return best
 
 
@@ -113,24 +120,23 @@ def shard_rows(docs: DataFrame, shards: int = 8, rounds: int = 50, id_col: str =
     rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
     n = rows.count()
     members = cut(rows.groupBy("hub").agg(F.count(F.lit(1)).alias("members")))
-    large = members.where(F.col("members") > max(n / shards / WHOLE, min(SALTS, n / shards / 4)))  # shards x WHOLE of them at most
-    # every large group has its salts as nodes, and each node its share of the rows
-    nodes = cut(rows.join(F.broadcast(large.select("hub")), "hub").groupBy(F.struct("hub", hashed(SALTS, "row").alias("salt")).alias("node")).agg(F.count(F.lit(1)).alias("weight")))
+    salted = rows.join(members.where("members > 1").select("hub"), "hub").withColumn("salt", hashed(SALTS, "row"))
+    nodes = cut(salted.groupBy(F.struct("hub", "salt").alias("node")).agg(F.count(F.lit(1)).alias("weight")))
     links = nodes.select("node", F.col("node.hub").alias("hub"))
     placed = propagate(nodes, links, shards, n // shards, rounds)
 
-    # other groups go whole where there is room, by hash
+    # rows without an equal go where there is room, by hash
     load = {r["shard"]: r["w"] for r in placed.groupBy("shard").agg(F.sum("weight").alias("w")).collect()}
     room = [max(0.0, n / shards - load.get(s, 0)) for s in range(shards)]
     at = [sum(room[:s]) / max(1.0, sum(room)) for s in range(shards)]
     draw = hashed(1 << 30, "hub", F.lit(3)) / F.lit(float(1 << 30))
     filled = reduce(lambda c, s: F.when(draw >= F.lit(at[s]), F.lit(s)).otherwise(c), (s for s in range(shards) if room[s] > 0), F.lit(0))
-    by_node = placed.select(F.col("node.hub").alias("hub"), F.col("node.salt").alias("salt"), F.col("shard").alias("own"))
-    rows = rows.join(members, "hub").withColumn("salt", hashed(SALTS, "row")).join(F.broadcast(by_node), ["hub", "salt"], "left")
+    by_node = placed.select(F.col("node.hub").alias("hub"), F.col("node.salt").alias("salt"), F.col("shard").alias("own"), (F.col("weight") * SALTS > n // shards).alias("heavy"))
+    rows = rows.withColumn("salt", hashed(SALTS, "row")).join(by_node, ["hub", "salt"], "left")
 
-    # rows of large groups come first in a shard and rows without an equal last, so that those are the first to be over
+    # rows without an equal come last in a shard and are the first to be over, then those of groups that no shard holds
     buckets = max(16, n // 20_000 + 1)
-    kind = F.when(F.col("own").isNotNull(), 0).when(F.col("members") > 1, 1).otherwise(2)
+    kind = F.when(F.col("own").isNull(), 2).when(F.col("heavy"), 1).otherwise(0)
     rows = rows.withColumn("shard", F.coalesce("own", filled)).withColumn("b", kind * buckets + hashed(buckets, "hub", "row"))
     rows = cut(numbered(rows.select("doc_id", "size", "text_crc32", "row", "shard", "b", F.col("hub.a").alias("o1")), shards, buckets).drop("b", "o1"))
     load = {r["shard"]: r["n"] for r in rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).collect()}

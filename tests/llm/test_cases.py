@@ -3,6 +3,7 @@
 import base64
 import math
 import random
+import re
 import unicodedata
 import zlib
 from collections import Counter, defaultdict
@@ -161,10 +162,18 @@ def test_sharding_cuts_little(spark):
     assert pairs <= 1.15 * ((700**2 - full * quota**2 - rest**2) // 2) + 90**2 // 2
 
 
-def test_no_small_group_of_the_table_is_split(spark):
+def test_every_group_of_the_table_is_propagated(spark, monkeypatch, caplog):
+    """Each row that has an equal is in a node; links are cut at first, and none at the end."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").persist()
+    seen, plain = [], sharding.propagate
+    monkeypatch.setattr(sharding, "propagate", lambda nodes, *a: seen.append(nodes.agg(F.count_distinct("node.hub"), F.count(F.lit(1)), F.sum("weight")).head()) or plain(nodes, *a))
+    caplog.set_level("INFO", logger=sharding.__name__)
     shard = {r.doc_id: r.shard for r in sharding.shard_rows(docs).collect()}
-    pairs, split = groups_cut((r.text, shard[r.doc_id]) for r in docs.collect())
+    rows = docs.collect()
+    groups = {t: n for t, n in Counter(r.text for r in rows).items() if n > 1}
+    assert seen[0][0] == len(groups) > 20 and seen[0][2] == sum(groups.values()) and seen[0][1] > len(groups)
+    assert int(re.search(r"from (\d+) to", caplog.text)[1]) > len(groups) / 2
+    pairs, split = groups_cut((r.text, shard[r.doc_id]) for r in rows)
     assert not pairs and not split
 
 
