@@ -42,7 +42,7 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int, cap: float, round
     have a bounded number of nodes each. No shard takes nodes beyond ``cap``, but it
     may start above.
 
-    It ends when ``IDLE`` rounds in a row cut no fewer links, or after ``rounds``, which the
+    It ends when ``IDLE`` rounds in a row cut no fewer links (first of groups that a shard can hold, then of all), or after ``rounds``, which the
     log then says; the state that cuts fewest is returned. A round's state is a written
     table. What reaches the driver is shards x shards numbers a round.
     """
@@ -50,15 +50,15 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int, cap: float, round
     best, fewest, idle, first = state, None, 0, None
     for step in range(rounds + 1):
         at_hub = cut(links.join(state, "node").groupBy("hub", "shard").agg(F.sum("weight").alias("held")))
-        # pairs of rows with a hub in common, less those together
-        pairs = at_hub.groupBy("hub").agg(((F.pow(F.sum("held"), F.lit(2)) - F.sum(F.pow("held", F.lit(2)))) / 2).alias("cut"))
-        now = pairs.agg(F.coalesce(F.sum("cut"), F.lit(0.0))).head()[0]
+        # pairs of rows with a hub in common, less those together; first of groups that a shard can hold
+        pairs = at_hub.groupBy("hub").agg(((F.pow(F.sum("held"), F.lit(2)) - F.sum(F.pow("held", F.lit(2)))) / 2).alias("cut"), (F.sum("held") <= cap).alias("fits"))
+        now = tuple(pairs.agg(F.coalesce(F.sum(F.when(F.col("fits"), F.col("cut"))), F.lit(0.0)), F.coalesce(F.sum("cut"), F.lit(0.0))).head())
         first = now if first is None else first
         if fewest is None or now < fewest:
             best, fewest, idle = state, now, 0
         else:
             idle += 1
-        if not now or idle == IDLE or step == rounds:
+        if not now[1] or idle == IDLE or step == rounds:
             break
         load = {r["shard"]: r["w"] for r in state.groupBy("shard").agg(F.sum("weight").alias("w")).collect()}
         load = [load.get(s, 0) for s in range(shards)]
@@ -86,8 +86,18 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int, cap: float, round
         draw = hashed(1 << 20, "node", F.lit(100 + step)) / F.lit(float(1 << 20))
         accepted = (F.col("shard") != F.col("wanted")) & (draw < F.coalesce(F.when(light, at[0]).otherwise(at[1]), F.lit(0.0)))
         state = cut(moving.select("node", "weight", F.when(accepted, F.col("wanted")).otherwise(F.col("shard")).alias("shard")))
-    log.info("%d rounds%s: pairs of linked rows in different shards from %d to %d", step, " (no more allowed)" if step == rounds and now else "", first, fewest)
-    return best
+    log.info("%d rounds%s: pairs of linked rows in different shards from %d to %d", step, " (no more allowed)" if step == rounds and now[1] else "", first[1], fewest[1])
+    return gathered(best, links, cap) if fewest[0] else best
+
+
+def gathered(state: DataFrame, links: DataFrame, cap: float) -> DataFrame:
+    """A last round without quotas, of the groups that a shard can hold and that are still
+    split: each goes to where it has most. What is then over moves in the exact step."""
+    at_hub = cut(links.join(state, "node").groupBy("hub", "shard").agg(F.sum("weight").alias("held")))
+    most = F.max(F.struct("held", F.xxhash64("hub", "shard").alias("tie"), "shard"))["shard"]
+    home = at_hub.groupBy("hub").agg(most.alias("home"), F.sum("held").alias("size"), F.count(F.lit(1)).alias("n")).where((F.col("size") <= cap) & (F.col("n") > 1))
+    to = links.join(home, "hub").groupBy("node").agg(F.max(F.struct("size", "home")).alias("best")).select("node", F.col("best.home").alias("home"))
+    return cut(state.join(to, "node", "left").select("node", "weight", F.coalesce("home", "shard").alias("shard")))
 
 
 def numbered(rows: DataFrame, shards: int, buckets: int) -> DataFrame:
