@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .state import cut, written
+from .state import written
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -83,17 +83,19 @@ def greedy_merge(pairs: DataFrame) -> DataFrame:
 
     The order fixes the outcome, but not one row at a time: in each round every
     undecided row without an undecided earlier neighbour becomes a keeper, and its
-    undecided later neighbours go to their earliest keeper.
+    undecided later neighbours go to their earliest keeper. So there are as many rounds
+    as the longest chain of rows each undecided because of the one before has keepers;
+    state is a written table each round.
     """
-    open_ = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    open_ = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     decided = None
     while not open_.isEmpty():
         keepers = open_.select("a").distinct().join(open_.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
-        taken = cut(open_.join(keepers, "a").groupBy("b").agg(F.min("a").alias("keeper")).select(F.col("b").alias("absorbed"), "keeper"))
+        taken = written(open_.join(keepers, "a").groupBy("b").agg(F.min("a").alias("keeper")).select(F.col("b").alias("absorbed"), "keeper"))
         decided = taken if decided is None else decided.union(taken)
         gone = taken.select(F.col("absorbed").alias("a")).union(keepers)
         open_ = open_.join(gone, "a", "left_anti")
-        open_ = cut(open_.join(gone.select(F.col("a").alias("b")), "b", "left_anti"))
+        open_ = written(open_.join(gone.select(F.col("a").alias("b")), "b", "left_anti"))
     return decided if decided is not None else pairs.sparkSession.createDataFrame([], "absorbed long, keeper long")
 
 

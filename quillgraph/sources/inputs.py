@@ -108,6 +108,6 @@ def records(pages: DataFrame, english: DataFrame | None = None, pdf: DataFrame |
     ), edges
 
 
-def event_stream(spark: SparkSession, path: str) -> DataFrame:
+def event_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
     """A folder of JSON lines (seq, json) as a stream."""
-    return spark.readStream.schema(EVENTS).json(path)
+    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", max_files).json(path)

@@ -31,11 +31,13 @@ class Tables:
 
     A version n writes the buckets that it changes to name/v=n and a manifest,
     name/_manifest/n.json, of the version that holds each bucket. So a change costs the
-    buckets that it touches. ``vacuum`` deletes what no kept manifest names.
+    buckets that it touches. ``vacuum`` deletes what no kept manifest names; a write does
+    so once in ``keep`` versions, so that a table's files are those of at most twice as
+    many. A reader of a version that old has to read again.
     """
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
-        self.spark, self.root, self.buckets = spark, root, buckets
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS, keep: int = 16):
+        self.spark, self.root, self.buckets, self.keep = spark, root, buckets, keep
         jvm = spark._jvm
         self.path_of = jvm.org.apache.hadoop.fs.Path
         self.fs = self.path_of(root).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -82,6 +84,8 @@ class Tables:
                 new = merge(self.read(name, version, touched), changes)
                 new.withColumn("bucket", bucket).repartition(len(touched), "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.root}/{name}/v={version}")
                 self.put(f"{self.root}/{name}/_manifest/{version}.json", json.dumps(held | dict.fromkeys(touched, version)))
+                if self.keep and version % self.keep == self.keep - 1:
+                    self.vacuum(name, self.keep)
         finally:
             changes.unpersist()
 
@@ -145,10 +149,12 @@ def apply_events(tables: Tables, batch: DataFrame, number: int) -> None:
     feeds.publish(tables, nodes, number)
 
 
-def ingest(spark: SparkSession, queue: str, root: str, once: bool = True) -> StreamingQuery:
-    """Follows the queue folder; ``once`` stops when what is there is done."""
+def ingest(spark: SparkSession, queue: str, root: str, once: bool = True, max_files: int = 1000) -> StreamingQuery:
+    """Follows the queue folder, at most ``max_files`` of its files a batch; ``once`` stops
+    when what is there is done. The checkpoint holds the offsets: a batch that failed is
+    run again, of the same files and under the same number."""
     tables = Tables(spark, root)
-    writer = event_stream(spark, queue).writeStream.foreachBatch(lambda batch, number: apply_events(tables, batch, number)).option("checkpointLocation", f"{root}/_stream")
+    writer = event_stream(spark, queue, max_files).writeStream.foreachBatch(lambda batch, number: apply_events(tables, batch, number)).option("checkpointLocation", f"{root}/_stream")
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
 
 

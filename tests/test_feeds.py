@@ -105,3 +105,43 @@ def test_constraints_hold_when_a_version_is_published(spark, tmp_path):
     assert tables.publish("things", 1, df([("b", "y", 3)]), ["id"]) == {"rows": 1, "without_key": 0, "published": 1, "duplicates": 0}
     assert sorted(tuple(r) for r in tables.read("things").select("id", "v").collect()) == [("a", "new"), ("b", "y")]
     assert tables.read("things").groupBy("id").agg(F.count("v").alias("n")).where("n > 1").count() == 0
+
+
+def graph_of(spark, root):
+    tables = workers.Tables(spark, root, 4)
+    return [sorted(map(repr, map(tuple, tables.read(name).select(*columns).collect()))) for name, columns in (("documents", ("id", "contentEn", "seq")), ("relations", ("src", "dst", "type")), ("quarantine", ("json",)))]
+
+
+@pytest.mark.parametrize("fails_after", ["documents"])
+def test_the_graph_is_the_same_after_a_stop_in_a_batch(spark, tmp_path, monkeypatch, fails_after):
+    """The ingestor dies in its second batch, after some of its tables are written."""
+    queue = str(tmp_path / "queue")
+    for i in range(3):
+        send(spark, queue, [(f"d{j}", None, f"text {i} of {j}", 100 * i + j) for j in range(i, i + 6)])
+        edges = spark.createDataFrame([(None, f"d{i}", f"x{i}", "AMENDS" if i else None, i)], "id string, source_id string, target_id string, relation_type string, seq long")
+        sinks.push_events(upsert.edge_event(edges), queue)
+    spark.createDataFrame([(1, "{bad")], "seq long, json string").write.mode("append").json(queue)
+    workers.ingest(spark, queue, str(tmp_path / "whole"), max_files=2).awaitTermination()
+
+    plain, written = workers.Tables.write, []
+
+    def dying(self, name, version, *more):
+        plain(self, name, version, *more)
+        written.append((name, version))
+        if (name, version) == (fails_after, 1) and written.count((name, version)) == 1:
+            raise OSError("lost")
+
+    monkeypatch.setattr(workers.Tables, "write", dying)
+    with pytest.raises(Exception, match="lost"):
+        workers.ingest(spark, queue, str(tmp_path / "stopped"), max_files=2).awaitTermination()
+    workers.ingest(spark, queue, str(tmp_path / "stopped"), max_files=2).awaitTermination()
+    assert written.count((fails_after, 1)) == 2 and max(v for _, v in written) > 1
+    assert graph_of(spark, str(tmp_path / "stopped")) == graph_of(spark, str(tmp_path / "whole"))
+
+
+def test_old_versions_go(spark, tmp_path):
+    tables = workers.Tables(spark, str(tmp_path / "a"), 2, keep=2)
+    for v in range(7):
+        tables.write("t", v, spark.createDataFrame([("k", v, v)], "id string, v long, seq long"), ["id"], workers.latest(["id"]))
+    assert [(r.id, r.v) for r in tables.read("t").collect()] == [("k", 6)]
+    assert tables.versions("t") == [4, 5, 6] and len([p for p in (tmp_path / "a/t").iterdir() if p.name.startswith("v=")]) == 3
