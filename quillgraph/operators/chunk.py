@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import deque
+from typing import ClassVar
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -21,6 +22,25 @@ def token_length(text: str) -> int:
     return len(_word.findall(text))
 
 
+class Subwords:
+    """Length in the tokens of a model's vocabulary (a tokenizers file), without special
+    ones: what an embedding model with that vocabulary would see. Each Python worker loads
+    the file once; it must be where the workers can read it."""
+
+    loaded: ClassVar[dict] = {}
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def __call__(self, text: str) -> int:
+        if self.path not in self.loaded:
+            from tokenizers import Tokenizer
+
+            self.loaded[self.path] = Tokenizer.from_file(self.path)
+            self.loaded[self.path].no_truncation()
+        return len(self.loaded[self.path].encode(text, add_special_tokens=False).ids)
+
+
 def split(text: str, size: int = 510, overlap: int = 50, length=token_length, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
     """Chunks of at most ``size`` by ``length``, cut at the coarsest separator that
     does it, each starting with up to ``overlap`` of the one before. A piece that no

@@ -38,6 +38,6 @@ def test_flagship_is_registered():
     assert FLAGSHIP in QUERIES
 
 
-@pytest.mark.parametrize("name", ["greedy_merge", "chunks_per_doc", "page_markdown", "page_records", "reranked", "offline_topics"])
+@pytest.mark.parametrize("name", ["chunks_per_doc", "chunk_embeddings", "page_markdown", "page_records"])
 def test_queries_without_sql_run(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0
