@@ -15,8 +15,8 @@ few keys left. Level 1 is sized so that about as many keys pass as are listed
 by the list, not the corpus; it is looked up as a literal of the plan.
 
 A list whose first level exceeds ``max_bits`` (2^26: a few million keys) is dealt by
-hash into parts that don't, each with a cascade and a scan of its own; what these find
-listed meets the hosts by a join.
+hash into parts that don't. Each has a cascade over its part of the universe, and the rows
+pass all of them in turn, a scan and a written table of verdicts each.
 """
 
 from __future__ import annotations
@@ -147,15 +147,19 @@ def fitting_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return rule, action
 
 
-def listed_keys(universe: DataFrame, listed: DataFrame, size: int, parts: int, max_bits: int) -> DataFrame:
-    """The listed keys of the universe, by a cascade for each of ``parts`` parts of all keys."""
-    found = None
-    for i in range(parts):
-        own = F.pmod(F.xxhash64(F.lit(97), "key"), F.lit(parts)) == i
-        levels = build_cascade(universe.where(own), listed.where(own), max(1, size // parts), max_bits)
-        hits = cut(universe.where(own & is_listed(levels, F.col("key"))).distinct())
-        found = hits if found is None else found.union(hits)
-    return found
+def in_part(key: Column, i: int, parts: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(97), key), F.lit(parts)) == i
+
+
+def parts_for(listed: DataFrame, n: int, size: int, max_bits: int) -> int:
+    """As few parts, or half as many more, as leave no part of the list too large for a level."""
+    parts = -(-bits_for(n, first_rate(n, size)) // max_bits)
+    while parts > 1:
+        most = listed.groupBy(F.pmod(F.xxhash64(F.lit(97), "key"), F.lit(parts))).count().agg(F.max("count")).head()[0]
+        if bits_for(most, first_rate(most, max(1, size // parts))) <= max_bits:
+            break
+        parts += -(-parts // 2)
+    return parts
 
 
 def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", max_bits: int = 1 << 26) -> DataFrame:
@@ -171,15 +175,18 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules=RULES, id_col: str =
     universe = rows.select(F.explode(parent_domains(F.col("host"))).alias("key"))
     listed = listed.select("key").where(F.col("key").isNotNull()).distinct()
     n, size = listed.count(), universe.agg(F.approx_count_distinct("key")).head()[0]
-    parts = -(-bits_for(n, first_rate(n, size)) // max_bits)
+    parts = parts_for(listed, n, size, max_bits)
+    keys = parent_domains(F.col("host"))
     if parts == 1:
         levels = build_cascade(universe, listed, size, max_bits)
-        hit = F.exists(parent_domains(F.col("host")), lambda key: is_listed(levels, key))
-        rows = rows.withColumn("listed", hit)
-    else:  # half again as many, for parts of uneven sizes
-        hits = listed_keys(universe, listed, size, parts + -(-parts // 2), max_bits)
-        hosts = rows.select("host").distinct().withColumn("key", F.explode(parent_domains(F.col("host")))).join(hits, "key").select("host").distinct()
-        rows = rows.join(hosts.withColumn("listed", F.lit(True)), "host", "left").withColumn("listed", F.coalesce("listed", F.lit(False)))
+        rows = rows.withColumn("listed", F.exists(keys, lambda key: is_listed(levels, key)))
+    else:
+        rows = rows.withColumn("listed", F.lit(False))
+        for i in range(parts):
+            own = in_part(F.col("key"), i, parts)
+            levels = build_cascade(universe.where(own), listed.where(own), max(1, size // parts), max_bits)
+            hit = F.exists(keys, lambda key, i=i, levels=levels: in_part(key, i, parts) & is_listed(levels, key))
+            rows = cut(rows.withColumn("listed", F.col("listed") | hit))
     rule, action = fitting_rule(F.col("host"), F.col("path"), rules)
     verdict = F.coalesce(action, F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow")))
     return rows.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), "listed")
