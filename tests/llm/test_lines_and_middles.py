@@ -134,3 +134,17 @@ def test_offsets_are_those_of_single_matches():
         plain, coarse = [span for _, span in single.pre_tokenize_str(text)], ruler.coarse(text)
         assert ruler.count(coarse) == len(plain) == size
         assert [ruler.offset(coarse, k) for k in range(size + 1)] == [start for start, _ in plain] + [size]
+
+
+def test_very_long_texts(spark):
+    """A hundred thousand lines, half of them common, in some documents; one line of a megabyte."""
+    shared = "\n".join(f"shared {i}\nown {{0}} {i}" for i in range(50_000))
+    rows = [(i, shared.format(i) if i < 3 else "\n".join(f"shared {j}" for j in range(50_000))) for i in range(10)] + [(10, "é" * 500_000), (11, "\n" * 200_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).persist()
+    found = {r.doc_id: r for r in line_dedup.line_dedup(docs).collect()}
+    assert all((found[i].n_lines, found[i].n_dropped) == (100_000, 50_000) and found[i].text == "\n".join(f"own {i} {j}" for j in range(50_000)) for i in range(3))
+    assert all((found[i].n_lines, found[i].n_dropped, found[i].text) == (50_000, 50_000, "") for i in range(3, 10))
+    assert found[10].text == rows[10][1] and (found[11].n_lines, found[11].n_dropped) == (200_001, 0)
+    made = fill_in_middle.fill_in_middle(docs)
+    again = made.withColumn("again", fill_in_middle.restored(F.col("output"), F.col("form"))).collect()
+    assert {r.doc_id: (r.n, r.again) for r in again} == {i: (len(t), t) for i, t in rows}
