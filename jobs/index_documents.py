@@ -32,7 +32,7 @@ from quillgraph.functions import text as T
 from quillgraph.operators import bm25, upsert
 
 PATHS = ("documents", "output", "checkpoint")
-DEFAULTS = {"id": "doc_id", "text": "text", "lang": "lang", "max_files": 1000}
+DEFAULTS = {"id": "doc_id", "text": "text", "lang": "lang", "max_files": 1000, "rows_per_file": 2_000_000}
 POSTINGS = "doc_id long, term string, tf long, lang string, batch long"
 LENGTHS = "doc_id long, len long, lang string, batch long"
 
@@ -43,12 +43,14 @@ def write_batch(batch: DataFrame, number: int, output: str, config: dict) -> Non
     last = upsert.latest_by_key(sent.where("doc_id is not null").withColumn("at", F.struct("written_at", "file", "text")), ["doc_id"], "at")
     docs = last.select("doc_id", "lang", T.tokens(F.coalesce("text", F.lit(""))).alias("tokens")).persist()
     try:
+        words = docs.agg(F.coalesce(F.sum(F.size("tokens")), F.lit(0))).head()[0]
+        files = max(1, -(-words // config["rows_per_file"]))  # a small batch is few files, not one a task
         lengths, n_docs = counted(docs.select("doc_id", "lang", F.size("tokens").cast("long").alias("len")), "documents")
         terms = docs.select("doc_id", "lang", F.explode("tokens").alias("term")).groupBy("lang", "doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
         postings, n_postings = counted(terms, "postings")
         for rows, name in ((lengths, "lengths"), (postings, "postings")):
             own = rows.withColumn("batch", F.lit(number).cast("long"))
-            own.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("lang", "batch").parquet(f"{output}/{name}")
+            own.coalesce(files).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("lang", "batch").parquet(f"{output}/{name}")
         log.info("batch %d: read %d rows, %d without an id; wrote %d documents, %d postings", number, read.get["rows"], read.get["without_id"], n_docs.get["rows"], n_postings.get["rows"])
     finally:
         docs.unpersist()
