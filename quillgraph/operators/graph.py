@@ -51,10 +51,14 @@ def degree(nodes: DataFrame, edges: DataFrame, node: str, edge_end: str) -> Data
 def merge_clusters(pairs: DataFrame, degrees: DataFrame) -> DataFrame:
     """topic, root, canonical: each topic of a similarity component with the member
     that stays: of most edges, then the smallest name."""
-    found = components(pairs.select(F.col("a").alias("x"), F.col("b").alias("y")))
+    return chosen(components(pairs.select(F.col("a").alias("x"), F.col("b").alias("y"))), degrees)
+
+
+def chosen(found: DataFrame, degrees: DataFrame) -> DataFrame:
+    """``merge_clusters`` of components (node, root)."""
     placed = found.withColumnRenamed("node", "topic").join(degrees, "topic", "left").withColumn("edges", F.coalesce("edges", F.lit(0)))
-    chosen = placed.groupBy("root").agg(F.min(F.struct((-F.col("edges")).alias("e"), "topic")).alias("best")).select("root", F.col("best.topic").alias("canonical"))
-    return placed.join(chosen, "root").select("topic", "root", "canonical")
+    best = placed.groupBy("root").agg(F.min(F.struct((-F.col("edges")).alias("e"), "topic")).alias("best")).select("root", F.col("best.topic").alias("canonical"))
+    return placed.join(best, "root").select("topic", "root", "canonical")
 
 
 def contract(edges: DataFrame, clusters: DataFrame, doc: str = "doc_id", topic: str = "topic") -> DataFrame:

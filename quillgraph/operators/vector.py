@@ -164,6 +164,32 @@ def best_of_blocks(asked: DataFrame, rows: DataFrame, keys: list[str], k: int, m
     return asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(product, schema)
 
 
+def over_threshold(asked: DataFrame, rows: DataFrame, keys: list[str], threshold: float, metric: str) -> DataFrame:
+    """query_id, id: the rows (id, v) that score ``threshold`` or more with a query
+    (query_id, v) of the same group of the keys, each pair once a group. A group is as
+    large as a block; its product is taken in tiles."""
+
+    def product(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = [pa.table({"query_id": pa.array([], pa.int64()), "id": pa.array([], pa.int64())})]
+        if left.num_rows and right.num_rows:
+            asked_ids, ids = left["query_id"].to_numpy(), right["id"].to_numpy()
+            x, y = matrix(left["v"]).astype(float), matrix(right["v"]).astype(float)
+            xs, ys = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
+            for a in range(0, len(x), TILE):
+                for b in range(0, len(y), TILE):
+                    p, q = slice(a, a + TILE), slice(b, b + TILE)
+                    if metric == "cosine":
+                        score = (x[p] @ y[q].T) / (xs[p][:, None] * ys[q][None, :])
+                    else:
+                        score = np.stack([1 / (1 + ((y[q] - row) ** 2).sum(1)) for row in x[p]])
+                    i, j = np.nonzero(score >= threshold)
+                    ends = np.unique(np.stack([asked_ids[p][i], ids[q][j]]), axis=1)
+                    found.append(pa.table({"query_id": ends[0], "id": ends[1]}))
+        return pa.concat_tables(found)
+
+    return asked.groupBy(*keys).cogroup(rows.groupBy(*keys)).applyInArrow(product, "query_id long, id long")
+
+
 def nearest_many(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", block: int = 4096) -> DataFrame:
     """query_id, vec_id, score, rank: cosine neighbours of a table of queries
     (query_id, query_vec), blocks against blocks."""

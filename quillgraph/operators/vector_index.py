@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .state import written
-from .vector import best_of_blocks, matrix, nearest
+from .vector import best_of_blocks, matrix, nearest, over_threshold
 
 #: Angles near 0 and pi have about half of a double's digits.
 SLACK = 1e-6
@@ -84,9 +84,9 @@ class VectorIndex:
         self.centres = np.array([r.centre for r in rows], float)
 
     @staticmethod
-    def build(vectors: DataFrame, path: str, metric: str = "cosine", cells: int | None = None, sample: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> VectorIndex:
-        """Writes the index of a table. ``cells``: the square root of its rows, at most
-        4,096; ``sample``: 64 rows a cell. All vectors have one number of components."""
+    def build(vectors: DataFrame, path: str, metric: str = "cosine", cells: int | None = None, sample: int | None = None, id_col: str = "vec_id", vec_col: str = "embedding", batch: int = 0) -> VectorIndex:
+        """Writes the index of a table, as ``batch``. ``cells``: the square root of its rows,
+        at most 4,096; ``sample``: 64 rows a cell. All vectors have one number of components."""
         spark = vectors.sparkSession
         kinds = {f.name: f.dataType.simpleString() for f in vectors.schema}
         rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).where(usable(F.col("v"), metric)).withColumn("v", F.col("v").cast("array<double>"))
@@ -99,7 +99,7 @@ class VectorIndex:
             spark.createDataFrame([], schema).write.mode("overwrite").partitionBy(*by).parquet(f"{path}/{name}")
         index = VectorIndex(spark, path)
         if n:
-            index.add(vectors, 0, id_col, vec_col)
+            index.add(vectors, batch, id_col, vec_col)
         return index
 
     def add(self, vectors: DataFrame, batch: int, id_col: str = "vec_id", vec_col: str = "embedding") -> None:
@@ -223,3 +223,54 @@ class VectorIndex:
         again = asked.join(reach, F.col("query_id") == F.col("of"), "left").select("query_id", "v", F.coalesce("reach", F.lit(float("inf"))).alias("reach"))
         every = first.unionByName(best(again.mapInArrow(sent(True), "query_id long, v array<double>, cell int")))
         return every.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k).select("query_id", "id", "score", "rank")
+
+    def within(self, queries: DataFrame, threshold: float, names: DataFrame | None = None, before: int | None = None, block: int = 4096) -> DataFrame:
+        """query_id, id: all rows whose score with a query of the table (query_id,
+        query_vec) is ``threshold`` or more (inclusive), of the batches below ``before``.
+        With ``names`` (id, name) a row goes by its name, if it has one, and a query meets
+        a name once in a block of rows, however many rows have it.
+
+        A query goes only to cells that can have such a row. Small cells are met together,
+        as many as make a block, and large ones in blocks, so that a query is sent at most
+        once a block of rows, as it would be without cells.
+        """
+        metric, centres = self.metric, self.centres
+        cell, n, least, most = self.ranges()
+        asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("query_vec").cast("array<double>").alias("v")).where(usable(F.col("v"), metric) & F.col("query_id").isNotNull())
+        if not len(cell):
+            return asked.select("query_id", F.col("query_id").alias("id")).where("false")
+        group, parts, room = {}, [], 0
+        for c, rows in zip(cell.tolist(), n.tolist()):
+            if rows > room:
+                parts.append(-(-rows // block))
+                room = max(block, rows)
+            group[c] = len(parts) - 1
+            room = room - rows if rows <= block else 0
+        of_cell = np.array([group[c] for c in cell.tolist()], int)
+        reach = distance_of(threshold, metric) + SLACK
+
+        def sent(batches):
+            for b in batches:
+                if b.num_rows:
+                    away = distances(matrix(b.column("v")), centres[cell], metric)
+                    near = (away <= most + reach) & (away >= least - reach)
+                    to = [np.unique(of_cell[row]) for row in near]
+                    at = pa.array(np.repeat(np.arange(len(to)), [len(t) for t in to]), pa.int64())
+                    yield pa.RecordBatch.from_arrays([b.column("query_id").take(at), b.column("v").take(at), pa.array(np.concatenate(to), pa.int32())], names=["query_id", "v", "cells"])
+
+        dealt = written(asked.mapInArrow(sent, "query_id long, v array<double>, cells int"))
+        many = {r.cells: -(-r.n // block) for r in dealt.groupBy("cells").agg(F.count(F.lit(1)).alias("n")).collect()}  # MAX_CELLS rows at most
+        read = [c for c in cell.tolist() if group[c] in many]
+        if not read:
+            return dealt.select("query_id", F.col("query_id").alias("id")).where("false")
+        upto = lambda counts, col: F.element_at(F.map_from_arrays(F.lit(list(counts)), F.lit([int(x) for x in counts.values()])), F.col(col))
+        rows = self.rows().where(F.col("cell").isin(read))
+        if before is not None:
+            rows = rows.where(F.col("batch") < before)
+        rows = rows.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"), upto({c: group[c] for c in read}, "cell").cast("int").alias("cells"))
+        if names is not None:
+            rows = rows.join(names.select("id", "name"), "id", "left").select(F.coalesce("name", "id").alias("id"), "v", "cells")
+        size = {g: parts[g] for g in many}
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("id", "v"), upto(size, "cells")).cast("int")).withColumn("turn", F.explode(F.sequence(F.lit(0), upto(many, "cells").cast("int") - 1)))
+        left = dealt.withColumn("turn", F.pmod(F.xxhash64("query_id"), upto(many, "cells")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), upto(size, "cells").cast("int") - 1)))
+        return over_threshold(left, rows, ["cells", "part", "turn"], threshold, metric).distinct()

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from .. import providers
 from ..functions import text as T
-from ..operators import bm25, bm25_blocks, retrieval, vector
+from ..operators import bm25, bm25_blocks, graph, retrieval, vector
 from ..operators.state import shared_dir
 from ..operators.vector_index import VectorIndex
+from ..streaming.merging import Clusters
 from . import oracles, queries, worker_queries
 
 
@@ -69,7 +70,26 @@ def block_index_search(spark, d):
     return bm25_blocks.search(found, 50).select("doc_id", F.round("score", 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (indexed_topk_cosine, indexed_topk_l2, indexed_topk_batch, grown_index_topk, indexed_topic_search, block_index_search)}
+def grown_clusters(spark, d):
+    """Topics in four batches, of which the last brings some of the others again."""
+    found = Clusters(spark, folder(spark, "clusters"), queries.SIMILAR)
+    rows = queries.embeddings(spark, d)
+    for number, part in enumerate(("vec_id % 2 = 0", "vec_id % 4 = 1", "vec_id % 8 = 3", "vec_id % 8 > 4")):
+        found.add(rows.where(part), number)
+    return found
+
+
+def grown_components(spark, d):
+    return grown_clusters(spark, d).roots().select(F.col("node").alias("topic"), "root")
+
+
+def grown_contract(spark, d):
+    """Edges after topics that came in batches were merged."""
+    topics, edges = queries.embeddings(spark, d).select(F.col("vec_id").alias("topic")), queries.has_topic(spark, d)
+    return graph.contract(edges, grown_clusters(spark, d).chosen(graph.degree(topics, edges, "topic", "topic")))
+
+
+QUERIES = {f.__name__: f for f in (indexed_topk_cosine, indexed_topk_l2, indexed_topk_batch, grown_index_topk, indexed_topic_search, block_index_search, grown_components, grown_contract)}
 
 ORACLES = {
     "indexed_topk_cosine": oracles.ORACLES["dense_topk_cosine"],
@@ -78,4 +98,6 @@ ORACLES = {
     "grown_index_topk": oracles.ORACLES["dense_topk_cosine"],
     "indexed_topic_search": oracles.ORACLES["topic_search_docs"],
     "block_index_search": worker_queries.ORACLES["stored_index_search"],
+    "grown_components": oracles.ORACLES["topic_components"],
+    "grown_contract": oracles.ORACLES["topic_contract"],
 }

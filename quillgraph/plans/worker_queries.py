@@ -148,7 +148,10 @@ def crawl_requeued(spark, d):
 
 
 def crawl_reset(spark, d):
-    return crawl.reset(crawl_states(spark, d)[0]).agg(F.count(F.lit(1)).alias("n"))
+    """How many urls of each category a crawl had, and has after a reset."""
+    states = crawl_states(spark, d)[0]
+    left = crawl.reset(states).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    return states.groupBy("category").agg(F.count(F.lit(1)).alias("before")).join(left, "category", "left").select("category", "before", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def queue_range(spark, d):
@@ -231,7 +234,7 @@ def document_communities(spark, d):
 
 def stamped_now(spark, d):
     now = T.utc_now()
-    return spark.range(1).select(now.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d+\+00:00$").alias("iso"), (F.abs(F.unix_timestamp(F.to_timestamp(now)) - F.unix_timestamp()) < 5).alias("now"))
+    return queries.documents(spark, d).select("doc_id", now.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d+\+00:00$").alias("iso"), (F.abs(F.unix_timestamp(F.to_timestamp(now)) - F.unix_timestamp()) < 5).alias("now"))
 
 
 QUERIES = {
@@ -277,7 +280,7 @@ SELECT doc_id, round(score, 6) AS score FROM best ORDER BY best.score DESC, doc_
     "empty_index": "SELECT 0::BIGINT AS n",
     "crawl_moves": f"WITH {STATES} SELECT url, category, seq, state, CASE WHEN state <> 'PENDING' THEN '{NOW}' END AS at FROM moved",
     "crawl_requeued": f"WITH {STATES} SELECT url, category, seq, replace(state, 'FAILED', 'PENDING') AS state, CASE WHEN state <> 'PENDING' THEN '{NOW}' END AS at FROM moved",
-    "crawl_reset": "SELECT 0::BIGINT AS n",
+    "crawl_reset": "SELECT regexp_extract(url, '\\.(com|net|org)', 1) AS category, count(DISTINCT url) AS before, 0::BIGINT AS n FROM pages GROUP BY 1",
     "queue_range": f"WITH {STATES} SELECT seq, url FROM rows_ ORDER BY seq, url OFFSET 100",
     "discovered_urls": f"""WITH {DISCOVERY} SELECT url, arg_min(category, page) AS category, min(page) AS seq FROM seen WHERE url NOT IN (SELECT url FROM moved WHERE seq % 4 = 0) GROUP BY url""",
     "discovery_progress": f"WITH {DISCOVERY} SELECT category, (SELECT max(page) FROM seen WHERE seen.category = ends.category) AS page, CASE WHEN last IS NULL THEN 'DISCOVERING' ELSE 'DISCOVERY_DONE' END AS state FROM ends",
@@ -292,5 +295,5 @@ FROM documents JOIN edges USING (doc_id)""",
 m AS (SELECT list(x ORDER BY i) AS q FROM parts), s AS (SELECT vec_id, list_cosine_similarity(e, q) AS s FROM v, m ORDER BY s DESC, vec_id LIMIT 20)
 SELECT vec_id, round(s, 6) AS score FROM s""",
     "document_communities": "SELECT doc_id, -(doc_id % (SELECT count(*) FROM embeddings)) - 1 AS community FROM documents",
-    "stamped_now": "SELECT true AS iso, true AS now",
+    "stamped_now": "SELECT doc_id, true AS iso, true AS now FROM documents",
 }
