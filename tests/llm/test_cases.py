@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers as P
 import pytest
+import sentencepiece
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -195,6 +196,47 @@ def test_quality_against_a_plain_version(spark):
     assert WORD == "[^\\x20\\x09-\\x0D]+"
 
 
+def plain_vocabularies():
+    pieces = sentencepiece.SentencePieceProcessor(model_file=P.path(quality_rules.VOCABULARY))
+    with open(P.path(quality_rules.OTHER), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
+    return pieces, tiktoken.Encoding("plain", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def plain_figures(text, lang, pieces, other):
+    """n_tokens, characters a token under both vocabularies, letters a token, fallback
+    share, entropy, band and verdict, a word at a time."""
+    words = [w.decode() for w in (text or "").encode().split()]
+    ids = [i for w in words for i in pieces.encode(w)]
+    n, chars, n_other = len(ids), sum(map(len, words)), sum(len(other.encode_ordinary(f" {w}")) for w in words)
+    shares = [c / n for c in Counter(ids).values()]
+    per = [x / y if y else 0.0 for x, y in ((chars, n), (chars, n_other), (sum(c.isalnum() for w in words for c in w), n), (sum(map(pieces.is_byte, ids)), n))]
+    entropy = -math.fsum(p * math.log2(p) for p in shares)
+    wide = sum(ord(c) > 0x7FF for c in text or "")
+    name = lang if lang in quality_rules.BANDS else "latin" if 2 * wide < chars else "other"
+    band = quality_rules.BANDS[name]
+    fits = all(low <= x <= high for x, (low, high) in zip(per, (band.chars_per_token, band.other_chars_per_token, band.letters_per_token), strict=False))
+    return (n, *per, entropy), name, fits and per[3] <= band.most_fallback and entropy >= band.least_entropy and not plain_quality(text)[-1]
+
+
+def test_fertility_against_a_plain_version(spark):
+    """Every document of sf0.001, and texts of other scripts, symbols and odd spaces."""
+    words = "слово дом река 東京都 数据 مرسوم قانون 🙂🙂 ½x naïve a\u0301 \ud7ff \u0800 x\u00a0y #|<> 12,5 \x1c ﬁ".split(" ")
+    rng = random.Random(8)
+    odd = [" ".join(rng.choices(words[a:b], k=80)) for a, b in ((0, 3), (3, 5), (5, 7), (7, 18), (0, 18))]
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    rows += [(1000 + i, t, lang) for i, (t, lang) in enumerate((t, lang) for t in [*odd, "", None, " \n\t", rows[0][1]] for lang in (None, "en", "xx"))]
+    vocabularies = plain_vocabularies()
+    found = {r.doc_id: r for r in quality_rules.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()}
+    assert len(found) == len(rows)
+    for i, text, lang in rows:
+        r = found[i]
+        figures, name, kept = plain_figures(text, lang, *vocabularies)
+        assert (r.n_tokens, r.chars_per_token, r.other_chars_per_token, r.letters_per_token, r.fallback_share, r.token_entropy) == pytest.approx(figures, abs=1e-9)
+        assert (r.band, r.kept) == (name, kept)
+    assert {r.band for r in found.values()} >= {"en", "latin", "other"}
+
+
 def test_bounds_of_characters_follow_their_rule(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     figures = quality_rules.quality(docs.join(labels.select("doc_id"), "doc_id", "left_semi").repartition(8))
@@ -249,8 +291,8 @@ def test_pipeline_against_plain_versions(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     library = Tokenizer.from_file(P.path(packing.VOCABULARY))
     rows = {r.doc_id: r for r in docs.collect()}
-    verdict = {r.doc_id: r.kept for r in quality_rules.quality(docs).collect()}  # its bands have no plain version
-    rows = {i: r.text for i, r in rows.items() if verdict[i] and not plain_quality(r.text)[-1]}
+    vocabularies = plain_vocabularies()
+    rows = {i: r.text for i, r in rows.items() if plain_figures(r.text, r.lang, *vocabularies)[2]}
     least = {int(c) for _, _, c in plain_components([(i, t.encode()) for i, t in rows.items()])}
     rows = {i: t for i, t in rows.items() if i in least}
     left = {int(i): kept.decode("utf-8", "ignore") for i, _, _, _, kept in plain_dedup([(i, t.encode()) for i, t in rows.items()])}
