@@ -76,14 +76,14 @@ def ingested_graph(spark, d):
 
 
 def chunk_worker(spark, d):
-    """Conversation turns as documents through the chunk worker, a poll each 2,000, none
-    long enough to be cut: every chunk with the length of its vector."""
+    """Conversation turns as documents through the chunk worker, in polls from some 2,000
+    on, none long enough to be cut: every chunk with the length of its vector."""
     root = folder(spark, "graph")
     tables = workers.Tables(spark, root, 8)
     rows = inputs.table(spark, d, "conversations").select(F.concat_ws(".", "conv_id", "turn").alias("id"), F.when(F.col("role") == "user", "مرسوم").alias("contentAr"), F.col("text").alias("contentEn"), F.lit(0).cast("long").alias("seq"))
     tables.write("documents", 0, as_nodes(rows), ["id"], workers.latest(["id"]))
     embed = lambda c: providers.embedding(c, providers.HashEmbedder(16))
-    workers.follow(lambda: workers.chunk_poll(tables, 2000, embed=embed), 0, once=True)
+    workers.catch_up(tables, "polled", "doc_id", lambda share: workers.chunk_poll(tables, None, embed=embed, share=share), 2000)
     return tables.read("chunks").select("id", "doc_id", "language", F.md5("text").alias("text_md5"), F.size("embedding").cast("long").alias("dims"))
 
 

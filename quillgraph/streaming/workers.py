@@ -158,10 +158,13 @@ def ingest(spark: SparkSession, queue: str, root: str, once: bool = True, max_fi
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 second")).start()
 
 
-def todo(tables: Tables, done: str, key: str, limit: int | None) -> DataFrame:
-    """The first documents with text that ``done`` has nothing of."""
+def todo(tables: Tables, done: str, key: str, limit: int | None, share: float = 1.0) -> DataFrame:
+    """The first documents with text that ``done`` has nothing of; of those only that the
+    hashes of their ids put into the ``share`` of all."""
     docs = tables.read("documents").where(T.has_text(F.col("contentAr")) | T.has_text(F.col("contentEn")))
     old = tables.read(done)
+    if share < 1:
+        docs = docs.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
     left = docs if old is None else docs.join(old.select(F.col(key).alias("id")).distinct(), "id", "left_anti")
     return left.orderBy("id").limit(limit) if limit else left
 
@@ -172,13 +175,14 @@ def chunk_new(tables: Tables, version: int, limit: int | None = 100, **more) ->
     return tables.read("chunks")
 
 
-def chunk_poll(tables: Tables, limit: int | None = 100, size: int = 510, overlap: int = 50, embed=None, version: int | None = None) -> int:
+def chunk_poll(tables: Tables, limit: int | None = 100, size: int = 510, overlap: int = 50, embed=None, version: int | None = None, share: float = 1.0) -> int:
     """One poll of the chunk worker: documents with text and without chunks are split
     and their chunks added, with vectors where there is a function for them (``embed``,
     of a column). A document that can't be split goes to ``chunk_errors``, with the
-    reason, and is not polled again. Gives the number of documents that were taken."""
+    reason, and is not polled again. Of the documents only a ``share`` is looked at (``todo``).
+    Gives the number of documents that were taken."""
     number = lambda name: tables.next(name) if version is None else version
-    rows = todo(tables, "polled", "doc_id", limit).persist()
+    rows = todo(tables, "polled", "doc_id", limit, share).persist()
     n = rows.count()
     if n:
         new = chunk.chunks(rows, size, overlap, id_col="id", keep_problems=True).persist()
@@ -231,3 +235,18 @@ def follow(poll: Callable[[], int], interval: float, once: bool = False, stop: C
                 break
             time.sleep(interval)
     return taken
+
+
+def catch_up(tables: Tables, done: str, key: str, poll: Callable[[float], int], first: int) -> int:
+    """Polls until nothing is left; ``poll`` takes all that is left of a share (``todo``).
+
+    A poll looks at all documents and rewrites the buckets it touches, soon all of them. So
+    polls of one size cost the square of what is waiting. Here the first is of some
+    ``first`` documents and each next one twice as large, so that all together rewrite
+    about twice what they leave, and what a failure loses is at most what one poll took.
+    No poll sorts, or gathers documents in a task. Gives the number of documents taken."""
+    taken, size = 0, first
+    while left := todo(tables, done, key, None).count():
+        taken += poll(min(1.0, (taken + size) / (taken + left)))
+        size *= 2
+    return taken

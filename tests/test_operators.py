@@ -1,15 +1,17 @@
 """Semantics that the tables can't show, on hand-made rows."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillgraph.functions import html as H
 from quillgraph.functions import text as T
-from quillgraph.operators import chunk, crawl, graph, retrieval, upsert, vector
+from quillgraph.operators import bm25, chunk, crawl, graph, retrieval, upsert, vector
+from quillgraph.plans.worker_queries import as_nodes
 from quillgraph.sources import inputs
-from quillgraph.streaming.workers import Tables, chunk_new, ingest
+from quillgraph.streaming.workers import Tables, catch_up, chunk_new, chunk_poll, ingest, latest
 
 
 def one(spark, *columns):
@@ -180,3 +182,19 @@ def test_streaming_ingest_and_chunks(spark, tmp_path, rounds):
 
 def test_parse_page_of_nothing(spark):
     assert spark.range(1).select(H.parse_page(F.lit(None).cast("string"))["title"].alias("t")).head().t == ""
+
+
+def test_catching_up_takes_polls_that_grow(spark, tmp_path):
+    tables = Tables(spark, str(tmp_path), 2)
+    docs = spark.range(1000).select(F.col("id").cast("string").alias("id"), F.lit("text").alias("contentEn"), F.lit(0).cast("long").alias("seq"))
+    tables.write("documents", 0, as_nodes(docs), ["id"], latest(["id"]))
+    sizes = []
+
+    def poll(share):
+        sizes.append(chunk_poll(tables, None, share=share))
+        return sizes[-1]
+
+    assert catch_up(tables, "polled", "doc_id", poll, 30) == 1000 == sum(sizes)
+    assert len(sizes) < 9 and sizes[0] < 80
+    assert tables.read("chunks").select("doc_id").distinct().count() == 1000
+    assert catch_up(tables, "polled", "doc_id", poll, 30) == 0
