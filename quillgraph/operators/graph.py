@@ -87,20 +87,23 @@ def greedy_merge(pairs: DataFrame) -> DataFrame:
 
     The order fixes the outcome, but not one row at a time: in each round every
     undecided row without an undecided earlier neighbour becomes a keeper, and its
-    undecided later neighbours go to their earliest keeper. So there are as many rounds
-    as the longest chain of rows each undecided because of the one before has keepers;
-    state is a written table each round.
+    undecided later neighbours are absorbed. So there are as many rounds as the longest
+    chain of rows each undecided because of the one before has keepers; state is a
+    written table each round. Who absorbed a row is known at the end alone: an earlier
+    neighbour may be undecided for longer than the row is, and turn out a keeper.
     """
-    open_ = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    decided = None
+    every = open_ = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    absorbed = None
     while not open_.isEmpty():
         keepers = open_.select("a").distinct().join(open_.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
-        taken = written(open_.join(keepers, "a").groupBy("b").agg(F.min("a").alias("keeper")).select(F.col("b").alias("absorbed"), "keeper"))
-        decided = taken if decided is None else decided.union(taken)
-        gone = taken.select(F.col("absorbed").alias("a")).union(keepers)
+        taken = written(open_.join(keepers, "a").select(F.col("b").alias("a")).distinct())
+        absorbed = taken if absorbed is None else absorbed.union(taken)
+        gone = taken.union(keepers)
         open_ = open_.join(gone, "a", "left_anti")
         open_ = written(open_.join(gone.select(F.col("a").alias("b")), "b", "left_anti"))
-    return decided if decided is not None else pairs.sparkSession.createDataFrame([], "absorbed long, keeper long")
+    if absorbed is None:
+        return pairs.sparkSession.createDataFrame([], "absorbed long, keeper long")
+    return every.join(absorbed, "a", "left_anti").groupBy(F.col("b").alias("absorbed")).agg(F.min("a").alias("keeper"))
 
 
 def louvain(edges: DataFrame, levels: int = 40, rounds: int = 100) -> DataFrame:

@@ -184,6 +184,24 @@ def test_parse_page_of_nothing(spark):
     assert spark.range(1).select(H.parse_page(F.lit(None).cast("string"))["title"].alias("t")).head().t == ""
 
 
+def test_greedy_merge_waits_for_earlier_keepers(spark):
+    """2 goes to 1 in the first round, in which 4 keeps; 3 keeps for want of 2, and as the
+    earlier one has 5."""
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 5), (4, 5)], "a long, b long")
+    assert {tuple(r) for r in graph.greedy_merge(pairs).collect()} == {(2, 1), (5, 3)}
+
+
+def test_greedy_merge_is_that_of_one_row_at_a_time(spark):
+    rng = random.Random(5)
+    pairs = sorted({tuple(sorted(rng.sample(range(120), 2))) for _ in range(220)})
+    keeper = {}
+    for a in range(120):
+        if a not in keeper:
+            keeper |= {y: a for x, y in pairs if x == a and y not in keeper}
+    found = graph.greedy_merge(spark.createDataFrame(pairs, "a long, b long"))
+    assert {tuple(r) for r in found.collect()} == set(keeper.items())
+
+
 def test_scores_equal_to_nine_decimals_are_a_tie(spark):
     """Document 9 has one query term more than the others, of a weight of 1e-11."""
     listed = spark.createDataFrame([(9, ["a", "b"]), (4, ["a", "c"]), (5, ["a", "c"])], "doc_id long, tokens array<string>")
