@@ -213,6 +213,12 @@ def test_scores_equal_to_nine_decimals_are_a_tie(spark):
     assert max(found, key=lambda r: r.score).doc_id == 9 and [r.doc_id for r in found] == [4, 5, 9]
 
 
+def test_unterminated_references_stay(spark):
+    pages = {"R&amp;D&amp": "R&D&amp", "a&copy;b &copy c&#38;d&#38": "a©b &copy c&d&", "x&ampy; &nosuch; & z": "x&ampy; &nosuch; & z"}
+    rows = spark.createDataFrame([(f"<h1>{html}</h1>",) for html in pages], "html string")
+    assert [r.t for r in rows.select(H.parse_page(F.col("html"))["title"].alias("t")).collect()] == list(pages.values())
+
+
 def test_catching_up_takes_polls_that_grow(spark, tmp_path):
     tables = Tables(spark, str(tmp_path), 2)
     docs = spark.range(1000).select(F.col("id").cast("string").alias("id"), F.lit("text").alias("contentEn"), F.lit(0).cast("long").alias("seq"))
