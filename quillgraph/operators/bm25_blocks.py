@@ -60,7 +60,7 @@ class BlockIndex:
     @staticmethod
     def save(index: bm25.Index, path: str, window_docs: int = 1024, files: int | None = None) -> None:
         """Writes the blocks of an index, by term. A block has a window's documents at most."""
-        spark = index.terms.sparkSession
+        spark, index = index.terms.sparkSession, index.counted()
         totals = index.totals.select("n_docs", "avg_len").head()  # one row
         placed = written(windows(index.docs, window_docs))
         rows = index.postings.join(placed, "doc_id")

@@ -233,3 +233,17 @@ def test_catching_up_takes_polls_that_grow(spark, tmp_path):
     assert len(sizes) < 9 and sizes[0] < 80
     assert tables.read("chunks").select("doc_id").distinct().count() == 1000
     assert catch_up(tables, "polled", "doc_id", poll, 30) == 0
+
+
+def test_words_are_counted_in_their_row(spark):
+    """No shuffle makes postings, and a stored index reads its texts no more."""
+    docs = spark.createDataFrame([(1, "b a b ½"), (2, ""), (3, None), (4, "c")], "doc_id long, text string")
+    listed = docs.select("doc_id", T.tokens(F.col("text")).alias("tokens"))
+    index = bm25.Index(None, None, listed=listed)
+    assert sorted(tuple(r) for r in index.postings.collect()) == sorted([(1, "a", 1), (1, "b", 2), (1, "½", 1), (4, "c", 1)])
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan(index.postings)
+    counted = index.counted()
+    assert sorted(tuple(r) for r in counted.docs.collect()) == [(1, 4), (4, 1)]
+    assert sorted(map(tuple, counted.postings.collect())) == sorted(map(tuple, index.postings.collect()))
+    assert "regexp" not in plan(counted.docs) and "regexp" not in plan(counted.postings)
