@@ -29,6 +29,8 @@ def l2_similarity(a: Column, b: Column) -> Column:
 
 
 TILE = 2048  # rows of a matrix product
+STEP = 1 << 16  # pairs that are scored at a time
+NEAR = 1e-9  # more than products of unit vectors are off by
 
 METRICS = {"cosine": cosine, "l2sq": l2_similarity}
 
@@ -128,15 +130,19 @@ def pairs_of_blocks(threshold: float):
         p, q, mine, ids = cell["p"][0].as_py(), cell["q"][0].as_py(), cell["mine"].to_numpy(), cell["id"].to_numpy()
         v = matrix(cell["v"])
         norm = np.sqrt((v * v).sum(1))
+        unit = v / norm[:, None]
         left, right = np.flatnonzero(mine == p), np.flatnonzero(mine == q)
         found = [pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})]
         for x in (left[i : i + TILE] for i in range(0, len(left), TILE)):
             for y in (right[i : i + TILE] for i in range(0, len(right), TILE)):
-                sim = (v[x] @ v[y].T) / (norm[x][:, None] * norm[y][None, :])
-                keep = (sim >= threshold) & ((ids[x][:, None] < ids[y][None, :]) if p == q else (ids[x][:, None] != ids[y][None, :]))
-                i, j = np.nonzero(keep)
-                ends = ids[x][i], ids[y][j]
-                found.append(pa.table({"a": np.minimum(*ends), "b": np.maximum(*ends), "sim": sim[i, j]}))
+                i, j = np.nonzero(unit[x] @ unit[y].T >= threshold - NEAR)  # one pass over a tile; the few are scored anew
+                i, j = x[i], y[j]
+                keep = ids[i] < ids[j] if p == q else ids[i] != ids[j]
+                i, j = i[keep], j[keep]
+                sim = np.concatenate([np.einsum("nd,nd->n", v[i[k : k + STEP]], v[j[k : k + STEP]]) for k in range(0, len(i), STEP)] or [np.zeros(0)]) / (norm[i] * norm[j])
+                keep = sim >= threshold
+                ends = ids[i[keep]], ids[j[keep]]
+                found.append(pa.table({"a": np.minimum(*ends), "b": np.maximum(*ends), "sim": sim[keep]}))
         return pa.concat_tables(found)
 
     return product

@@ -2,7 +2,10 @@
 
 import json
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -256,3 +259,18 @@ def test_common_words_of_topics(spark, monkeypatch, common):
     docs = spark.createDataFrame([(1, "alpha alpha beta gamma"), (2, "alpha beta delta delta"), (3, "alpha the"), (4, "of"), (5, None)], "doc_id long, text string")
     found = {r.doc_id: r.topics for r in providers.offline_topics(docs, 2).collect()}
     assert found == {1: ["gamma", "alpha"], 2: ["delta", "beta"], 3: ["alpha"]}
+
+
+def test_a_tile_of_pairs_holds_one_product():
+    """Two tiles of 2,048 rows: the product (32 MB) and little else, and the same pairs."""
+    v = np.random.default_rng(3).normal(size=(2048, 16))
+    zero = pa.array([0] * 2048, pa.int64())
+    cell = pa.table({"p": zero, "q": zero, "mine": zero, "id": pa.array(range(2048)), "v": pa.array(v.tolist(), pa.list_(pa.float64()))})
+    tracemalloc.start()
+    found = vector.pairs_of_blocks(0.8)(cell)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    norm = np.linalg.norm(v, axis=1)
+    want = np.argwhere(np.triu((v @ v.T) / np.outer(norm, norm) >= 0.8, 1))
+    assert sorted(zip(found["a"].to_pylist(), found["b"].to_pylist())) == [tuple(w) for w in want.tolist()] and len(want)
+    assert peak < 60e6
