@@ -8,6 +8,8 @@ executor's work is done again on the same batches.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -19,9 +21,10 @@ from .common import batches_of_texts, tidy
 SCHEMA = "batch long, texts binary, lengths binary, ids array<long>"
 
 
-def write_packed(docs: DataFrame, path: str, id_col: str, text_col: str, batch_bytes: int, carry: tuple[str, ...] = ()) -> DataFrame:
+def write_packed(docs: DataFrame, path: str, id_col: str, text_col: str, batch_bytes: int, carry: tuple[str, ...] = (), buckets: int = 0) -> DataFrame:
     """batch, texts (compressed, one after another), lengths, ids: null texts are
-    empty. The columns ``carry`` follow as arrays c0, c1, ..."""
+    empty. The columns ``carry`` follow as arrays c0, c1, ... With ``buckets`` the table
+    is bucketed by batch, so that answers by batch meet the texts where they are."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.spark_partition_id().cast("long").alias("part"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
     more = [f"c{i}" for i in range(len(carry))]
     schema = SCHEMA + "".join(f", {m} array<{docs.schema[c].dataType.simpleString()}>" for m, c in zip(more, carry, strict=True))
@@ -40,7 +43,12 @@ def write_packed(docs: DataFrame, path: str, id_col: str, text_col: str, batch_b
                 )
                 seq += 1
 
-    rows.mapInArrow(tidy(pack), schema).write.option("compression", "none").parquet(path)
+    writer = rows.mapInArrow(tidy(pack), schema).write.option("compression", "none")
+    if buckets:
+        name = f"packed_{uuid.uuid4().hex}"
+        writer.bucketBy(buckets, "batch").option("path", path).saveAsTable(name)
+        return docs.sparkSession.table(name)
+    writer.parquet(path)
     return docs.sparkSession.read.parquet(path)
 
 

@@ -26,7 +26,6 @@ of documents share, a batch sends one.
 from __future__ import annotations
 
 import hashlib
-import tempfile
 import uuid
 import zlib
 
@@ -39,8 +38,15 @@ from pyspark.sql import functions as F
 from .batches import grouped, rows_of, slices_for, unpacked, write_packed
 from .common import shared_dir, ship, tidy, tidy_group
 
-#: No byte of UTF-8: what stands before a string's first symbol.
-BEFORE = 0xFF
+#: No byte of UTF-8: what stands between strings.
+NONE = b"\xff"
+#: Symbols that a round of the sort puts in front, as many as a word of 64 bits has.
+STEP = 8
+#: Strings that are sorted together, and bytes of texts whose anchors are taken at once:
+#: what they need stays in a processor's cache.
+SORTED, AT_ONCE = 2048, 1 << 16
+#: Bytes of segments that a slice compares at a time.
+PART = 4 << 20
 NO_ID = np.iinfo(np.int64).max
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -72,9 +78,12 @@ def anchors(b: np.ndarray, width: int, gram: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def segments(anchor: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first window, number of windows) of runs of one anchor, cut at ``most``."""
-    starts = np.flatnonzero(np.r_[True, anchor[1:] != anchor[:-1]])
+def segments(anchor: np.ndarray, most: int, also: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first window, number of windows) of runs of one anchor, cut at ``most`` and
+    ahead of the windows ``also``."""
+    change = np.r_[True, anchor[1:] != anchor[:-1]]
+    change[also[also < len(change)]] = True
+    starts = np.flatnonzero(change)
     n = np.diff(np.r_[starts, len(anchor)])
     if n.max(initial=0) > most:
         parts = -(-n // most)
@@ -85,6 +94,30 @@ def segments(anchor: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return starts, n
 
 
+def all_segments(flat: bytes, lengths: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first window, number of windows, anchor) of the segments of texts that
+    stand one after another, some ``AT_ONCE`` bytes of them at a time."""
+    b = np.frombuffer(flat, np.uint8)
+    ends = np.cumsum(lengths)
+    begins = ends - lengths
+    found = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)]
+    i = 0
+    while i < len(lengths):
+        j = max(i + 1, int(np.searchsorted(ends, begins[i] + AT_ONCE, "right")))
+        here = b[begins[i] : ends[j - 1]]
+        if len(here) >= width:
+            a = anchors(here, width, gram)
+            own, n = begins[i:j] - begins[i], lengths[i:j]
+            over = np.maximum(own, own + n - width + 1)  # from there on windows reach into the next text
+            first, count = segments(a, width - gram + 1, np.r_[own, over])
+            text = np.searchsorted(own, first, "right") - 1
+            good = first - own[text] <= n[text] - width
+            first, text = first[good], text[good]
+            found.append((text + i, first - own[text], count[good], a[first] & ~np.uint64(1)))
+        i = j
+    return tuple(map(np.concatenate, zip(*found, strict=True)))
+
+
 def dense(values: np.ndarray, dtype) -> bytes:
     """Differences of neighbours, compressed: short for values that mostly grow a little."""
     return zlib.compress(np.diff(values.astype(dtype), prepend=np.zeros(1, dtype)).tobytes(), 1)
@@ -94,201 +127,143 @@ def undense(data: bytes, dtype) -> np.ndarray:
     return np.cumsum(np.frombuffer(zlib.decompress(data), dtype), dtype=dtype)
 
 
-class Column:
-    """The transform as a file of records, one a suffix in order: its string, its
-    length, the common prefix with the one before, the symbol before it. A round
-    reads the file from front to back and writes the next one."""
-
-    def __init__(self):
-        self.file = None
-
-    def write(self, records: np.ndarray) -> None:
-        if self.file is not None:
-            self.file.close()
-        self.file = tempfile.TemporaryFile()
-        records.tofile(self.file)
-        self.file.flush()
-
-    def read(self) -> np.ndarray:
-        self.file.seek(0)
-        return np.fromfile(self.file, np.uint64)
-
-    def close(self) -> None:
-        if self.file is not None:
-            self.file.close()
-
-
-def record(string, length, common, symbol) -> np.ndarray:
-    parts = (np.asarray(x).astype(np.uint64) for x in (string, length, common, symbol))
-    string, length, common, symbol = parts
-    return string << np.uint64(24) | length << np.uint64(16) | common << np.uint64(8) | symbol
-
-
-def least_between(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """min(values[first..last]) of each pair; from the back, so that what lies
-    between two ranges isn't read."""
-    if not len(first):
-        return np.zeros(0, values.dtype)
-    at = np.empty(2 * len(first), np.int64)
-    at[0::2], at[1::2] = first[::-1], last[::-1] + 1
-    padded = np.empty(len(values) + 1, values.dtype)
-    padded[:-1], padded[-1] = values, 255
-    return np.minimum.reduceat(padded, at)[::2][::-1]
-
-
-def sorted_suffixes(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def sorted_suffixes(strings: list[bytes], least: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(string, length, common prefix with the one before) of every suffix in
-    order; suffixes that end a string sort before longer ones, by string."""
+    order; suffixes that end a string sort before longer ones, by string. Where one
+    of the two is under ``least`` long, the common prefix is said to be 0."""
     m = len(strings)
+    if not m:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint8), np.zeros(0, np.uint8)
     lengths = np.fromiter(map(len, strings), np.int64, m)
-    flat = np.frombuffer(b"".join(strings), np.uint8)
-    ends = np.cumsum(lengths)
-    column = Column()
-    try:
-        # the empty suffixes, each preceded by its string's last symbol
-        last = flat[np.maximum(ends - 1, 0)] if len(flat) else np.full(m, BEFORE, np.uint8)
-        column.write(record(np.arange(m), np.zeros(m), np.zeros(m), np.where(lengths > 0, last, BEFORE)))
-        for taken in range(int(lengths.max(initial=0))):
-            old = column.read()
-            fields = old.view(np.uint8).reshape(-1, 8)
-            before, common = np.ascontiguousarray(fields[:, 0]), np.ascontiguousarray(fields[:, 1])
-            # each symbol's rows, in order, are where the suffixes that start with it come from
-            order = np.argsort(before, kind="stable")
-            order = order[: len(order) - int((before == BEFORE).sum())]
-            fresh = (fields[:, 2] == taken)[order]
-            new = np.empty(m + len(order), np.uint64)
-            new[:m] = old[:m]
-            rest = new[m:]
-            rest[~fresh] = old[m:]
-            at = np.flatnonzero(fresh)
-            own = (old[order[at]] >> np.uint64(24)).astype(np.int64)
-            symbol = np.where(lengths[own] > taken + 1, flat[np.maximum(ends[own] - taken - 2, 0)], BEFORE)
-            rest[at] = record(own, np.full(len(own), taken + 1), np.zeros(len(own)), symbol)
-            # common prefixes change where a suffix or the one before it is new
-            fresh[1:] |= fresh[:-1].copy()
-            changed = np.flatnonzero(fresh)
-            inner = changed[changed > 0]
-            here, there = order[inner], order[inner - 1]
-            same = before[here] == before[there]
-            inner, here, there = inner[same], here[same], there[same]
-            values = np.zeros(len(changed), np.uint64)
-            skipped = len(changed) - len(same)  # the very first row has none before it
-            values[skipped:][same] = np.minimum(least_between(common, there + 1, here).astype(np.uint64) + np.uint64(1), np.uint64(254))
-            rest[changed] = rest[changed] & ~np.uint64(0xFF00) | values << np.uint64(8)
-            column.write(new)
-        found = column.read()
-        fields = found.view(np.uint8).reshape(-1, 8)
-        return (found >> np.uint64(24)).astype(np.int64), fields[:, 2].copy(), fields[:, 1].copy()
-    finally:
-        column.close()
-
-
-def least_owner(strings: list[bytes], owner: np.ndarray, width: int) -> list[np.ndarray]:
-    """For each string, the least owner of any string that has the window, for
-    each of its windows of ``width`` bytes."""
-    string, length, common = sorted_suffixes(strings)
+    # symbols are one up, and zeros follow each string: its end sorts before any symbol
+    symbols = np.frombuffer((NONE * STEP).join([*strings, b""]), np.uint8) + np.uint8(1)
+    piece = np.lib.stride_tricks.sliding_window_view(symbols, STEP).copy().view(">u8").ravel().astype(np.uint64)
+    rank = np.unique(piece, return_inverse=True)[1]
+    digits = [(rank >> i & 0xFFFF).astype(np.uint16) for i in range(0, int(rank.max()).bit_length(), 16)]
+    string = np.repeat(np.arange(m, dtype=np.int32), lengths + STEP)[: len(piece)]
+    before = np.arange(len(piece), dtype=np.int32) - (np.cumsum(lengths + STEP) - lengths - STEP).astype(np.int32)[string]
+    length = lengths.astype(np.int32)[string] - before
+
+    def ordered(at: np.ndarray) -> np.ndarray:
+        """By what stands first; what follows has its order already."""
+        for digit in digits:
+            at = at[np.argsort(digit[at], kind="stable")]
+        return at
+
+    short = ordered(np.flatnonzero((length >= 0) & (length < STEP)).astype(np.int32))
+    column = short
+    for _ in range(int(lengths.max()) // STEP):
+        column = ordered(np.concatenate([short, column[before[column] >= STEP] - STEP]))
+    common = np.zeros(len(column), np.int64)
+    row = np.flatnonzero(np.minimum(length[column[1:]], length[column[:-1]]) >= least) + 1
+    here, there = column[row], column[row - 1]
+    while len(row):
+        same = rank[here] == rank[there]
+        differ = piece[here[~same]] ^ piece[there[~same]]
+        common[row[~same]] += sum((differ < np.uint64(1 << (64 - 8 * i))).astype(np.int64) for i in range(1, STEP))
+        row, here, there = row[same], here[same], there[same]
+        common[row] += np.minimum(length[here], STEP)
+        more = length[here] >= STEP
+        row, here, there = row[more], here[more] + STEP, there[more] + STEP
+    return string[column], length[column].astype(np.uint8), np.minimum(common, 254).astype(np.uint8)
+
+
+def least_owner(strings: list[bytes], owner: np.ndarray, width: int) -> np.ndarray:
+    """For each window of ``width`` bytes of each string, one after another, the least
+    owner of any string that has the window."""
+    string, length, common = sorted_suffixes(strings, width)
     whole = length >= width
     # rows that are too short end a group: nothing of ``width`` bytes reaches across them
     group = np.cumsum(common < width)[whole]
     string, length = string[whole], length[whole].astype(np.int64)
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
     least = np.repeat(np.minimum.reduceat(owner[string], starts), np.diff(np.r_[starts, len(group)])) if len(group) else owner[:0]
-    sizes = np.fromiter((max(0, len(x) - width + 1) for x in strings), np.int64, len(strings))
-    first = np.cumsum(sizes) - sizes
-    out = np.zeros(int(sizes.sum()), np.int64)
     lengths = np.fromiter(map(len, strings), np.int64, len(strings))
-    out[first[string] + lengths[string] - length] = least
-    return np.split(out, first[1:]) if len(strings) else []
+    sizes = np.maximum(0, lengths - width + 1)
+    out = np.zeros(int(sizes.sum()), np.int64)
+    out[(np.cumsum(sizes) - sizes)[string] + lengths[string] - length] = least
+    return out
 
 
-def repeated_spans(docs: DataFrame, finish, schema: str, width: int = 50, gram: int = 20, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 8 << 20, bits: int = 1 << 27, carry: tuple[str, ...] = ()) -> DataFrame:
+def repeated_spans(docs: DataFrame, finish, schema: str, width: int = 50, gram: int = 20, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 8 << 20, carry: tuple[str, ...] = ()) -> DataFrame:
     """``finish(ids, texts, covers, carried)`` for each batch of documents: covers are
     boolean arrays of the bytes to remove, carried are the values of the columns
     ``carry``; it returns the rows as a table of ``schema``."""
     spark = docs.sparkSession
     ship(spark)
-    folder = f"{shared_dir(spark)}/suffix-{uuid.uuid4().hex}"
-    packed = write_packed(docs, f"{folder}/packed", id_col, text_col, batch_bytes, carry)
-    slices = slices_for(packed.count())
-    most = width - gram + 1
-    top = np.uint64(64 - int(bits).bit_length() + 1)
+    path = f"{shared_dir(spark)}/suffix-{uuid.uuid4().hex}/packed"
+    packed = write_packed(docs, path, id_col, text_col, batch_bytes, carry, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    plain = spark.read.schema(packed.schema).parquet(path)  # by size of files, not by bucket
+    slices = slices_for(plain.count() // 4)
 
     def slice_of(a: np.ndarray) -> np.ndarray:
-        """Slices are ranges of the bitmap's words."""
-        return ((a >> top) // np.uint64(32) * np.uint64(slices) // np.uint64(bits // 32)).astype(np.int64)
+        """Slices are ranges of anchors."""
+        return ((a >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)
 
-    def documents(row):
-        for i, text in enumerate(unpacked(row["texts"], row["lengths"])):
-            if len(text) >= width:
-                yield i, text, anchors(np.frombuffer(text, np.uint8), width, gram)
+    def cuts(a: np.ndarray) -> list[int]:
+        """Where each slice of ordered anchors begins, and the last one ends."""
+        return np.searchsorted(slice_of(a), np.arange(slices + 1)).tolist()
 
     def held(batches):
         """Each batch's anchors, their last bit set if two of its documents have it."""
         for row in rows_of(batches):
-            own = [np.unique(a & ~np.uint64(1)) for _, _, a in documents(row)]
-            if own:
-                a, n = np.unique(np.concatenate(own), return_counts=True)
-                parts = grouped(slice_of(a), slices)
-                a = (a >> np.uint64(KEPT)) & ~np.uint64(1) | (n > 1).astype(np.uint64)
-                to = [i for i, p in enumerate(parts) if len(p)]
-                yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([dense(a[parts[i]], np.uint64) for i in to], pa.binary())], names=["slice", "a"])
+            doc, _, _, name = all_segments(zstandard.decompress(row["texts"]), np.frombuffer(row["lengths"], np.int64), width, gram)
+            if not len(name):
+                continue
+            order = np.argsort(name, kind="stable")  # a document's stay together
+            name, doc = name[order], doc[order]
+            fresh = np.r_[True, name[1:] != name[:-1]]
+            start = np.flatnonzero(fresh)
+            fresh[1:] |= doc[1:] != doc[:-1]
+            name, n = name[start], np.add.reduceat(fresh.astype(np.int64), start)
+            at = cuts(name)
+            name = (name >> np.uint64(KEPT)) & ~np.uint64(1) | (n > 1).astype(np.uint64)
+            to = [s for s in range(slices) if at[s] < at[s + 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([row["batch"]] * len(to), pa.int64()), pa.array([dense(name[at[s] : at[s + 1]], np.uint64) for s in to], pa.binary())], names=["slice", "batch", "a"])
 
     def shared(table: pa.Table) -> pa.Table:
-        """Words of the bitmap of the anchors that two documents have."""
-        a = np.concatenate([undense(x.as_py(), np.uint64) for x in table["a"]])
-        name = a & ~np.uint64(1)
-        order = np.argsort(name)
-        name, twice = name[order], (a[order] & np.uint64(1)).astype(bool)
-        if len(name):
-            twice[1:] |= name[1:] == name[:-1]
-        place = (name[twice] >> (top - np.uint64(KEPT))).astype(np.int64)
-        words, at = np.unique(place >> 5, return_inverse=True)
-        values = np.zeros(len(words), np.uint32)
-        np.bitwise_or.at(values, at, np.uint32(1) << (place & 31).astype(np.uint32))
-        return pa.table({"words": pa.array([zlib.compress(words.astype(np.int32).tobytes(), 1)], pa.binary()), "bits": pa.array([values.tobytes()], pa.binary())})
-
-    found = packed.select("texts", "lengths").mapInArrow(tidy(held), "slice int, a binary").groupBy("slice").applyInArrow(tidy_group(shared), "words binary, bits binary")
-    bitmap = np.zeros(bits // 32, np.uint32)
-    for row in found.toLocalIterator():  # bits / 4 bytes at most, a slice at a time
-        bitmap[np.frombuffer(zlib.decompress(row.words), np.int32)] |= np.frombuffer(row.bits, np.uint32)
-    kept = spark.sparkContext.broadcast(zlib.compress(bitmap.tobytes(), 1))
-    del bitmap
-
-    def cut(batches):
+        """For each batch, a bit for each of its anchors of the slice: two documents have it."""
+        own = [undense(x.as_py(), np.uint64) for x in table["a"]]
+        a = np.concatenate(own)
+        order = np.argsort(a & ~np.uint64(1))
+        name = a[order] & ~np.uint64(1)
+        start = np.flatnonzero(np.r_[True, name[1:] != name[:-1]])
+        n = np.diff(np.r_[start, len(name)])
+        several = (n > 1) | np.logical_or.reduceat((a[order] & np.uint64(1)).astype(bool), start)
+        flags = np.empty(len(a), bool)
+        flags[order] = np.repeat(several, n)
+        parts = np.split(flags, np.cumsum([len(x) for x in own])[:-1])
+        return pa.table([table["slice"], table["batch"], pa.array([np.packbits(x).tobytes() for x in parts], pa.binary())], names=["slice", "batch", "bits"])
+
+    known = plain.select("batch", "texts", "lengths").mapInArrow(tidy(held), "slice int, batch long, a binary").groupBy("slice").applyInArrow(tidy_group(shared), "slice int, batch long, bits binary")
+
+    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         """Segments under shared anchors, equal ones once a batch, and where they stand."""
-        held_bits = np.frombuffer(zlib.decompress(kept.value), np.uint32)
-        for row in rows_of(batches):
+        rows: list[tuple] = []
+        squeeze = zstandard.ZstdCompressor(3).compress
+        for row in left.to_pylist():
             ids = np.array([NO_ID if i is None else i for i in row["ids"]], np.int64)
-            index: dict[bytes, int] = {}
-            anchor_of: list[np.ndarray] = []
-            where, doc, start = [], [], []
-            for i, text, a in documents(row):
-                first, n = segments(a, most)
-                name = a[first] & ~np.uint64(1)
-                place = (name >> top).astype(np.int64)
-                good = (held_bits[place >> 5] >> (place & 31).astype(np.uint32) & np.uint32(1)).astype(bool)
-                first, n, name = first[good], n[good], name[good]
-                known = len(index)
-                own = [index.setdefault(text[f:e], len(index)) for f, e in zip(first.tolist(), (first + n + width - 1).tolist(), strict=True)]
-                own = np.array(own, np.int64)
-                if len(index) > known:
-                    fresh, at = np.unique(own[own >= known], return_index=True)
-                    anchor_of.append(name[own >= known][at])
-                where.append(own)
-                doc.append(np.full(len(own), i, np.int32))
-                start.append(first.astype(np.int64))
-            if not index:
+            flat, lengths = zstandard.decompress(row["texts"]), np.frombuffer(row["lengths"], np.int64)
+            doc, start, n, name = all_segments(flat, lengths, width, gram)
+            every, which = np.unique(name, return_inverse=True)
+            at, good = cuts(every), np.zeros(len(every), bool)
+            for s, bits in zip(right["slice"].to_pylist(), right["bits"].to_pylist(), strict=True):
+                good[at[s] : at[s + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=at[s + 1] - at[s])
+            good = good[which]
+            if not good.any():
                 continue
-            contents, name = list(index), np.concatenate(anchor_of)
-            where, doc, start = np.concatenate(where), np.concatenate(doc), np.concatenate(start)
+            doc, start, n, name = doc[good], start[good], n[good], name[good]
+            begin = (np.cumsum(lengths) - lengths)[doc] + start
+            index: dict[bytes, int] = {}
+            where = np.array([index.setdefault(flat[f:e], len(index)) for f, e in zip(begin.tolist(), (begin + n + width - 1).tolist(), strict=True)], np.int64)
+            contents, name = list(index), name[np.unique(where, return_index=True)[1]]
             least = np.full(len(contents), NO_ID, np.int64)
             np.minimum.at(least, where, ids[doc])
             copy = ids[doc] > least[where]
-            sizes = np.fromiter(map(len, contents), np.int64, len(contents))
-            mine = (-1 - row["batch"], row["batch"], b"", (sizes[where[copy]] - width + 1).astype(np.uint8).tobytes(), b"", b"", doc[copy].astype(np.int32).tobytes(), b"", start[copy].astype(np.int64).tobytes())
+            if copy.any():
+                rows.append((-1 - row["batch"], row["batch"], b"", n[copy].astype(np.uint8).tobytes(), b"", b"", doc[copy].astype(np.int32).tobytes(), b"", start[copy].astype(np.int64).tobytes()))
             where, doc, start = where[~copy], doc[~copy], start[~copy]
             new_place = np.empty(len(contents), np.int64)
-            rows = [mine] if copy.any() else []
             of_content = slice_of(name)
             by_slice, places = grouped(of_content, slices), grouped(of_content[where], slices)
             for s in range(slices):
@@ -299,57 +274,72 @@ def repeated_spans(docs: DataFrame, finish, schema: str, width: int = 50, gram:
                 blob = [contents[x] for x in c.tolist()]
                 owner = doc[p]
                 present = np.unique(owner)
-                rows.append((s, row["batch"], zstandard.compress(b"".join(blob), 3), np.fromiter(map(len, blob), np.uint8, len(blob)).tobytes(), (name[c] >> np.uint64(8)).astype(np.uint32).tobytes(), dense(new_place[where[p]], np.int32), dense(owner, np.int32), dense(ids[present], np.int64), dense(start[p], np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), [pa.int64(), pa.int64()] + [pa.binary()] * 7, strict=True)], names=NAMES)
+                rows.append((s, row["batch"], squeeze(b"".join(blob)), np.fromiter(map(len, blob), np.uint8, len(blob)).tobytes(), (name[c] >> np.uint64(8)).astype(np.uint32).tobytes(), dense(new_place[where[p]], np.int32), dense(owner, np.int32), dense(ids[present], np.int64), dense(start[p], np.int64)))
+        return pa.table([pa.array(x, t) for x, t in zip(list(zip(*rows, strict=True)) or [()] * len(NAMES), [pa.int64(), pa.int64()] + [pa.binary()] * 7, strict=True)], names=NAMES)
 
     def compare(table: pa.Table) -> pa.Table:
         """Windows to remove, by batch: document, first window, number of windows."""
         if table["slice"][0].as_py() < 0:  # a batch's own copies
             return pa.table([table["batch"], table["doc"], table["start"], table["sizes"]], names=["batch", "doc", "start", "n"])
-        index: dict[tuple[int, bytes], int] = {}
-        name: list[int] = []
-        occurrences = []
+        rows = []
         for row in table.to_pylist():
-            flat, at, local = zstandard.decompress(row["blob"]), 0, []
-            for n, a in zip(row["sizes"], np.frombuffer(row["names"], np.uint32).tolist(), strict=True):
-                text = flat[at : at + n]
-                at += n
-                key = (a, text)
-                if key not in index:
-                    index[key] = len(index)
-                    name.append(a)
-                local.append(index[key])
             doc = undense(row["doc"], np.int32)
-            _, known = np.unique(doc, return_inverse=True)
-            occurrences.append((row["batch"], np.array(local, np.int64)[undense(row["at"], np.int32)], doc, undense(row["id"], np.int64)[known], undense(row["start"], np.int64)))
+            _, own = np.unique(doc, return_inverse=True)
+            rows.append((zstandard.decompress(row["blob"]), np.frombuffer(row["sizes"], np.uint8).astype(np.int64), np.frombuffer(row["names"], np.uint32), undense(row["at"], np.int32), doc, undense(row["id"], np.int64)[own], undense(row["start"], np.int64)))
+        # a part of the anchors at a time
+        parts = -(-sum(len(r[0]) for r in rows) // PART)
+        by_part = [(grouped(names % parts, parts), grouped((names % parts)[at], parts)) for _, _, names, at, _, _, _ in rows]
+        answers: list[list[tuple]] = [[] for _ in rows]
+        for p in range(parts):
+            compare_part([(r, c[p], o[p]) for r, (c, o) in zip(rows, by_part, strict=True)], answers)
+        out = []
+        for batch, found in zip(table["batch"].to_pylist(), answers, strict=True):
+            if found:
+                doc, start, n = map(np.concatenate, zip(*found, strict=True))
+                out.append((batch, doc.astype(np.int32).tobytes(), start.astype(np.int64).tobytes(), n.astype(np.uint8).tobytes()))
+        return pa.table([pa.array(x, t) for x, t in zip(list(zip(*out, strict=True)) or [()] * 4, [pa.int64(), pa.binary(), pa.binary(), pa.binary()], strict=True)], names=["batch", "doc", "start", "n"])
+
+    def compare_part(rows: list[tuple], answers: list[list[tuple]]) -> None:
+        index: dict[bytes, int] = {}
+        occurrences, name = [], []
+        for (flat, sizes, names, at, doc, id_, start), c, o in rows:
+            ends = np.cumsum(sizes)
+            place = np.empty(len(sizes), np.int64)
+            before = len(index)
+            place[c] = [index.setdefault(flat[f:e], len(index)) for f, e in zip((ends - sizes)[c].tolist(), ends[c].tolist(), strict=True)]
+            name.append(names[c][place[c] >= before])  # a row's contents are distinct
+            occurrences.append((place[at[o]], doc[o], id_[o], start[o]))
         owner = np.full(len(index), NO_ID, np.int64)
-        for _, content, _, id_, _ in occurrences:
+        for content, _, id_, _ in occurrences:
             np.minimum.at(owner, content, id_)
-        contents = [text for _, text in index]
-        windows = np.fromiter((len(x) - width + 1 for x in contents), np.int64, len(contents))
-        _, group, members = np.unique(np.array(name, np.uint32), return_inverse=True, return_counts=True)
-        several = np.flatnonzero(members[group] > 1) if len(name) else np.zeros(0, np.int64)
-        single = np.ones(len(contents), bool)
-        single[several] = False
-        least = least_owner([contents[i] for i in several.tolist()], owner[several], width)
-        first = np.zeros(len(contents), np.int64)
-        sizes = windows[several]
-        first[several] = np.cumsum(sizes) - sizes
+        contents = list(index)
+        windows = np.fromiter(map(len, contents), np.int64, len(contents)) - width + 1
+        _, group, members = np.unique(np.concatenate(name), return_inverse=True, return_counts=True)
+        single = members[group] == 1
+        several = np.flatnonzero(~single)
+        several = several[np.argsort(group[several], kind="stable")]
+        # whole groups are sorted together, some ``SORTED`` strings at a time
+        begin = np.flatnonzero(np.diff(group[several], prepend=-1))
+        begin = begin[np.diff(begin // SORTED, prepend=-1) > 0]
+        least = [least_owner([contents[i] for i in x.tolist()], owner[x], width) for x in np.split(several, begin)[1:]]
         least_flat = np.concatenate(least) if least else np.zeros(0, np.int64)
-        out = []
-        for batch, content, doc, id_, start in occurrences:
+        first = np.zeros(len(contents), np.int64)
+        first[several] = np.cumsum(windows[several]) - windows[several]
+        for found, (content, doc, id_, start) in zip(answers, occurrences, strict=True):
             whole = single[content] & (owner[content] < id_)
             part = np.flatnonzero(~single[content])
             n = windows[content[part]]
             at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
             lower = least_flat[np.repeat(first[content[part]], n) + at] < np.repeat(id_[part], n)
-            rest = np.repeat(part, n)[lower]
-            docs_ = np.r_[doc[whole], doc[rest]]
-            if len(docs_):
-                out.append((batch, docs_.astype(np.int32).tobytes(), np.r_[start[whole], start[rest] + at[lower]].astype(np.int64).tobytes(), np.r_[windows[content[whole]], np.ones(len(rest), np.int64)].astype(np.uint8).tobytes()))
-        return pa.table([pa.array(x, t) for x, t in zip(list(zip(*out, strict=True)) or [()] * 4, [pa.int64(), pa.binary(), pa.binary(), pa.binary()], strict=True)], names=["batch", "doc", "start", "n"])
+            # runs of neighbouring windows
+            edge = np.r_[at == 0, True]
+            begin = np.flatnonzero(lower & ~(np.r_[False, lower[:-1]] & ~edge[:-1]))
+            end = np.flatnonzero(lower & ~(np.r_[lower[1:], False] & ~edge[1:]))
+            rest = np.repeat(part, n)[begin]
+            if len(rest) or whole.any():
+                found.append((np.r_[doc[whole], doc[rest]], np.r_[start[whole], start[rest] + at[begin]], np.r_[windows[content[whole]], end - begin + 1]))
 
-    answers = packed.select("batch", "texts", "lengths", "ids").mapInArrow(tidy(cut), ", ".join(f"{n} {t}" for n, t in zip(NAMES, ["long", "long"] + ["binary"] * 7, strict=True))).groupBy("slice").applyInArrow(tidy_group(compare), "batch long, doc binary, start binary, n binary")
+    answers = packed.select("batch", "texts", "lengths", "ids").groupBy("batch").cogroup(known.groupBy("batch")).applyInArrow(tidy_group(cut), ", ".join(f"{n} {t}" for n, t in zip(NAMES, ["long", "long"] + ["binary"] * 7, strict=True))).groupBy("slice").applyInArrow(tidy_group(compare), "batch long, doc binary, start binary, n binary")
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
         tables = []
@@ -362,7 +352,7 @@ def repeated_spans(docs: DataFrame, finish, schema: str, width: int = 50, gram:
                 at = base[np.frombuffer(a["doc"], np.int32)] + np.frombuffer(a["start"], np.int64)
                 np.add.at(change, at, 1)
                 np.add.at(change, at + np.frombuffer(a["n"], np.uint8) + width - 1, -1)
-            covered = np.cumsum(change) > 0
+            covered = np.cumsum(change, dtype=np.int32) > 0
             tables.append(finish(row["ids"], texts, [covered[b : b + n] for b, n in zip(base.tolist(), lengths.tolist(), strict=True)], [row[f"c{i}"] for i in range(len(carry))]))
         return pa.concat_tables(tables) if tables else finish([], [], [], [[] for _ in carry])
 
