@@ -27,7 +27,6 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +43,7 @@ NONE = b"\xff"
 STEP = 8
 #: Strings that are sorted together, and bytes of texts whose anchors are taken at once:
 #: what they need stays in a processor's cache.
-SORTED, AT_ONCE = 2048, 1 << 16
+SORTED, AT_ONCE = 1024, 1 << 16
 #: Bytes of segments that a slice compares at a time.
 PART = 4 << 20
 NO_ID = np.iinfo(np.int64).max
@@ -119,12 +118,15 @@ def all_segments(flat: bytes, lengths: np.ndarray, width: int, gram: int) -> tup
 
 
 def dense(values: np.ndarray, dtype) -> bytes:
-    """Differences of neighbours, compressed: short for values that mostly grow a little."""
-    return zlib.compress(np.diff(values.astype(dtype), prepend=np.zeros(1, dtype)).tobytes(), 1)
+    """Differences of neighbours by byte, first bytes first, compressed: short for values
+    that mostly grow a little."""
+    steps = np.diff(values.astype(dtype), prepend=np.zeros(1, dtype))
+    return zstandard.compress(steps.view(np.uint8).reshape(len(steps), steps.itemsize).T.tobytes(), 1)
 
 
 def undense(data: bytes, dtype) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zlib.decompress(data), dtype), dtype=dtype)
+    bytes_ = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+    return np.cumsum(bytes_.T.copy().view(dtype).ravel(), dtype=dtype)
 
 
 def sorted_suffixes(strings: list[bytes], least: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -367,7 +369,10 @@ NAMES = ["slice", "batch", "blob", "sizes", "names", "at", "doc", "id", "start"]
 
 def runs(cover: np.ndarray) -> np.ndarray:
     """The first bytes of the maximal removed runs."""
-    return np.flatnonzero(cover & ~np.r_[False, cover[:-1]]) if len(cover) else np.zeros(0, np.int64)
+    if not cover.any():
+        return np.zeros(0, np.int64)
+    first = np.flatnonzero(cover[1:] > cover[:-1]) + 1
+    return np.r_[0, first] if cover[0] else first
 
 
 def suffix_dedup(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text", texts: bool = True, **more) -> DataFrame:
