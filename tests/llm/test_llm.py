@@ -166,6 +166,41 @@ def test_suffix_dedup(docs, empty):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
 
+def test_suffixes_of_several_rounds():
+    rng = random.Random(5)
+    for alphabet in (b"a", b"ab", b"\x00ab\xfe"):
+        strings = [bytes(rng.choice(alphabet) for _ in range(n)) for n in (0, 7, 8, 9, 16, 30, 99)]
+        want = sorted((s[len(s) - k :], i, k) for i, s in enumerate(strings) for k in range(len(s) + 1))
+        shared = lambda a, b: next((j for j, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        for least in (0, 10):
+            string, length, common = suffix_dedup.sorted_suffixes(strings, least)
+            assert [(int(i), int(k)) for i, k in zip(string, length)] == [(i, k) for _, i, k in want]
+            assert common[1:].tolist() == [shared(a[0], b[0]) if min(a[2], b[2]) >= least else 0 for a, b in zip(want, want[1:])]
+
+
+def test_suffix_dedup_by_slices(spark):
+    """No slice of anchors goes through the driver by a job of its own, and texts stay in
+    their buckets: both grew with the input."""
+    rng = random.Random(6)
+    texts = [" ".join(str(rng.random()) for _ in range(30)) for _ in range(40)]
+    rows = [*enumerate(texts), *((40 + i, t[60:300]) for i, t in enumerate(texts[:9])), (None, texts[3])]
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "24")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        spark.sparkContext.setJobGroup("slices", "")
+        found = suffix_dedup.suffix_dedup(docs, batch_bytes=2000)
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("slices")) < 10
+        assert found._jdf.queryExecution().executedPlan().toString().count("Bucketed: true") == 2
+        got = sorted((str(r["doc_id"]), r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in found.collect())
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert got == plain_dedup([(i, t.encode()) for i, t in rows])
+
+
 def test_lm_scoring(docs, empty):
     rows = bare(make())
     trained = tuple(t for i, t in rows if zlib.crc32(b"" if i is None else str(i).encode()) % 5 != 1)
