@@ -4,9 +4,11 @@ Bauer, Cox and Rosone, "Lightweight algorithms for constructing and inverting th
 BWT of string collections" (2013), and Cox et al., "Lightweight LCP construction
 for very large collections of strings" (2016): the transform of a collection
 starts with the empty suffixes and takes one more symbol of every string in each
-round, from the last to the first; where each goes follows from the transform
-itself, and common prefixes of neighbours from those of the round before. The
-columns are files that a round reads and writes in sequence.
+round, from the last to the first; where each goes follows from the order of the
+round before. Here a round takes eight symbols, by the rank of the piece they make:
+the first column has the suffixes under eight symbols, and a suffix's place follows
+from its piece and the place of what stands behind. Common prefixes of neighbours are
+read off the ranks of their pieces in the last column.
 
 Whole documents would need as many rounds as the longest has bytes, each over the
 whole corpus. What a match of ``width`` bytes needs is less. Every window of that
@@ -14,9 +16,11 @@ many bytes has an anchor, the least hash of its ``gram``-byte strings; equal
 windows have equal anchors. Neighbouring windows of one anchor form a segment of
 under 2 width bytes, and segments are dealt by anchor, so that equal windows meet
 wherever they are. Anchors that only one document has are found first, by their
-hashes alone, and dropped; a segment that stands under its anchor as the only one
-is compared by its documents alone. The collections left are strings of bounded
-length, so the number of rounds is bounded, whatever the documents' lengths.
+hashes alone, and dropped: each batch is told which of its anchors others have, a bit
+an anchor. A segment that stands under its anchor as the only one is compared by its
+documents alone. The collections left are strings of bounded length, so the number of
+rounds is bounded, whatever the documents' lengths; some anchors' strings, a bounded
+number, are sorted at a time.
 
 Where a batch of documents holds a segment several times, all but those of its least
 id are copies whatever else there is, and stay at home: of a passage that any number
